@@ -132,7 +132,7 @@ def datetime(column: str, mode: str = "parse", input_format: str = "2006-01-02",
     Text is read with `input_format` and results are text in `output_format`;
     a date or timestamp column keeps its type unless a format is given. Text
     that is no date stays as it is when written back to the same column and is
-    NULL in another one. `diff` counts whole units from `column` to `other`.
+    NULL in another one. `diff` counts whole units from `other` to `column`.
     """
     if not column:
         raise ValueError("datetime: column is required")
@@ -165,7 +165,7 @@ def datetime(column: str, mode: str = "parse", input_format: str = "2006-01-02",
                 value, textual = part(at).cast("bigint"), False
         elif mode == "diff":
             one = {"days": "DAY", "hours": "HOUR", "minutes": "MINUTE", "seconds": "SECOND"}[unit]
-            value, textual = F.timestamp_diff(one, at.cast("timestamp"), moment(df, other).cast("timestamp")), False
+            value, textual = F.timestamp_diff(one, moment(df, other).cast("timestamp"), at.cast("timestamp")), False
         else:
             if mode == "add":
                 steps = F.lit(int(add_value))

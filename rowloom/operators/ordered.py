@@ -240,10 +240,11 @@ def _fill_ranged(df, targets, keys, groups, limit, unique_order) -> DataFrame:
             local[f"__seen_here_{i}"] = F.max(F.when(present, F.col("__at"))).over(so_far)
         summary.append(F.max(F.when(present, F.lit(True))).alias(f"__any_{i}"))
 
-    # One row per (range, group); a group in a single range has nothing to carry.
+    # One row per (range, group), so without groups as many rows as there are ranges;
+    # they form one run, keyed by an expression that is the same for all of them.
     ends = rows.groupBy(*here).agg(*summary)
     before = (
-        Window.partitionBy(*([ref(g) for g in groups] or [F.lit(0)]))
+        Window.partitionBy(*([ref(g) for g in groups] or [F.col("__part") < 0]))
         .orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     )
     carry_columns = []

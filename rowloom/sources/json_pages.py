@@ -33,13 +33,13 @@ def json_pages(spark: SparkSession, path: str, schema: str | T.StructType | None
     """Records of a folder of stored responses, one whole file per response.
 
     With `page_size` the files are the pages of one request series: the number
-    in the file name orders them and reading ends with the first page that is
+    in the file path orders them and reading ends with the first page that is
     not full, as an offset client would stop. Without a schema one is inferred
     from the data.
     """
     if not path:
         raise ValueError("json_pages: path is required")
-    pages = spark.read.text(path, wholetext=True).withColumn("__file", F.col("_metadata.file_name"))
+    pages = spark.read.text(path, wholetext=True).withColumn("__file", F.col("_metadata.file_path"))
     if schema is None:
         schema = _inferred(spark, path, data_path)
     pages = pages.withColumn("__records", records(F.col("value"), schema, data_path))

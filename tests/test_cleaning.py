@@ -99,7 +99,7 @@ def test_datetime_typed_and_diff(rows):
     assert df.transform(rl.datetime("b", "add", add_unit="hours", add_value=1)).dtypes[1][1] == "timestamp_ntz"
     assert df.transform(rl.datetime("b", "extract", extract="day")).first().b == 3
     assert df.transform(rl.datetime("c", "format", output_format="2006/01")).first().c == "2024/01"
-    assert df.transform(rl.datetime("a", "diff", other="b", unit="hours", output="h")).first().h == 43
+    assert df.transform(rl.datetime("a", "diff", other="b", unit="hours", output="h")).first().h == -43
     with pytest.raises(ValueError):
         rl.datetime("a", "diff")
     with pytest.raises(ValueError):
