@@ -15,15 +15,16 @@ from ..functions.patterns import template, translate
 
 Step = Callable[[DataFrame], DataFrame]
 
-# Blanks trimmed from text, and characters removed as special.
-SPACE_CLASS = r"[\s\x0B\p{Z}\x{85}]"
-SPECIAL = r"[^\p{L}\p{N}\s]"
+# The Unicode white space trimmed from text, and what counts as special characters.
+WHITE_SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
+SPECIAL = r"[^\p{L}\p{N}\s]+"
 DATE_PARTS = ("year", "month", "day", "weekday", "hour", "minute", "second")
 
 
 def trim_spaces(col: Column) -> Column:
     """Strip every kind of Unicode blank, not only U+0020."""
-    return F.regexp_replace(col, rf"\A{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def data_cleansing(columns=None, trim: bool = False, to_lower: bool = False, to_upper: bool = False,

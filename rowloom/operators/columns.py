@@ -108,8 +108,8 @@ def add_column(name: str, expression: str, errors: str = "raise", sql: bool = Fa
 def auto_field(columns=None) -> Step:
     """Give each text column the narrowest type all its values fit: int, float, bool, else text.
 
-    One aggregation looks at all columns at once and returns a single row.
-    Missing-value words count as missing only where the column gets a type.
+    One aggregation looks at all columns at once and returns a single row. Blank
+    text decides nothing and is NULL in a column that gets a type.
     """
 
     def step(df: DataFrame) -> DataFrame:

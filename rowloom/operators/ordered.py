@@ -119,7 +119,7 @@ class Numbered:
             total += counts.get(p, 0)
         if not starts:
             return F.lit(0).cast("bigint")
-        table = F.array(*[F.lit(s).cast("bigint") for s in starts])
+        table = F.from_json(F.lit(str(starts)), "array<bigint>")  # folded to one literal
         return F.element_at(table, (self.part() + 1).cast("int")) + self.place()
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.expressions import bool_expr, literal_number, number_predicate
 from ..functions.names import dtype, fresh, is_text, names, ref, require
 from ..functions.parsing import as_text, parse_bool, parse_double
+from .cleaning import trim_spaces
 from .ordered import directed, every_nth, order_keys, row_index, tie_broken
 
 Step = Callable[[DataFrame], DataFrame]
@@ -46,7 +47,7 @@ def condition(df: DataFrame, field: str, operator: str, value="", value_type: st
         if not is_text(kind):
             cond = number_predicate(df, field, operator, bound, errors)
         else:
-            text = F.regexp_replace(col, r"\A\s+|\s+\z", "")
+            text = trim_spaces(col)
             number = parse_double(text, T.StringType())
             if errors == "raise":
                 bad = F.raise_error(F.concat(F.lit(f"field {field!r} is not a number: "), col)).cast("double")
@@ -57,7 +58,7 @@ def condition(df: DataFrame, field: str, operator: str, value="", value_type: st
     elif value_type == "bool":
         if operator not in ("is_true", "eq", "is_false", "neq"):
             raise ValueError(f"filter_advanced: {operator} does not apply to booleans")
-        truth = parse_bool(F.regexp_replace(col, r"\A\s+|\s+\z", "") if is_text(kind) else col, kind)
+        truth = parse_bool(trim_spaces(col) if is_text(kind) else col, kind)
         if errors == "raise" and is_text(kind):
             bad = F.raise_error(F.concat(F.lit(f"field {field!r} is not a boolean: "), col)).cast("boolean")
             truth = F.when(col.isNotNull() & truth.isNull(), bad).otherwise(truth)

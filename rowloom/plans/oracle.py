@@ -170,6 +170,9 @@ FROM events""",
     "route": """
 SELECT CASE WHEN l_quantity > 40 THEN 0 WHEN l_discount > 0.05 THEN 1 ELSE 2 END AS _route, count(*) AS n, round(sum(l_quantity), 2) AS q
 FROM lineitem GROUP BY 1""",
+    "fork": "SELECT *, 'a' AS way FROM region UNION ALL SELECT *, 'b' FROM region",
+    "row_counts": """SELECT 'before' AS step, count(*) AS n FROM orders
+UNION ALL SELECT 'after', count(*) FROM orders WHERE o_totalprice > 250000""",
     "dedup_keys": "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem",
     "drop_duplicates_first": """SELECT event_id, user_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1""",
@@ -250,6 +253,9 @@ SELECT event_id, user_id, event_type FROM p WHERE page <= coalesce((SELECT min(p
         f"SELECT (SELECT string_agg(column_name, ' ' ORDER BY column_name) FROM (DESCRIBE {t})) AS columns, 'utf-8' AS encoding, "
         f"'{d}' AS delimiter, 'auto' AS newline, TRUE AS has_header, (SELECT count(*) FROM (DESCRIBE {t})) AS width, 'high' AS confidence"
         for t, d in (("orders", ";"), ("part", "|"), ("supplier", "\t"), ("customer", ","))),
+    "browse": """
+WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000)
+SELECT CAST(to_json(o) AS VARCHAR) AS json FROM o""",
     "stream_steps": """
 SELECT o_orderkey, round(o_totalprice - 1000, 2) AS net, year(o_orderdate) AS year,
   CASE WHEN o_totalprice - 1000 > 300000 THEN 0 ELSE 1 END AS _route FROM orders WHERE o_totalprice > 100000""",

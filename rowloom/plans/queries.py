@@ -268,6 +268,22 @@ def route(spark, folder):
     return rounded(df, 2, "q")
 
 
+@query
+def fork(spark, folder):
+    """The same rows on two ways, put together again."""
+    a, b = rl.fork(rl.dummy(table(spark, folder, "region")), 2)
+    return rl.union(a.transform(rl.add_column("way", "'a'")), b.transform(rl.add_column("way", "'b'")))
+
+
+@query
+def row_counts(spark, folder):
+    """Rows seen before and after a filter, counted while the rows pass."""
+    before, seen = rl.counted(table(spark, folder, "orders"), "before")
+    after, kept = rl.counted(before.transform(rl.filter_rows("o_totalprice > 250000")), "after")
+    after.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([("before", seen.get["rows"]), ("after", kept.get["rows"])], "step string, n bigint")
+
+
 @query
 def dedup_keys(spark, folder):
     return table(spark, folder, "lineitem").transform(rl.chain(rl.select("l_partkey,l_suppkey"), rl.dedup()))
@@ -591,7 +607,9 @@ def directory(spark, folder):
 
 @query
 def browse(spark, folder):
-    return rl.browse(table(spark, folder, "orders"), 1000)
+    return table(spark, folder, "orders").transform(rl.chain(
+        rl.select("o_orderkey,o_orderstatus,o_totalprice"), rl.sampling("first", 1000, order_by="o_orderkey", unique_order=True),
+        rl.browse))
 
 
 # ---- streams --------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from .functions.names import ref
 
 _local_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def session(app: str = "rowloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -64,8 +65,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     void = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
     stored = df.drop(*void) if void else df
     path = new_folder(df.sparkSession, label)
+    _written.append(path)
     stored.write.parquet(path)
     back = df.sparkSession.read.schema(stored.schema).parquet(path)
     if void:
         back = back.select(*[F.lit(None).alias(c) if c in void else ref(c) for c in df.columns])
     return back
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process once their results are no longer needed."""
+    removed = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return removed

@@ -65,6 +65,10 @@ def apply_change_stream(changes: DataFrame, snapshot_path: str, keys, sequence:
     Each batch reads the newest version folder and writes the next one, named by
     the batch, so a batch that is run again after a failure gives the same
     version. `snapshot_path/version=start` must hold the initial rows.
+
+    A batch costs a rewrite of the snapshot. Where that is much larger than a
+    batch, let the stream land the change rows as parquet (`run_available`) and
+    run `apply_changes` on them at longer intervals.
     """
     spark = changes.sparkSession
 
