@@ -151,7 +151,8 @@ def datetime(column: str, mode: str = "parse", input_format: str = "2006-01-02",
         kind = dtype(df, name)
         if is_time(kind):
             return ref(name)
-        return F.try_to_timestamp(as_text(ref(name), kind), F.lit(layout_to_pattern(input_format, parsing=True)))
+        read = F.try_to_timestamp(as_text(ref(name), kind), F.lit(layout_to_pattern(input_format, parsing=True)))
+        return read.cast("timestamp_ntz")  # wall-clock arithmetic, whatever the session's zone
 
     def step(df: DataFrame) -> DataFrame:
         require(df, [column] + ([other] if mode == "diff" else []), "datetime")

@@ -86,7 +86,8 @@ def groupby(by, aggregations, sort: bool = True, as_index: bool = True, dropna:
     """Per-group SUM COUNT AVG MIN MAX FIRST LAST MEDIAN NUNIQUE STD VAR.
 
     COUNT leaves out NULL and ""; NUNIQUE counts NULL as one value; STD and VAR
-    are 0 for a single row; FIRST and LAST need `order_by`. `as_index=False`
+    are 0 for a single row; FIRST and LAST need `order_by`, and `unique_order`
+    says that it is a key (no ties, no NULL). `as_index=False`
     drops the key columns and `dropna` drops rows with an empty key.
     """
     keys = names(by)
@@ -106,7 +107,9 @@ def groupby(by, aggregations, sort: bool = True, as_index: bool = True, dropna:
             if len({up for _, up in order}) > 1:
                 raise ValueError("groupby: order_by must have one direction for FIRST and LAST")
             ties = [] if unique_order else [row_hash(df)]
-            position = F.struct(*[ref(n) for n, _ in order], *ties)
+            # A key on its own keeps fixed-size buffers, so numbers stay in hash aggregation.
+            alone = unique_order and len(order) == 1
+            position = ref(order[0][0]) if alone else F.struct(*[ref(n) for n, _ in order], *ties)
             ascending = order[0][1]
         medians = [i for i in items if i.function == "MEDIAN"]
         ranged = medians and _has_wide_group(df, keys, medians, non_numeric, median_values)
@@ -119,7 +122,7 @@ def groupby(by, aggregations, sort: bool = True, as_index: bool = True, dropna:
                 value = F.count_distinct(col) + F.max(F.when(col.isNull(), 1).otherwise(0)).cast("bigint")
             elif item.function in ("FIRST", "LAST"):
                 pick = F.min_by if (item.function == "FIRST") == ascending else F.max_by
-                value = pick(F.struct(col.alias("v")), position).getField("v")
+                value = pick(col, position)
             elif item.function == "MEDIAN":
                 if ranged:
                     continue

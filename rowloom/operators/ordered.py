@@ -26,7 +26,7 @@ from ..session import written
 
 Step = Callable[[DataFrame], DataFrame]
 PLACE_BITS = 33  # monotonically_increasing_id(): partition above, place below
-HOT_ROWS = 5_000_000
+HOT_ROWS = 20_000_000
 
 
 def order_keys(order_by: str | Iterable, df: DataFrame) -> list[tuple[str, bool]]:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +102,7 @@ def csv_scan(spark: SparkSession, path: str, pattern: str | None = None) -> Data
 
     Each file is looked at as a whole inside one task; files are spread over the tasks.
     """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
