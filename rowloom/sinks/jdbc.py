@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, DataFrameWriter
 from ..functions.names import names, ref, require
 from ..operators.changes import upsert
 from ..session import written
-from ..sources.jdbc import read_table
+from ..sources.jdbc import connection, read_table
 
 BATCH_ROWS = 500
 
@@ -22,8 +22,8 @@ def table_writer(df: DataFrame, url: str, table: str, schema: str | None = None,
     wanted = require(df, names(columns), "write_table")
     out = df.select(*[ref(c) for c in wanted]) if wanted else df
     writer = out.write.format("jdbc").options(
-        url=url, dbtable=f"{schema}.{table}" if schema else table, batchsize=str(batch_size),
-        **{k: str(v) for k, v in extra.items()})
+        **{**connection(url), "dbtable": f"{schema}.{table}" if schema else table, "batchsize": str(batch_size),
+           **{k: str(v) for k, v in extra.items()}})
     return writer.mode("append") if mode == "insert" else writer.mode("overwrite").option("truncate", "true")
 
 

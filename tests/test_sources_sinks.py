@@ -5,7 +5,7 @@ import pytest
 import rowloom as rl
 from rowloom.plans.checks import plan_of
 from rowloom.sinks.jdbc import table_writer
-from rowloom.sources.jdbc import query_options
+from rowloom.sources.jdbc import connection, query_options
 
 
 def put(path, content):
@@ -136,6 +136,24 @@ def test_json_pages(spark, rows, tmp_path):
         rl.json_pages(spark, wrong, "a int").collect()
 
 
+@pytest.mark.parametrize("dsn, url, driver", [
+    ("postgres://me:p%40ss@db:6543/shop?sslmode=disable", "jdbc:postgresql://db:6543/shop?sslmode=disable", "org.postgresql.Driver"),
+    ("mysql://me:p%40ss@db/shop", "jdbc:mysql://db:3306/shop", "com.mysql.cj.jdbc.Driver"),
+    ("sqlserver://me:p%40ss@db?database=shop", "jdbc:sqlserver://db:1433;databaseName=shop",
+     "com.microsoft.sqlserver.jdbc.SQLServerDriver"),
+])
+def test_connection(dsn, url, driver):
+    assert connection(dsn) == {"url": url, "driver": driver, "user": "me", "password": "p@ss"}
+
+
+def test_connection_of_a_jdbc_url():
+    assert connection("jdbc:postgresql://db/x")["driver"] == "org.postgresql.Driver"
+    assert connection("jdbc:other:x") == {"url": "jdbc:other:x"}
+    for bad in ("", "db/x", "oracle://db/x"):
+        with pytest.raises(ValueError):
+            connection(bad)
+
+
 def test_jdbc_options(rows):
     """Options only: no database runs in the tests."""
     assert query_options("jdbc:x", "select 1;")["query"] == "select 1"
