@@ -133,17 +133,18 @@ def check_cardinality(left: DataFrame, right: DataFrame, left_key: str, right_ke
 
 
 def append_fields(left: DataFrame, right: DataFrame, left_order_by, right_order_by, prefix: str = "right_",
-                  unique_order: bool = False) -> DataFrame:
+                  unique_order: bool = False, stable: bool = False) -> DataFrame:
     """Put the rows of two inputs side by side, by position in the given orders.
 
     Every left row stays; right columns are NULL past the end of the right input.
+    `unique_order` and `stable` are as for `row_index` and hold for both inputs.
     """
     at = "__zip"
     right_names = {c: prefix + c if c in left.columns else c for c in right.columns}
     outputs = left.columns + list(right_names.values())
     if len(set(outputs)) < len(outputs):
         raise ValueError(f"append_fields: two output columns would share a name: {outputs}")
-    a = row_index(left_order_by, at, unique_order)(left)
-    b = row_index(right_order_by, at, unique_order)(right)
+    a = row_index(left_order_by, at, unique_order, stable)(left)
+    b = row_index(right_order_by, at, unique_order, stable)(right)
     b = b.select(ref(at).alias("__zip_right"), *[ref(c).alias(right_names[c]) for c in right.columns])
     return a.join(b, F.col(at) == F.col("__zip_right"), "left").select(*[ref(c) for c in outputs])

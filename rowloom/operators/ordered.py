@@ -1,12 +1,19 @@
 """Operators that need the rows in order, without ever using one partition.
 
-A DataFrame has no arrival order, so each operator takes `order_by`. The rows
-are range-partitioned on it and sorted inside their partitions; a row's
-sequence number is then its partition and its place in it. The numbered table
-is written to the shared folder, so a lost executor cannot change the numbers.
-
-Ties are broken by the row's content, and exact copies by a salt, so the range
-partitioner can cut anywhere, also inside a group of copies or a hot key.
+A DataFrame has no arrival order, so each operator takes `order_by`. There are
+two ways to cut the order into ranges that fit a task:
+
+* `numbered` range-partitions the rows, sorts inside the partitions and writes
+  the table to the shared folder; a row's sequence number is its partition and
+  its place in it. This is right for any input: a lost executor, or an input
+  that gives other rows when it is computed again, cannot change the numbers.
+  Ties are broken by the row's content and exact copies by a salt, so the range
+  partitioner can cut anywhere, also inside a group of copies or a hot key.
+* `sliced` is for a stable input (one that gives the same rows each time it is
+  read, such as a stored table): two passes over the first order column alone
+  find slices of equal size, and each row computes its slice from its own value.
+  It shuffles once and writes nothing. Where a slice would be too large for a
+  task, the first way is taken.
 """
 
 from __future__ import annotations
@@ -27,6 +34,9 @@ from ..session import written
 Step = Callable[[DataFrame], DataFrame]
 PLACE_BITS = 33  # monotonically_increasing_id(): partition above, place below
 HOT_ROWS = 20_000_000
+ROWS_PER_SLICE = 10_000  # small inputs get fewer slices
+SLICE_ROWS = 1_000_000  # a slice this small is never too large
+MOST_CELLS = 1 << 18
 
 
 def order_keys(order_by: str | Iterable, df: DataFrame) -> list[tuple[str, bool]]:
@@ -119,8 +129,7 @@ class Numbered:
             total += counts.get(p, 0)
         if not starts:
             return F.lit(0).cast("bigint")
-        table = F.from_json(F.lit(str(starts)), "array<bigint>")  # folded to one literal
-        return F.element_at(table, (self.part() + 1).cast("int")) + self.place()
+        return F.element_at(_longs(starts), (self.part() + 1).cast("int")) + self.place()
 
 
 def numbered(df: DataFrame, keys: list[tuple[str, bool]], unique_order: bool = False) -> Numbered:
@@ -137,41 +146,126 @@ def numbered(df: DataFrame, keys: list[tuple[str, bool]], unique_order: bool = F
     return Numbered(written(table, "numbered"), seq)
 
 
-def row_index(order_by, name: str = "_index", unique_order: bool = False) -> Step:
-    """Add a gapless 0-based row number in the given order."""
+def order_number(name: str, kind: T.DataType) -> Column | None:
+    """A double that never decreases as the column grows, or None for other types."""
+    col = ref(name)
+    if isinstance(kind, T.NumericType):
+        return col.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(col).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        clock = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+        return F.unix_date(col.cast("date")) * F.lit(86400.0) + clock
+    if isinstance(kind, T.StringType):
+        head = F.hex(F.substring(col.cast("binary"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+    return None
+
+
+@dataclass
+class Sliced:
+    """Rows with their slice number, and where each slice starts in the whole order."""
+
+    df: DataFrame
+    slice: str
+    order: list[Column]
+    starts: list[int]
+    helpers: list[str]
+
+    def position(self) -> Column:
+        inside = F.row_number().over(Window.partitionBy(ref(self.slice)).orderBy(*self.order))
+        return F.element_at(_longs(self.starts), ref(self.slice) + 1) + inside - 1
+
+
+def _longs(values: list[int]) -> Column:
+    return F.from_json(F.lit(str(values)), "array<bigint>")  # folded to one literal
+
+
+def sliced(df: DataFrame, keys: list[tuple[str, bool]], unique_order: bool = False) -> Sliced | None:
+    """Cut the order into slices by the value of its first column; None if that cannot be even.
+
+    The first column's span is divided into cells and the rows of each cell are
+    counted; neighbouring cells are then joined to slices. The driver sees one
+    count per cell, a number fixed by the shuffle partitions.
+    """
+    first, ascending = keys[0]
+    number = order_number(first, dtype(df, first))
+    if number is None:
+        return None
+    finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    span = df.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, hi, n = span["lo"] or 0.0, span["hi"] or 0.0, span["n"]
+    slices = max(1, min(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS_PER_SLICE + 1))
+    cells = min(64 * slices, MOST_CELLS)
+    width = (hi - lo) / cells or 1.0
+    cell = F.least(F.greatest(F.floor((number - lo) / width), F.lit(0)), F.lit(cells - 1))
+    cell = F.when(F.isnan(number), F.lit(cells - 1)).otherwise(F.coalesce(cell, F.lit(0))).cast("int")
+    if not ascending:
+        cell = F.lit(cells - 1) - cell
+    counts = {r["c"]: r["n"] for r in df.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = max(4 * n // slices, SLICE_ROWS)
+    if max(counts.values(), default=0) > most:
+        return None
+    table, starts, filled, before = [], [0], 0, 0
+    for c in range(cells):
+        here = counts.get(c, 0)
+        if filled and filled + here > n / slices:
+            before += filled
+            starts.append(before)
+            filled = 0
+        filled += here
+        table.append(len(starts) - 1)
+    prepared, ties = tie_broken(df, unique_order, split_copies=False)
+    name = fresh(prepared.columns, "__slice")
+    order = [directed(k, up) for k, up in keys] + [ref(t).asc() for t in ties]
+    chosen = F.element_at(_longs(table), cell + 1).cast("int") if len(starts) > 1 else cell * 0
+    return Sliced(prepared.withColumn(name, chosen), name, order, starts, [name, *ties])
+
+
+def row_index(order_by, name: str = "_index", unique_order: bool = False, stable: bool = False) -> Step:
+    """Add a gapless 0-based row number in the given order.
+
+    `stable` says that the input gives the same rows each time it is read.
+    """
 
     def step(df: DataFrame) -> DataFrame:
-        table = numbered(df, order_keys(order_by, df), unique_order)
+        keys = order_keys(order_by, df)
+        cut = sliced(df, keys, unique_order) if stable else None
+        if cut:
+            return cut.df.withColumn(name, cut.position()).drop(*cut.helpers)
+        table = numbered(df, keys, unique_order)
         return table.df.withColumn(name, table.position()).drop(table.seq)
 
     return step
 
 
-def every_nth(n: int, order_by, unique_order: bool = False) -> Step:
+def every_nth(n: int, order_by, unique_order: bool = False, stable: bool = False) -> Step:
     """The first row and each n-th after it."""
     if n < 1:
         raise ValueError("n must be at least 1")
 
     def step(df: DataFrame) -> DataFrame:
         name = fresh(df.columns, "__at")
-        return row_index(order_by, name, unique_order)(df).filter(ref(name) % n == 0).drop(name)
+        return row_index(order_by, name, unique_order, stable)(df).filter(ref(name) % n == 0).drop(name)
 
     return step
 
 
-def ffill(order_by, columns=None, limit: int | None = None, partition_by=None,
-          unique_order: bool = False, hot_rows: int = HOT_ROWS) -> Step:
+def ffill(order_by, columns=None, limit: int | None = None, partition_by=None, unique_order: bool = False,
+          stable: bool = False, hot_rows: int = HOT_ROWS) -> Step:
     """Replace missing values by the last present one before them."""
-    return lambda df: _fill(df, order_by, columns, limit, partition_by, unique_order, hot_rows, True)
+    return lambda df: _fill(df, order_by, columns, limit, partition_by, unique_order, stable, hot_rows, True)
 
 
-def bfill(order_by, columns=None, limit: int | None = None, partition_by=None,
-          unique_order: bool = False, hot_rows: int = HOT_ROWS) -> Step:
+def bfill(order_by, columns=None, limit: int | None = None, partition_by=None, unique_order: bool = False,
+          stable: bool = False, hot_rows: int = HOT_ROWS) -> Step:
     """Replace missing values by the next present one after them."""
-    return lambda df: _fill(df, order_by, columns, limit, partition_by, unique_order, hot_rows, False)
+    return lambda df: _fill(df, order_by, columns, limit, partition_by, unique_order, stable, hot_rows, False)
 
 
-def _fill(df, order_by, columns, limit, partition_by, unique_order, hot_rows, forward) -> DataFrame:
+def _fill(df, order_by, columns, limit, partition_by, unique_order, stable, hot_rows, forward) -> DataFrame:
     targets = require(df, names(columns) or df.columns, "fill")
     groups = require(df, names(partition_by), "fill partition_by")
     targets = [t for t in targets if t not in groups]
@@ -181,6 +275,11 @@ def _fill(df, order_by, columns, limit, partition_by, unique_order, hot_rows, fo
     if limit is not None and limit < 0:
         limit = None
     if not groups:
+        cut = sliced(df, keys, unique_order) if stable else None
+        if cut:
+            rows = cut.df.withColumnsRenamed({cut.slice: "__part"})
+            cut.slice = "__part"
+            return _fill_over_parts(rows.withColumn("__at", cut.position()), df.columns, targets, [], limit, cut.order)
         return _fill_ranged(df, targets, keys, groups, limit, unique_order)
 
     # Groups of an ordinary size are filled by a window; groups too large for one
@@ -216,46 +315,48 @@ def _fill_windowed(df, targets, keys, groups, limit, unique_order) -> DataFrame:
 
 
 def _fill_ranged(df, targets, keys, groups, limit, unique_order) -> DataFrame:
-    """Fill over ranges: inside each range by a window, across ranges by a carry.
-
-    The carry is one row per range: the last present value of the ranges before
-    it, as far as they belong to the same group.
-    """
     group_keys = [(g, True) for g in groups]
     table = numbered(df, group_keys + [k for k in keys if k[0] not in groups], unique_order)
-    rows = table.df.withColumns({"__part": table.part()})
-    if limit is not None:
-        rows = rows.withColumn("__at", table.position())
+    at = table.position() if limit is not None else ref(table.seq)
+    rows = table.df.withColumns({"__part": table.part(), "__at": at})
+    return _fill_over_parts(rows, df.columns, targets, groups, limit, [ref(table.seq)])
+
+
+def _fill_over_parts(rows, columns, targets, groups, limit, order) -> DataFrame:
+    """Fill over parts of the order: inside each part by a window, across parts by a carry.
+
+    `__part` numbers the parts and `__at` grows with the order (with a limit, by
+    one per row). The carry is one row per part: the last present value of the
+    parts before it, as far as they belong to the same group.
+    """
     here = [F.col("__part")] + [ref(g) for g in groups]
-    so_far = Window.partitionBy(*here).orderBy(ref(table.seq)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(*here).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     summary = []
     local = {}
     for i, t in enumerate(targets):
-        present = ~is_blank(ref(t), dtype(df, t))
-        summary.append(F.max_by(ref(t), F.when(present, ref(table.seq))).alias(f"__last_{i}"))
+        present = ~is_blank(ref(t), dtype(rows, t))
+        summary.append(F.max_by(ref(t), F.when(present, F.col("__at"))).alias(f"__last_{i}"))
+        summary.append(F.max(F.when(present, F.col("__at"))).alias(f"__seen_{i}"))
         local[f"__here_{i}"] = F.last(F.when(present, ref(t)), ignorenulls=True).over(so_far)
         if limit is not None:
-            summary.append(F.max(F.when(present, F.col("__at"))).alias(f"__seen_{i}"))
             local[f"__seen_here_{i}"] = F.max(F.when(present, F.col("__at"))).over(so_far)
-        summary.append(F.max(F.when(present, F.lit(True))).alias(f"__any_{i}"))
 
-    # One row per (range, group), so without groups as many rows as there are ranges;
+    # One row per (part, group), so without groups as many rows as there are parts;
     # they form one run, keyed by an expression that is the same for all of them.
     ends = rows.groupBy(*here).agg(*summary)
     before = (
         Window.partitionBy(*([ref(g) for g in groups] or [F.col("__part") < 0]))
         .orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    carry_columns = []
+    carried = []
     for i, _ in enumerate(targets):
-        known = F.col(f"__any_{i}")
-        carry_columns.append(F.last(F.when(known, F.col(f"__last_{i}")), ignorenulls=True).over(before).alias(f"__carry_{i}"))
-        if limit is not None:
-            carry_columns.append(F.max(F.col(f"__seen_{i}")).over(before).alias(f"__carry_seen_{i}"))
-    carry_keys = [F.col("__part").alias("__carry_part")] + [ref(g).alias(f"__carry_g{i}") for i, g in enumerate(groups)]
-    carry = ends.select(*carry_keys, *carry_columns)
-    carry = carry.filter(reduce(or_, [F.col(f"__carry_{i}").isNotNull() for i in range(len(targets))]))
+        known = F.col(f"__seen_{i}").isNotNull()
+        carried.append(F.last(F.when(known, F.col(f"__last_{i}")), ignorenulls=True).over(before).alias(f"__carry_{i}"))
+        carried.append(F.max(F.col(f"__seen_{i}")).over(before).alias(f"__carry_seen_{i}"))
+    carry = ends.select(
+        F.col("__part").alias("__carry_part"), *[ref(g).alias(f"__carry_g{i}") for i, g in enumerate(groups)], *carried)
+    carry = carry.filter(reduce(or_, [F.col(f"__carry_seen_{i}").isNotNull() for i in range(len(targets))]))
     same = [F.col("__part") == F.col("__carry_part")] + [
         ref(g).eqNullSafe(F.col(f"__carry_g{i}")) for i, g in enumerate(groups)
     ]
@@ -266,6 +367,6 @@ def _fill_ranged(df, targets, keys, groups, limit, unique_order) -> DataFrame:
         if limit is not None:
             seen = F.coalesce(F.col(f"__seen_here_{i}"), F.col(f"__carry_seen_{i}"))
             value = F.when(F.col("__at") - seen <= limit, value)
-        present = ~is_blank(ref(t), dtype(df, t))
+        present = ~is_blank(ref(t), dtype(rows, t))
         filled[t] = F.when(present, ref(t)).otherwise(F.coalesce(value, ref(t)))
-    return joined.withColumns(filled).select(*[ref(c) for c in df.columns])
+    return joined.withColumns(filled).select(*[ref(c) for c in columns])

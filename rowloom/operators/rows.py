@@ -248,11 +248,11 @@ def sort(columns, order: str = "asc", limit: int | None = None, unique_order: bo
 
 
 def sampling(mode: str = "first", value: float = 0, order_by=None, seed: int | None = None, key=None,
-             unique_order: bool = False) -> Step:
+             unique_order: bool = False, stable: bool = False) -> Step:
     """first: the first `value` rows; percent: each row with that chance; every: each value-th row.
 
     percent with `key` draws by a hash of the key columns: the same rows each
-    time, and all rows of a key together.
+    time, and all rows of a key together. `stable` is as for `row_index`.
     """
     if value <= 0:
         raise ValueError("sampling: value must be greater than 0")
@@ -267,13 +267,13 @@ def sampling(mode: str = "first", value: float = 0, order_by=None, seed: int | N
             hashed = F.xxhash64(F.lit(seed or 0), *[ref(k) for k in require(df, names(key), "sampling")])
             return df.filter(F.pmod(hashed, F.lit(1_000_000)) < int(share * 1_000_000))
         if mode == "every":
-            return every_nth(max(int(value), 1), order_by or (), unique_order)(df)
+            return every_nth(max(int(value), 1), order_by or (), unique_order, stable)(df)
         n = int(value)
         if order_by is None:
             return df.limit(n)
         if n > LARGE_LIMIT:  # too many rows for the one task that ends a top-n
             at = fresh(df.columns, "__at")
-            return row_index(order_by, at, unique_order)(df).filter(ref(at) < n).drop(at)
+            return row_index(order_by, at, unique_order, stable)(df).filter(ref(at) < n).drop(at)
         keys = order_keys(order_by, df)
         prepared, ties = tie_broken(df, unique_order, split_copies=False)
         by = [directed(c, up) for c, up in keys] + [ref(t).asc() for t in ties]

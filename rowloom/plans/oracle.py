@@ -197,6 +197,7 @@ SELECT l_returnflag, l_linestatus, min(i) AS first, max(i) AS last, count(DISTIN
 SELECT c_custkey, c_name AS name, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment, NULL::BIGINT AS s_suppkey FROM customer
 UNION ALL SELECT NULL, s_name, s_nationkey, s_acctbal, NULL, s_suppkey FROM supplier""",
     "ffill": fill_sql("", None, ""),
+    "ffill_written": fill_sql("", None, ""),
     "ffill_limit_per_user": fill_sql("PARTITION BY user_id", 1, ""),
     "ffill_hot_users": fill_sql("PARTITION BY user_id", 1, ""),
     "bfill": fill_sql("", 2, "DESC"),

@@ -332,7 +332,7 @@ def sort_text_numbers(spark, folder):
 @query
 def row_index(spark, folder):
     return table(spark, folder, "orders").transform(rl.chain(
-        rl.row_index("o_totalprice desc, o_orderkey", unique_order=True), rl.select("o_orderkey,_index")))
+        rl.row_index("o_totalprice desc, o_orderkey", unique_order=True, stable=True), rl.select("o_orderkey,_index")))
 
 
 @query
@@ -352,7 +352,7 @@ def sampling_first(spark, folder):
 @query
 def sampling_every(spark, folder):
     return table(spark, folder, "events").transform(rl.chain(
-        rl.sampling("every", 10, order_by="ts, event_id", unique_order=True), rl.select("event_id,user_id")))
+        rl.sampling("every", 10, order_by="ts, event_id", unique_order=True, stable=True), rl.select("event_id,user_id")))
 
 
 @query
@@ -370,6 +370,12 @@ def union_by_name(spark, folder):
 
 @query
 def ffill(spark, folder):
+    return _gaps(spark, folder).transform(rl.ffill("event_id", "v,t", unique_order=True, stable=True))
+
+
+@query
+def ffill_written(spark, folder):
+    """The form for any input: ranges over a written table."""
     return _gaps(spark, folder).transform(rl.ffill("event_id", "v,t", unique_order=True))
 
 
@@ -386,7 +392,7 @@ def ffill_hot_users(spark, folder):
 
 @query
 def bfill(spark, folder):
-    return _gaps(spark, folder).transform(rl.bfill("event_id", "v,t", 2, unique_order=True))
+    return _gaps(spark, folder).transform(rl.bfill("event_id", "v,t", 2, unique_order=True, stable=True))
 
 
 def _gaps(spark, folder):
@@ -470,7 +476,7 @@ def merge_validated(spark, folder):
 def append_fields(spark, folder):
     customers = table(spark, folder, "customer").transform(rl.select("c_custkey,c_acctbal"))
     suppliers = table(spark, folder, "supplier").transform(rl.select("s_suppkey,s_name"))
-    return rl.append_fields(customers, suppliers, "c_acctbal desc, c_custkey", "s_suppkey", unique_order=True)
+    return rl.append_fields(customers, suppliers, "c_acctbal desc, c_custkey", "s_suppkey", unique_order=True, stable=True)
 
 
 # ---- profiling and models -------------------------------------------------

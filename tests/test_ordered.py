@@ -91,3 +91,64 @@ def test_no_single_partition(rows):
     for out in (df.transform(rl.ffill("n", "v", 2)), df.transform(rl.row_index("n")),
                 df.transform(rl.sampling("every", 7, order_by="n")), rl.append_fields(df, df, "n", "n")):
         assert "SinglePartition" not in plan_of(out)
+
+
+def spread_rows(rows, n=3000):
+    import datetime as dt
+    rng = random.Random(11)
+    data = []
+    for i in range(n):
+        x = rng.choice([rng.gauss(0, 1e3), rng.expovariate(1e-6), None, float("nan"), float("inf"), float("-inf")])
+        t = dt.datetime(2024, 3, 9) + dt.timedelta(seconds=rng.randrange(400000))
+        data.append((i, x, t, t.date(), rng.choice(["é", "a", "b", "", "zz"]) + str(rng.randrange(99)), rng.choice(["", None, f"v{i}"])))
+    return rows("id int, x double, t timestamp_ntz, d date, s string, v string", *data, parts=8), data
+
+
+@pytest.mark.parametrize("order", ["x, id", "x desc, id desc", "t, id", "d desc, id", "s, id", "s desc, id", "id"])
+def test_slices_equal_ranges(rows, monkeypatch, order):
+    """The two ways of cutting the order agree, for all kinds of order columns."""
+    from rowloom.operators import ordered
+    df, _ = spread_rows(rows)
+    plain = rows.out(df.transform(rl.row_index(order, unique_order=True)), "id", "_index")
+    real = ordered.sliced
+    used = []
+
+    def many_slices(df, keys, unique):
+        cut = real(df, keys, unique)
+        used.append(cut is not None)
+        return cut
+
+    monkeypatch.setattr(ordered, "sliced", many_slices)
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 50)
+    assert rows.out(df.transform(rl.row_index(order, unique_order=True, stable=True)), "id", "_index") == plain
+    assert used == [True]
+    for step in (lambda stable: rl.ffill(order, "v", 2, unique_order=True, stable=stable), lambda stable: rl.bfill(order, "v", stable=stable)):
+        assert rows.out(df.transform(step(True)), "id", "v") == rows.out(df.transform(step(False)), "id", "v")
+    every = rl.sampling("every", 7, order, stable=True)
+    assert rows.out(df.transform(every), "id") == rows.out(df.transform(rl.sampling("every", 7, order)), "id")
+
+
+def test_slices_are_even_or_refused(rows, monkeypatch):
+    from rowloom.operators import ordered
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 50)
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 100)
+    df, data = spread_rows(rows)
+    cut = ordered.sliced(df, [("t", True)])
+    sizes = [b - a for a, b in zip(cut.starts, cut.starts[1:] + [len(data)])]
+    assert len(sizes) > 8 and sum(sizes) == len(data) and max(sizes) <= 4 * len(data) // 16
+    hot = rows("k int, id int", *[(7 if i % 3 else i, i) for i in range(900)])
+    assert ordered.sliced(hot, [("k", True)]) is None
+    index = hot.transform(rl.row_index("k, id", unique_order=True, stable=True))
+    assert [r.id for r in index.orderBy("_index").collect()] == [i for _, i in sorted((7 if i % 3 else i, i) for i in range(900))]
+    assert ordered.sliced(df.selectExpr("array(id) as a"), [("a", True)]) is None
+    assert df.limit(0).transform(rl.row_index("id", stable=True)).count() == 0
+
+
+def test_one_shuffle_for_slices(spark, rows, tmp_path, monkeypatch):
+    from rowloom.operators import ordered
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 50)
+    df, _ = spread_rows(rows)
+    df.write.parquet(str(tmp_path / "t"))
+    plan = plan_of(spark.read.parquet(str(tmp_path / "t")).transform(rl.row_index("t, id", unique_order=True, stable=True)))
+    tree = plan.split("\n\n\n")[0]
+    assert tree.count("Exchange") == 1 and "SinglePartition" not in plan
