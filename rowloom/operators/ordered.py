@@ -34,7 +34,7 @@ from ..session import written
 Step = Callable[[DataFrame], DataFrame]
 PLACE_BITS = 33  # monotonically_increasing_id(): partition above, place below
 HOT_ROWS = 20_000_000
-ROWS_PER_SLICE = 10_000  # small inputs get fewer slices
+ROWS_PER_SLICE = 100_000  # small inputs get fewer slices
 SLICE_ROWS = 1_000_000  # a slice this small is never too large
 MOST_CELLS = 1 << 18
 
@@ -275,12 +275,7 @@ def _fill(df, order_by, columns, limit, partition_by, unique_order, stable, hot_
     if limit is not None and limit < 0:
         limit = None
     if not groups:
-        cut = sliced(df, keys, unique_order) if stable else None
-        if cut:
-            rows = cut.df.withColumnsRenamed({cut.slice: "__part"})
-            cut.slice = "__part"
-            return _fill_over_parts(rows.withColumn("__at", cut.position()), df.columns, targets, [], limit, cut.order)
-        return _fill_ranged(df, targets, keys, groups, limit, unique_order)
+        return _fill_in_parts(df, targets, keys, groups, limit, unique_order, stable)
 
     # Groups of an ordinary size are filled by a window; groups too large for one
     # task are cut into ranges. The counting job reads the group columns only.
@@ -291,7 +286,7 @@ def _fill(df, order_by, columns, limit, partition_by, unique_order, stable, hot_
     hot = hot.toDF(*[f"__hot_{i}" for i in range(len(groups))])
     same = [ref(g).eqNullSafe(F.col(f"__hot_{i}")) for i, g in enumerate(groups)]
     cold_part = _fill_windowed(df.join(hot, same, "left_anti"), targets, keys, groups, limit, unique_order)
-    hot_part = _fill_ranged(df.join(hot, same, "left_semi"), targets, keys, groups, limit, unique_order)
+    hot_part = _fill_in_parts(df.join(hot, same, "left_semi"), targets, keys, groups, limit, unique_order, stable)
     return cold_part.unionByName(hot_part)
 
 
@@ -314,25 +309,35 @@ def _fill_windowed(df, targets, keys, groups, limit, unique_order) -> DataFrame:
     return prepared.withColumns(filled).select(*[ref(c) for c in df.columns])
 
 
-def _fill_ranged(df, targets, keys, groups, limit, unique_order) -> DataFrame:
+def _fill_in_parts(df, targets, keys, groups, limit, unique_order, stable) -> DataFrame:
+    """Number the parts of the order, by slices or by ranges, and fill over them."""
+    cut = sliced(df, keys, unique_order) if stable else None
+    if cut and len(cut.starts) == 1:  # small enough for one task
+        return _fill_windowed(cut.df, targets, keys, [cut.slice, *groups], limit, unique_order).drop(*cut.helpers)
+    if cut:
+        # Slices follow the order columns alone, so each holds a piece of every group.
+        rows = cut.df.withColumn("__part", ref(cut.slice))
+        piece = Window.partitionBy("__part", *[ref(g) for g in groups]).orderBy(*cut.order)
+        rows = rows.withColumn("__at", F.row_number().over(piece).cast("bigint"))
+        return _fill_over_parts(rows, df.columns, targets, groups, limit, cut.order, True)
     group_keys = [(g, True) for g in groups]
     table = numbered(df, group_keys + [k for k in keys if k[0] not in groups], unique_order)
     at = table.position() if limit is not None else ref(table.seq)
     rows = table.df.withColumns({"__part": table.part(), "__at": at})
-    return _fill_over_parts(rows, df.columns, targets, groups, limit, [ref(table.seq)])
+    return _fill_over_parts(rows, df.columns, targets, groups, limit, [ref(table.seq)], False)
 
 
-def _fill_over_parts(rows, columns, targets, groups, limit, order) -> DataFrame:
+def _fill_over_parts(rows, columns, targets, groups, limit, order, from_part_start) -> DataFrame:
     """Fill over parts of the order: inside each part by a window, across parts by a carry.
 
-    `__part` numbers the parts and `__at` grows with the order (with a limit, by
-    one per row). The carry is one row per part: the last present value of the
-    parts before it, as far as they belong to the same group.
+    `__part` numbers the parts and `__at` grows with the order: by one per row of
+    the group from the start of the part (`from_part_start`) or of the table. The
+    carry is one row per part and group: the group's last present value before it.
     """
     here = [F.col("__part")] + [ref(g) for g in groups]
     so_far = Window.partitionBy(*here).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    summary = []
+    summary = [F.count(F.lit(1)).alias("__n")]
     local = {}
     for i, t in enumerate(targets):
         present = ~is_blank(ref(t), dtype(rows, t))
@@ -344,19 +349,21 @@ def _fill_over_parts(rows, columns, targets, groups, limit, order) -> DataFrame:
 
     # One row per (part, group), so without groups as many rows as there are parts;
     # they form one run, keyed by an expression that is the same for all of them.
-    ends = rows.groupBy(*here).agg(*summary)
     before = (
         Window.partitionBy(*([ref(g) for g in groups] or [F.col("__part") < 0]))
         .orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     )
+    start = F.coalesce(F.sum("__n").over(before), F.lit(0)) if from_part_start else F.lit(0).cast("bigint")
+    ends = rows.groupBy(*here).agg(*summary).withColumn("__start", start)
     carried = []
     for i, _ in enumerate(targets):
-        known = F.col(f"__seen_{i}").isNotNull()
-        carried.append(F.last(F.when(known, F.col(f"__last_{i}")), ignorenulls=True).over(before).alias(f"__carry_{i}"))
-        carried.append(F.max(F.col(f"__seen_{i}")).over(before).alias(f"__carry_seen_{i}"))
+        seen = F.col(f"__seen_{i}")
+        carried.append(F.last(F.when(seen.isNotNull(), F.col(f"__last_{i}")), ignorenulls=True).over(before).alias(f"__carry_{i}"))
+        # From the carried row to where `__at` counts from.
+        carried.append((F.col("__start") - F.max(F.col("__start") + seen).over(before)).alias(f"__gap_{i}"))
     carry = ends.select(
         F.col("__part").alias("__carry_part"), *[ref(g).alias(f"__carry_g{i}") for i, g in enumerate(groups)], *carried)
-    carry = carry.filter(reduce(or_, [F.col(f"__carry_seen_{i}").isNotNull() for i in range(len(targets))]))
+    carry = carry.filter(reduce(or_, [F.col(f"__gap_{i}").isNotNull() for i in range(len(targets))]))
     same = [F.col("__part") == F.col("__carry_part")] + [
         ref(g).eqNullSafe(F.col(f"__carry_g{i}")) for i, g in enumerate(groups)
     ]
@@ -365,8 +372,8 @@ def _fill_over_parts(rows, columns, targets, groups, limit, order) -> DataFrame:
     for i, t in enumerate(targets):
         value = F.coalesce(F.col(f"__here_{i}"), F.col(f"__carry_{i}"))
         if limit is not None:
-            seen = F.coalesce(F.col(f"__seen_here_{i}"), F.col(f"__carry_seen_{i}"))
-            value = F.when(F.col("__at") - seen <= limit, value)
+            away = F.coalesce(F.col("__at") - F.col(f"__seen_here_{i}"), F.col("__at") + F.col(f"__gap_{i}"))
+            value = F.when(away <= limit, value)
         present = ~is_blank(ref(t), dtype(rows, t))
         filled[t] = F.when(present, ref(t)).otherwise(F.coalesce(value, ref(t)))
     return joined.withColumns(filled).select(*[ref(c) for c in columns])

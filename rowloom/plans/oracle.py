@@ -200,6 +200,7 @@ UNION ALL SELECT NULL, s_name, s_nationkey, s_acctbal, NULL, s_suppkey FROM supp
     "ffill_written": fill_sql("", None, ""),
     "ffill_limit_per_user": fill_sql("PARTITION BY user_id", 1, ""),
     "ffill_hot_users": fill_sql("PARTITION BY user_id", 1, ""),
+    "ffill_hot_users_written": fill_sql("PARTITION BY user_id", 1, ""),
     "bfill": fill_sql("", 2, "DESC"),
     "join_inner": """SELECT o_orderkey, o_custkey, o_totalprice, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey""",
     "join_aggregated": """SELECT n_name, round(sum(o_totalprice), 0) AS total, count(o_custkey) AS n FROM orders

@@ -386,7 +386,14 @@ def ffill_limit_per_user(spark, folder):
 
 @query
 def ffill_hot_users(spark, folder):
-    """Every user counts as too large for one task, so all go through ranges."""
+    """Every user counts as too large for one task, so all are cut into slices."""
+    return _gaps(spark, folder).transform(
+        rl.ffill("event_id", "v,t", 1, partition_by="user_id", unique_order=True, stable=True, hot_rows=1))
+
+
+@query
+def ffill_hot_users_written(spark, folder):
+    """The same through ranges over a written table."""
     return _gaps(spark, folder).transform(rl.ffill("event_id", "v,t", 1, partition_by="user_id", unique_order=True, hot_rows=1))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .functions.names import ref
 
 _local_dirs: dict[str, str] = {}
-_written: list[str] = []
+_folders: list[str] = []
 
 
 def session(app: str = "rowloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,7 +53,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path of its own in the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/rowloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/rowloom/{label}-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -65,7 +67,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     void = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
     stored = df.drop(*void) if void else df
     path = new_folder(df.sparkSession, label)
-    _written.append(path)
     stored.write.parquet(path)
     back = df.sparkSession.read.schema(stored.schema).parquet(path)
     if void:
@@ -74,9 +75,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def remove_written(spark: SparkSession) -> int:
-    """Delete the intermediate tables of this process once their results are no longer needed."""
+    """Delete this process's folders in the shared folder, once no DataFrame built on them is needed."""
     removed = 0
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
         removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return removed

@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from rowloom.session import session  # noqa: E402
+from rowloom.session import remove_written, session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -14,11 +14,11 @@ def spark():
     spark = session(
         "rowloom-tests", "local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
-           "spark.checkpoint.dir": tempfile.mkdtemp(prefix="rowloom-test-"),
            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="rowloom-wh-"), "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
+    remove_written(spark)
     spark.stop()
 
 

@@ -83,8 +83,8 @@ def test_shared_folder_is_required_on_a_cluster():
 
 def test_remove_written(spark, rows):
     from pathlib import Path
-    from rowloom.session import _written, remove_written
+    from rowloom.session import _folders, remove_written
     rows("a int", (1,), (2,)).transform(rl.row_index("a")).count()
-    paths = [Path(p) for p in _written if "://" not in p]
+    paths = [Path(p) for p in _folders if "://" not in p]
     assert any(p.exists() for p in paths)
     assert remove_written(spark) >= 1 and not any(p.exists() for p in paths)

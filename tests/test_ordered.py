@@ -37,8 +37,10 @@ def test_bfill(rows):
 @pytest.mark.parametrize("forward", [True, False])
 @pytest.mark.parametrize("limit", [None, 2])
 @pytest.mark.parametrize("groups, hot_rows", [(None, 1), ("g", 5), ("g", 10**9)])
-@pytest.mark.parametrize("parts", [1, 8])
-def test_fill_against_the_rule(rows, forward, limit, groups, hot_rows, parts):
+@pytest.mark.parametrize("parts, stable", [(1, False), (8, False), (8, True)])
+def test_fill_against_the_rule(rows, monkeypatch, forward, limit, groups, hot_rows, parts, stable):
+    from rowloom.operators import ordered
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 5)
     rng = random.Random(5)
     data = []
     for g in ("a", "b", None):  # b is the hot group
@@ -50,7 +52,7 @@ def test_fill_against_the_rule(rows, forward, limit, groups, hot_rows, parts):
     df = rows("n int, g string, i int, v string, x double", *shuffled, parts=parts)
     fill = rl.ffill if forward else rl.bfill
     out = {r.n: (r.v, r.x) for r in df.transform(
-        fill("n", "v,x", limit, partition_by=groups, hot_rows=hot_rows)).collect()}
+        fill("n", "v,x", limit, partition_by=groups, stable=stable, hot_rows=hot_rows)).collect()}
     runs = [[r for r in table if r[1] == g] for g in ("a", "b", None)] if groups else [table]
     for run in runs:
         assert [out[r[0]][0] for r in run] == reference_fill([r[3] for r in run], limit, forward)
