@@ -6,8 +6,12 @@ written as plain Spark SQL (`F.expr`).
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .names import dtype, is_float, is_integral, is_number, ref, require
 from .parsing import as_text, parse_double
@@ -83,7 +87,7 @@ def value_expr(text: str, df: DataFrame, errors: str = "raise") -> Column:
     raise ValueError(f"unsupported expression: {text!r}")
 
 
-def compare_number(col: Column, op: str, bound: float | int, floating: bool) -> Column:
+def compare_number(col: Column, op: str, bound: float | int | Decimal, floating: bool) -> Column:
     """A comparison with a literal that the scan can push down."""
     value = F.lit(bound)
     if op in ("==", "eq"):
@@ -101,8 +105,10 @@ def compare_number(col: Column, op: str, bound: float | int, floating: bool) ->
 
 def number_predicate(df: DataFrame, name: str, op: str, bound: float, errors: str = "raise") -> Column:
     kind = dtype(df, name)
-    if is_integral(kind) and bound == int(bound):
+    if is_integral(kind) and math.isfinite(bound) and bound == int(bound):
         return compare_number(ref(name), op, int(bound), False)
+    if isinstance(kind, T.DecimalType) and math.isfinite(bound):
+        return compare_number(ref(name), op, Decimal(repr(bound)), False)
     if is_number(kind) and not is_float(kind):
         return compare_number(ref(name).cast("double"), op, bound, False)
     if is_float(kind):

@@ -170,7 +170,7 @@ FROM events""",
     "route": """
 SELECT CASE WHEN l_quantity > 40 THEN 0 WHEN l_discount > 0.05 THEN 1 ELSE 2 END AS _route, count(*) AS n, round(sum(l_quantity), 2) AS q
 FROM lineitem GROUP BY 1""",
-    "fork": "SELECT *, 'a' AS way FROM region UNION ALL SELECT *, 'b' FROM region",
+    "fork": "SELECT *, 'a' AS way FROM supplier UNION ALL SELECT *, 'b' FROM supplier",
     "row_counts": """SELECT 'before' AS step, count(*) AS n FROM orders
 UNION ALL SELECT 'after', count(*) FROM orders WHERE o_totalprice > 250000""",
     "dedup_keys": "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem",

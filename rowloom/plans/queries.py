@@ -271,7 +271,7 @@ def route(spark, folder):
 @query
 def fork(spark, folder):
     """The same rows on two ways, put together again."""
-    a, b = rl.fork(rl.dummy(table(spark, folder, "region")), 2)
+    a, b = rl.fork(rl.dummy(table(spark, folder, "supplier")), 2)
     return rl.union(a.transform(rl.add_column("way", "'a'")), b.transform(rl.add_column("way", "'b'")))
 
 
@@ -599,7 +599,7 @@ def csv_quoted_text(spark, folder):
     """Text with quotes, delimiters and line breaks survives."""
     path = new_folder(spark, "csv")
     rl.write_csv(table(spark, folder, "documents"), path, columns="doc_id,text,lang")
-    return rl.read_csv(spark, path, trim_leading_space=False, multi_line=True).select(
+    return rl.read_csv(spark, path, trim_leading_space=False).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("digest"), "lang")
 
 

@@ -28,16 +28,17 @@ def table_writer(df: DataFrame, url: str, table: str, schema: str | None = None,
 
 
 def write_table(df: DataFrame, url: str, table: str, schema: str | None = None, columns=None, mode: str = "insert",
-                keys=None, batch_size: int = BATCH_ROWS, **extra) -> None:
+                keys=None, batch_size: int = BATCH_ROWS, read_options: dict | None = None, **extra) -> None:
     """insert, truncate, or upsert by `keys`.
 
     JDBC has no upsert: the merged table is first written to the shared folder,
-    since the table it was read from is emptied next.
+    since the table it was read from is emptied next. `read_options` may hold
+    partitionColumn, lowerBound, upperBound and numPartitions for that reading.
     """
     if mode == "upsert":
         if not names(keys):
             raise ValueError("write_table: upsert needs keys")
-        current = read_table(df.sparkSession, url, table, schema, columns, **extra)
+        current = read_table(df.sparkSession, url, table, schema, columns, **{**extra, **(read_options or {})})
         df = written(upsert(current, df, keys), "upsert")
         mode = "truncate"
     table_writer(df, url, table, schema, columns, mode, batch_size, **extra).save()

@@ -63,17 +63,30 @@ def _options(spark: SparkSession, delimiter, encoding, newline, lazy_quotes, tri
     return options
 
 
+def _has_quoted_breaks(spark: SparkSession, path) -> bool:
+    """Whether some line leaves a quote open: a field may go on in the next line.
+
+    A splittable pass over the text that stops at the first such line.
+    """
+    line = F.col("value")
+    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None = ",", encoding: str = "utf-8",
              newline: str = "auto", has_header: bool = True, headers=None, skip_empty_lines: bool = False,
              lazy_quotes: bool = True, trim_leading_space: bool = True, fields_per_record: int = -1,
-             blank_as: str = "empty", auto_names: str = "column", multi_line: bool = False) -> DataFrame:
+             blank_as: str = "empty", auto_names: str = "column", multi_line: bool | None = None) -> DataFrame:
     """Read delimited files.
 
     Names come from the first line, from `headers` (with has_header=False) or are
     generated: column_1.. or A, B, C.. with auto_names="letters". Missing and
     empty fields are "" or, with blank_as="null", NULL. `fields_per_record` of 0
-    or more makes a row of another width an error. `multi_line` reads quoted line
-    breaks at the price of files that cannot be split.
+    or more makes a row of another width an error.
+
+    Line breaks inside quotes need `multi_line`, and then files cannot be split
+    over tasks. By default a first pass over the text finds out whether there are
+    any; give True or False where that is known.
     """
     if not path:
         raise ValueError("read_csv: path is required")
@@ -83,6 +96,8 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None =
         raise ValueError(f"read_csv: blank_as must be 'empty' or 'null', got {blank_as!r}")
     if auto_names not in ("column", "letters"):
         raise ValueError(f"read_csv: auto_names must be 'column' or 'letters', got {auto_names!r}")
+    if multi_line is None:
+        multi_line = encoding_of(encoding).startswith("UTF-16") or _has_quoted_breaks(spark, path)
     options = _options(spark, delimiter, encoding, newline, lazy_quotes, trim_leading_space, multi_line)
     given = name_list(headers)
     if has_header or not given:
@@ -122,4 +137,5 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None =
 
 def csv_preview(spark: SparkSession, path: str, limit: int = 20, **options) -> DataFrame:
     """The first rows of a file, at most 100."""
+    options.setdefault("multi_line", True)  # only the beginning is read
     return read_csv(spark, path, **options).limit(max(1, min(limit or 20, 100)))

@@ -45,9 +45,10 @@ def json_pages(spark: SparkSession, path: str, schema: str | T.StructType | None
     pages = pages.withColumn("__records", records(F.col("value"), schema, data_path))
     if page_size:
         pages = pages.withColumn("__page", F.regexp_extract("__file", page_pattern, 1).try_cast("bigint"))
-        short = pages.filter(F.size("__records") < page_size).agg(F.min("__page").alias("last")).scalar()
-        first = pages.agg(F.min("__page").alias("first")).scalar()
-        pages = pages.filter((F.col("__page") <= F.coalesce(short, F.lit(2**62))) & (F.col("__page") < first + max_pages))
+        short = F.when(F.size("__records") < page_size, F.col("__page"))
+        ends = pages.agg(F.struct(F.min("__page").alias("first"), F.min(short).alias("last")).alias("ends")).scalar()
+        pages = pages.filter((F.col("__page") <= F.coalesce(ends.getField("last"), F.col("__page")))
+                             & (F.col("__page") < ends.getField("first") + max_pages))
     return pages.select(F.explode("__records").alias("__record")).select("__record.*")
 
 

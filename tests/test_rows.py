@@ -26,6 +26,15 @@ def test_filter_errors_and_nulls(rows):
     assert df.transform(rl.filter_rows("x > 0")).count() == 1
 
 
+def test_filter_literals(rows):
+    import decimal
+    df = rows("n int, d decimal(10,2)", (1, decimal.Decimal("1.10")), (2, decimal.Decimal("2.50")), (None, None))
+    assert df.transform(rl.filter_rows("d >= 2.5")).count() == 1
+    assert df.transform(rl.filter_rows("d == 1.1")).count() == 1
+    assert df.transform(rl.filter_rows("n < inf")).count() == 2
+    assert df.transform(rl.filter_rows("d < 1e30")).count() == 2
+
+
 def test_filter_pushdown(spark, tmp_path):
     spark.range(10).selectExpr("id", "id * 2.0d as x", "'a' as s", "1 as unused").write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))

@@ -38,11 +38,12 @@ def test_read_csv_without_header(spark, rows, tmp_path):
 
 @pytest.mark.parametrize("encoding, python", [
     ("utf-8", "utf-8"), ("windows-1252", "cp1252"), ("iso-8859-1", "latin-1"), ("utf-16le", "utf-16-le"), ("utf-16be", "utf-16-be")])
+@pytest.mark.parametrize("multi_line", [None, False])
 @pytest.mark.parametrize("eol", ["\n", "\r\n"])
-def test_read_csv_encodings(spark, rows, tmp_path, encoding, python, eol):
+def test_read_csv_encodings(spark, rows, tmp_path, encoding, python, eol, multi_line):
     text = eol.join(["prénom\tville", "Zoé\tOrléans", "Léa\tSète", ""])
     path = put(tmp_path / "a.csv", (("﻿" + text) if "16" in encoding else text).encode(python))
-    df = rl.read_csv(spark, path, "tab", encoding=encoding)
+    df = rl.read_csv(spark, path, "tab", encoding=encoding, multi_line=multi_line)
     assert df.columns == ["prénom", "ville"] and rows.out(df) == [("Léa", "Sète"), ("Zoé", "Orléans")]
 
 
@@ -51,7 +52,9 @@ def test_read_csv_cr_and_several_files(spark, rows, tmp_path):
     put(tmp_path / "d" / "2.csv", "a,b\r3,4\r")
     assert rows.out(rl.read_csv(spark, str(tmp_path / "d"), newline="cr")) == [("1", "2"), ("3", "4")]
     multi = put(tmp_path / "m.csv", 'a,b\n"x\ny",2\n')
-    assert rows.out(rl.read_csv(spark, multi, multi_line=True)) == [("x\ny", "2")]
+    assert rows.out(rl.read_csv(spark, multi)) == [("x\ny", "2")]
+    assert rl.read_csv(spark, multi, multi_line=False).count() == 2
+    assert rows.out(rl.csv_preview(spark, multi)) == [("x\ny", "2")]
     with pytest.raises(ValueError):
         rl.read_csv(spark, multi, encoding="ebcdic")
 
