@@ -1,8 +1,10 @@
 """Equality joins with fixed output columns.
 
-Catalyst and AQE choose the strategy and split hot keys at run time. AQE
-cannot split a full outer join, so that one is planned as a left join plus the
-right rows without a partner, both of which it can split.
+Catalyst and AQE choose the strategy and split hot keys at run time. Two cases
+are beyond AQE and planned differently: a full outer join becomes a left join
+plus the right rows without a partner; and where the side that may stay without
+a partner's columns has a hot key, an outer join becomes an inner join plus the
+rows without a partner. AQE can split each of these pieces.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import dtype, is_number, ref, require
 from ..functions.parsing import as_text
-from .ordered import row_index
+from .ordered import HOT_ROWS, row_index
 
+SMALL_SIDE = 1 << 30  # bytes; a side of this size fits a task whatever its keys
 JOIN_TYPES = ("inner", "left", "right", "full")
 VALIDATIONS = ("", "one_to_one", "one_to_many", "many_to_one", "many_to_many")
 
@@ -26,11 +29,28 @@ def _equal(left: DataFrame, lk: str, right: DataFrame, rk: str, right_name: str,
     return a.eqNullSafe(b) if nulls_match else a == b
 
 
+def _has_hot_key(side: DataFrame, key: str) -> bool:
+    """Whether one key of a large side holds more rows than a task should.
+
+    Small sides are told by the optimizer's size estimate; for others one job
+    counts the rows per key, reading the key column only.
+    """
+    if side.isStreaming:
+        return False
+    estimate = side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) < SMALL_SIDE:
+        return False
+    most = side.groupBy(ref(key)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return most > HOT_ROWS
+
+
 def _joined(left: DataFrame, right: DataFrame, lk: str, rk: str, how: str, nulls_match: bool,
-            left_names: dict[str, str], right_names: dict[str, str], split_hot: bool) -> DataFrame:
+            left_names: dict[str, str], right_names: dict[str, str], split_hot: bool | None) -> DataFrame:
     outputs = [left_names[c] for c in left.columns] + [right_names[c] for c in right.columns if c != rk]
     if len(set(outputs)) < len(outputs):
         raise ValueError(f"join: two output columns would share a name: {outputs}")
+    if split_hot is None:
+        split_hot = how != "inner" and _has_hot_key(*((left, lk) if how == "right" else (right, rk)))
     hidden = {c: f"__right_{i}" for i, c in enumerate(right.columns)}
     other = right.select(*[ref(c).alias(hidden[c]) for c in right.columns])
     on = _equal(left, lk, right, rk, hidden[rk], nulls_match)
@@ -80,11 +100,12 @@ def _joined(left: DataFrame, right: DataFrame, lk: str, rk: str, how: str, nulls
 
 
 def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner",
-         nulls_match: bool = True, prefix: str = "right_", split_hot: bool = False) -> DataFrame:
+         nulls_match: bool = True, prefix: str = "right_", split_hot: bool | None = None) -> DataFrame:
     """Join on one key; the right key is dropped and clashing right columns get a prefix.
 
-    `split_hot` plans left and right joins as an inner join plus the rows
-    without a partner, so AQE may split a hot key on either side.
+    `split_hot` plans an outer join as an inner join plus the rows without a
+    partner, so AQE may split a hot key on either side. By default this is done
+    when the side AQE could not split is large and has a hot key.
     """
     how = (how or "inner").lower()
     if how not in JOIN_TYPES:
@@ -99,7 +120,7 @@ def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
 
 def merge(left: DataFrame, right: DataFrame, how: str = "inner", on: str | None = None, left_on: str | None = None,
           right_on: str | None = None, left_suffix: str = "_x", right_suffix: str = "_y", validate: str | None = None,
-          nulls_match: bool = True, split_hot: bool = False) -> DataFrame:
+          nulls_match: bool = True, split_hot: bool | None = None) -> DataFrame:
     """Join in the style of a data frame library: suffixes on both sides and a key check."""
     how = (how or "inner").lower()
     if how not in ("inner", "left", "right", "outer", "full"):

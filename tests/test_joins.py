@@ -22,7 +22,7 @@ def test_join_collision(rows):
         rl.join(left, right.withColumnRenamed("score", "right_name"), "id", "id")
 
 
-@pytest.mark.parametrize("split_hot", [False, True])
+@pytest.mark.parametrize("split_hot", [False, True, None])
 @pytest.mark.parametrize("parts", [1, 8])
 def test_join_outer(rows, split_hot, parts):
     left = rows("k int, a string", (1, "x"), (1, "y"), (2, "z"), (None, "n"), parts=parts)
@@ -54,6 +54,19 @@ def test_full_join_is_planned_without_full_outer(rows):
     assert "FullOuter" not in plan and "LeftAnti" in plan
 
 
+@pytest.mark.parametrize("how, hot_side", [("left", "right"), ("right", "left"), ("full", "right")])
+def test_hot_key_of_the_other_side_is_found(rows, monkeypatch, how, hot_side):
+    from rowloom.operators import joins
+    monkeypatch.setattr(joins, "SMALL_SIDE", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
+    hot, plain = rows("k int, a int", *[(1, i) for i in range(5)]), rows("k int, b int", (1, 1), (2, 2))
+    left, right = (plain, hot) if hot_side == "right" else (hot, plain)
+    split = plan_of(rl.join(left, right, "k", "k", how))
+    assert "Inner" in split and "LeftAnti" in split
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
+    assert "Inner" not in plan_of(rl.join(left, right, "k", "k", how))
+
+
 def test_merge(rows):
     left = rows("id int, name string", (1, "a"), (2, "b"), (3, "c"))
     right = rows("id int, dept string", (1, "x"), (4, "y"))
