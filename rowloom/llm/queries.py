@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idfiles, packing
+from . import exact, idfiles, packing
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return idfiles.read_ids(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_dedup(_read(spark, folder, "documents"))[0]
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(_read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
@@ -28,7 +32,16 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op5_exact_dedup": op5_exact_dedup,
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+#: Lower-casing of A-Z alone, in SQL.
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op5_exact_dedup": f"""
+        WITH t AS (SELECT doc_id, sha256({LOWER}) AS h FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, h AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY h)""",
+}
