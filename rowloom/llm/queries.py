@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, idfiles, packing
+from . import exact, idfiles, neardup, packing
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, folder, "documents"))[0]
 
 
+def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_dedup(_read(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(_read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
@@ -33,6 +37,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op10_packing": op10_packing,
 }
 
@@ -44,4 +49,16 @@ ORACLE: dict[str, str] = {
         WITH t AS (SELECT doc_id, sha256({LOWER}) AS h FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, h AS text_sha256
         FROM t WINDOW w AS (PARTITION BY h)""",
+    "op6_minhash_dedup": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex({LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+            list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS c
+              FROM u a JOIN u b ON a.x = b.x AND a.doc_id != b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (m + n - c)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        k AS (SELECT a, min(b) AS k FROM r GROUP BY a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, k.k AS component_id, s.doc_id = k.k AS kept FROM s JOIN k ON s.doc_id = k.a""",
 }
