@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, idfiles, neardup, packing
+from . import exact, idfiles, language, neardup, packing
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return idfiles.read_ids(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_read(spark, folder, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, folder, "documents"))[0]
 
@@ -36,6 +40,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_language_id": op3_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op10_packing": op10_packing,
