@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, idfiles, language, neardup, packing
+from . import exact, idfiles, language, neardup, packing, secrets
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_dedup(_read(spark, folder, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(_read(spark, folder, "documents")).drop("text")
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(_read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op10_packing": op10_packing,
 }
 
