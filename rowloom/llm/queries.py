@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, idfiles, language, neardup, packing, secrets
+from . import exact, idfiles, language, neardup, packing, secrets, warc
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(_read(spark, folder, "documents")).drop("text")
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.read_warc(warc.write_warc(_read(spark, folder, "pages")))
+    good = F.assert_true("ok", "a record differs from its index row").isNull()
+    return records.where(good).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(_read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_warc": op8_warc,
     "op10_packing": op10_packing,
 }
 
@@ -71,4 +78,11 @@ ORACLE: dict[str, str] = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
         k AS (SELECT a, min(b) AS k FROM r GROUP BY a)
         SELECT s.doc_id, len(s.s) AS n_shingles, k.k AS component_id, s.doc_id = k.k AS kept FROM s JOIN k ON s.doc_id = k.a""",
+    "op8_warc": """
+        WITH t AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+        m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM t)
+        SELECT page_id, n AS payload_bytes, h AS payload_digest,
+            CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+        FROM m""",
 }
