@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, idfiles, language, neardup, packing, secrets, warc
+from . import exact, html, idfiles, language, neardup, packing, search, secrets, warc
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_read(spark, folder, "documents"))
 
 
+def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top_k(_read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, folder, "documents"))[0]
 
@@ -42,6 +46,10 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.where(good).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(_read(spark, folder, "pages"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(_read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
@@ -51,10 +59,12 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_language_id": op3_language_id,
+    "op4_top_k": op4_top_k,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_warc": op8_warc,
+    "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
 }
 
@@ -62,6 +72,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op4_top_k": """
+        WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM t q JOIN t c ON q.vec_id % 50 = 0 AND q.vec_id != c.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op5_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({LOWER}) AS h FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, h AS text_sha256
