@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html, idfiles, language, neardup, packing, search, secrets, warc
+from . import exact, html, idfiles, language, neardup, packing, pieces, search, secrets, warc
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The sampled ids of every document, and the digests of its text and of what the ids decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _read(spark, folder, "documents")
+    decoded = pieces.decode(pieces.encode(docs, model), model)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2("text", 256).alias("decoded_sha256"), "ids")
+
+
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     shards, _ = idfiles.write_ids(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
     return idfiles.read_ids(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -57,6 +65,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sampled_pieces": op1_sampled_pieces,
     "op2_token_files": op2_token_files,
     "op3_language_id": op3_language_id,
     "op4_top_k": op4_top_k,
