@@ -177,3 +177,15 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(found), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, least_score: float, key: str = "doc_id", text: str = "text", lang: str = "lang", **options: int) -> DataFrame:
+    """The rows of `docs`, with all columns, whose text is in a language with a score of `least_score`; nothing is shuffled."""
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    model = fit(rows.where(~held_out()), **options)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, texts in blocks(batches, 1_000_000, text):
+            yield block.filter(pa.array([p != UNKNOWN and s >= least_score for p, s in zip(*model.predict(texts), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

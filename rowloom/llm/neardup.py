@@ -47,7 +47,7 @@ TOKENS, TREES, SELECTED = 64, 6, 2
 #: Share of equal tokens from which a pair is confirmed on full sets: 4.6 standard deviations under the threshold.
 LIKELY = 0.5
 #: Members of a branch that are compared with each other; levels before block pairs; pairs that share a group in a confirmation.
-SMALL, DEEPEST, TOGETHER = 48, 10, 48
+SMALL, DEEPEST, TOGETHER = 256, 10, 48
 #: Words whose hashes a worker keeps; it changes no result.
 KEPT_WORDS = 400_000
 
@@ -263,6 +263,7 @@ def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, Data
     """Confirmed links (a, b) between nodes and the components (node, label) that they form; None where there is no link."""
     links: DataFrame | None = None
     groups: DataFrame | None = None
+    tested: list[DataFrame] = []
     level = branch_out(sets.select(F.lit(0).cast("long").alias("branch"), "key", "tokens"), True)
     for depth in range(1, DEEPEST + 2):
         if depth > DEEPEST:
@@ -272,17 +273,13 @@ def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, Data
         if live.isEmpty():
             break
         stars = live.where("key != least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-        links, groups = _grow(links, groups, confirm(likely(stars, sets), docs, sets))
-        if groups is None:
-            labelled = live.withColumn("label", F.col("key"))
-        else:
-            labelled = live.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        links, groups = _grow(links, groups, tested, likely(apart(stars, groups), sets), docs, sets)
+        labelled = named(live, groups, "key", "label")
         open_ = labelled.groupBy("branch").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("branch")
         labelled = written(labelled.join(open_, "branch"), "open")
-        # the least member has been compared with all others, but its component's other members have not
         small = labelled if depth > DEEPEST else labelled.where(F.col("n") <= SMALL)
-        near = compare_small(small.join(sets.select("key", "tokens"), "key")).join(stars, ["a", "b"], "left_anti")
-        links, groups = _grow(links, groups, confirm(written(near, "near"), docs, sets))
+        near = compare_small(small.join(sets.select("key", "tokens"), "key"))
+        links, groups = _grow(links, groups, tested, near, docs, sets)
         large = labelled.where(F.col("n") > SMALL).select("branch", "key")
         if depth > DEEPEST or large.isEmpty():
             break
@@ -290,8 +287,29 @@ def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, Data
     return links, groups
 
 
-def _grow(links: DataFrame | None, groups: DataFrame | None, found: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    found = written(found, "links")
+def named(rows: DataFrame, groups: DataFrame | None, node: str, label: str) -> DataFrame:
+    """`rows` with the component of the column `node` so far; a node without links is its own."""
+    if groups is None:
+        return rows.withColumn(label, F.col(node))
+    found = groups.withColumnsRenamed({"node": node, "label": "__found"})
+    return rows.join(found, node, "left").withColumn(label, F.coalesce("__found", node)).drop("__found")
+
+
+def apart(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The pairs that are not in one component already: a further link would change nothing."""
+    return pairs if groups is None else named(named(pairs, groups, "a", "la"), groups, "b", "lb").where("la != lb").select("a", "b")
+
+
+def _grow(links: DataFrame | None, groups: DataFrame | None, tested: list[DataFrame], pairs: DataFrame, docs: DataFrame,
+          sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The links and components with those of the candidate pairs that full sets confirm; no pair is confirmed twice."""
+    for earlier in tested:
+        pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+    pairs = written(pairs, "pairs")
+    tested.append(pairs)
+    if pairs.isEmpty():
+        return links, groups
+    found = written(confirm(pairs, docs, sets), "links")
     if found.isEmpty():
         return links, groups
     links = found if links is None else links.union(found)
@@ -307,10 +325,10 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     sets = written(every.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens")), "nodes")
     _, groups = near_links(rows, sets)
     if groups is None:
-        named = sets.select("key", F.col("doc_id").alias("component_id"))
+        least = sets.select("key", F.col("doc_id").alias("component_id"))
     else:
-        labelled = sets.select("key", "doc_id").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        named = labelled.join(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("key", "component_id")
-    out = every.select("doc_id", "n", "key").join(written(named, "named"), "key", "left")
+        labelled = named(sets.select("key", "doc_id"), groups, "key", "label")
+        least = labelled.join(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("key", "component_id")
+    out = every.select("doc_id", "n", "key").join(written(least, "named"), "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -360,3 +360,29 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int
             ], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return rows.mapInArrow(work, SCHEMA)
+
+
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """All rows and columns of `docs`, with the values of secrets replaced in `text`; `length`, if there is such a column, counts the new text."""
+    field = fit(text_of(docs, key, text), fit_rows)
+    names = docs.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Tokens()
+        for block, texts in blocks(batches, 2_000_000, text):
+            found = spans_of([t or "" for t in texts], field, held)
+            changed = [i for i, f in enumerate(found) if f]
+            if changed:
+                columns = dict(zip(names, block.columns, strict=True))
+                for i in changed:
+                    texts[i] = redacted(texts[i], found[i])
+                columns[text] = pa.array(texts, columns[text].type)
+                if length in columns:
+                    sizes = columns[length].to_pylist()
+                    for i in changed:
+                        sizes[i] = None if sizes[i] is None else len(texts[i])
+                    columns[length] = pa.array(sizes, columns[length].type)
+                block = pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+            yield block
+
+    return docs.mapInArrow(work, docs.schema)
