@@ -1,21 +1,72 @@
-"""The corpus pipeline: language, exact copies, near copies, secrets, packing."""
+"""The corpus pipeline: language, exact copies, near copies, secrets, packing.
+
+Each stage reads what the one before it kept. All but the last return the
+columns of `documents`. Documents of any shape pass: a null or empty text is
+no language and goes with the first stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowloom.llm import exact, language, neardup, packing, secrets
+from rowloom.session import written
+
+#: Least share of the best language. A text of one language has nearly all of it, whatever its length.
+LEAST_SCORE = 0.4
+
+
+def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows whose doc_id a decision keeps, null ids included; the decisions are written first."""
+    ids = written(decisions.select(F.col("doc_id").alias("__id")).distinct(), "kept")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in no language go: those without a letter, and those that no language of the corpus explains better than the others."""
+    return language.accepted(docs, LEAST_SCORE)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one document stays; rows that repeat a document become one."""
+    return _kept(docs, exact.exact_dedup(docs)[0].where("kept")).dropDuplicates(["doc_id", "text"])
 
-#: (name, function) in order; filled as the operators are added.
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return _kept(docs, neardup.near_dedup(docs).where("kept"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; the values of secrets are replaced, and n_chars counts the new text."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 ids."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+#: (name, function) in order.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("secret_scan", secret_scan),
+    ("packing", pack),
+]
+
+#: Language scores, the field's spans and token ids are not SQL's to give.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to `documents`; each stage's rows are written and read again."""
-    from rowloom.session import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
