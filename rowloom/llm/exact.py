@@ -36,6 +36,7 @@ HOT_SHARDS = 100_000
 GAMMA = 2
 INDEX = "shard long, levels binary, bits binary, digests binary, winners binary, known binary, sizes binary"
 DIGESTS = "doc_id long, digest binary"
+FOUND = {"doc_id": "long", "keep_id": "long", "group_size": "long", "kept": "boolean", "text_sha256": "string"}
 
 
 class PerfectHash:
@@ -175,6 +176,8 @@ def look_up(history: History, digests: DataFrame) -> DataFrame:
     index = history.index.join(hot, "shard", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
 
     def find(table: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
+        if not len(probe):  # a copy of a shard for which no row was left
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in FOUND})
         digest = _bytes(probe["digest"])
         ids = probe["doc_id"]
         shard = Shard(table.iloc[0].to_dict()) if len(table) else None
@@ -190,10 +193,10 @@ def look_up(history: History, digests: DataFrame) -> DataFrame:
         best = np.where(pd.isna(keep), ids.isna().to_numpy(), ids.notna().to_numpy() & (values == winners))
         first = ~pd.DataFrame({"s": slot, "v": values, "b": best}).duplicated().to_numpy()
         return pd.DataFrame({"doc_id": ids.astype("Int64"), "keep_id": keep, "group_size": size, "kept": ~member | best & first,
-                             "text_sha256": [d.hex() for d in probe["digest"]]})
+                             "text_sha256": pd.Series([d.hex() for d in probe["digest"]], dtype=object)})
 
     return index.groupBy("shard", "piece").cogroup(rows.groupBy("shard", "piece")).applyInPandas(
-        find, "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
+        find, ", ".join(f"{c} {t}" for c, t in FOUND.items()))
 
 
 def exact_dedup(docs: DataFrame, history: History | None = None, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, History]:
