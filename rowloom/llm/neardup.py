@@ -18,8 +18,9 @@ are dropped. Every other member is compared with the branch's least node; what
 is confirmed on full sets joins components at once. Branches whose members are
 all in one component need no more work; in the other small branches all
 members of different components are compared; larger branches branch again.
-Beyond DEEPEST levels a large branch is cut in blocks and all block pairs are
-compared, so that no candidate is lost.
+After the first level, branches of medium size are cut in blocks and all block
+pairs are compared, and at DEEPEST levels all that are left, so that no
+candidate is lost.
 
 Null and empty texts are components of their own. Null doc_ids never
 represent a group that has another one. Documents that share a doc_id are
@@ -29,6 +30,7 @@ told apart by their sets. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +46,11 @@ from .links import components
 WORDS, SHARE = 5, 75
 #: Minwise tokens of a set, trees, and tokens selected at a branching.
 TOKENS, TREES, SELECTED = 64, 6, 2
-#: Share of equal tokens from which a pair is confirmed on full sets: 4.6 standard deviations under the threshold.
-LIKELY = 0.5
-#: Members of a branch that are compared with each other; levels before block pairs; pairs that share a group in a confirmation.
-SMALL, DEEPEST, TOGETHER = 256, 10, 48
+#: Share of equal tokens from which a pair is confirmed on full sets: 3.7 standard deviations under the threshold.
+LIKELY = 0.55
+#: Members of a branch that are compared with each other; of one that is compared block by block, after the first level; levels until all
+#: larger ones are; pairs that share a group in a confirmation.
+SMALL, MEDIUM, DEEPEST, TOGETHER = 256, 4096, 10, 48
 #: Words whose hashes a worker keeps; it changes no result.
 KEPT_WORDS = 400_000
 
@@ -251,12 +254,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, sets: DataFrame, share: int = SHA
     return rows.groupBy("a", "part").applyInPandas(work, "a long, b long")
 
 
-def block_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Large branches as small ones: every pair of blocks of a branch is a branch."""
-    n = F.ceil(F.col("n") / SMALL).cast("int")
-    blocked = members.join(sizes, "branch").withColumn("blocks", n).withColumn("i", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Branches (branch, key, label, n) as small ones: every pair of blocks of a branch is a branch."""
+    blocked = members.withColumn("blocks", F.ceil(F.col("n") / SMALL).cast("int"))
+    blocked = blocked.withColumn("i", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return blocked.withColumn("j", other).select(F.xxhash64("branch", F.least("i", "j"), F.greatest("i", "j")).alias("branch"), "key")
+    return blocked.withColumn("j", other).select(F.xxhash64("branch", F.least("i", "j"), F.greatest("i", "j")).alias("branch"), "key", "label")
 
 
 def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
@@ -265,9 +268,7 @@ def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, Data
     groups: DataFrame | None = None
     tested: list[DataFrame] = []
     level = branch_out(sets.select(F.lit(0).cast("long").alias("branch"), "key", "tokens"), True)
-    for depth in range(1, DEEPEST + 2):
-        if depth > DEEPEST:
-            level = block_pairs(level, level.groupBy("branch").agg(F.count("*").alias("n")))
+    for depth in range(1, DEEPEST + 1):
         sizes = level.groupBy("branch").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
         live = written(level.join(sizes, "branch").select("branch", "key", "n", "least"), "branches")
         if live.isEmpty():
@@ -277,13 +278,16 @@ def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, Data
         labelled = named(live, groups, "key", "label")
         open_ = labelled.groupBy("branch").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("branch")
         labelled = written(labelled.join(open_, "branch"), "open")
-        small = labelled if depth > DEEPEST else labelled.where(F.col("n") <= SMALL)
-        near = compare_small(small.join(sets.select("key", "tokens"), "key"))
-        links, groups = _grow(links, groups, tested, near, docs, sets)
-        large = labelled.where(F.col("n") > SMALL).select("branch", "key")
-        if depth > DEEPEST or large.isEmpty():
+        small = labelled.where(F.col("n") <= SMALL).select("branch", "key", "label")
+        most = SMALL if depth == 1 < DEEPEST else MEDIUM
+        large = labelled.where(F.col("n") > most) if depth < DEEPEST else None
+        if depth == DEEPEST or depth > 1:
+            medium = F.col("n") > SMALL
+            small = small.union(block_pairs(labelled.where(medium if large is None else medium & (F.col("n") <= most))))
+        links, groups = _grow(links, groups, tested, compare_small(small.join(sets.select("key", "tokens"), "key")), docs, sets)
+        if large is None or large.isEmpty():
             break
-        level = large if depth == DEEPEST else branch_out(large.join(sets.select("key", "tokens"), "key").select("branch", "key", "tokens"), False)
+        level = branch_out(large.join(sets.select("key", "tokens"), "key").select("branch", "key", "tokens"), False)
     return links, groups
 
 
@@ -303,8 +307,8 @@ def apart(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
 def _grow(links: DataFrame | None, groups: DataFrame | None, tested: list[DataFrame], pairs: DataFrame, docs: DataFrame,
           sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """The links and components with those of the candidate pairs that full sets confirm; no pair is confirmed twice."""
-    for earlier in tested:
-        pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+    if tested:
+        pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
     pairs = written(pairs, "pairs")
     tested.append(pairs)
     if pairs.isEmpty():
