@@ -1,111 +1,95 @@
 """Equality joins with fixed output columns.
 
-Catalyst and AQE choose the strategy and split hot keys at run time. Two cases
-are beyond AQE and planned differently: a full outer join becomes a left join
-plus the right rows without a partner; and where the side that may stay without
-a partner's columns has a hot key, an outer join becomes an inner join plus the
-rows without a partner. AQE can split each of these pieces.
+Catalyst and AQE choose the strategy, and AQE splits hot keys where the join
+form allows it. Both keys are brought to one type first, which the output key
+has for every join form. Where AQE cannot split (a hot key on the side that an
+outer join does not preserve, or a full join) `split_hot` plans the join as an
+inner join plus the rows without a partner; AQE can split each of these pieces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import dtype, is_number, ref, require
 from ..functions.parsing import as_text
+from ..session import written
 from .ordered import HOT_ROWS, row_index
 
-SMALL_SIDE = 1 << 30  # bytes; a side of this size fits a task whatever its keys
 JOIN_TYPES = ("inner", "left", "right", "full")
 VALIDATIONS = ("", "one_to_one", "one_to_many", "many_to_one", "many_to_many")
+LEFT_KEY, RIGHT_KEY = "__left_key", "__right_key"
 
 
-def _equal(left: DataFrame, lk: str, right: DataFrame, rk: str, right_name: str, nulls_match: bool) -> Column:
-    a, b = ref(lk), ref(right_name)
+def _one_type(left: DataFrame, lk: str, right: DataFrame, rk: str) -> tuple[Column, Column]:
+    """Both keys in one type: their own, the wider number, or text."""
     ka, kb = dtype(left, lk), dtype(right, rk)
-    if ka != kb and not (is_number(ka) and is_number(kb)):
-        a, b = as_text(a, ka), as_text(b, kb)
-    return a.eqNullSafe(b) if nulls_match else a == b
+    if ka == kb:
+        return ref(lk), ref(rk)
+    if not (is_number(ka) and is_number(kb)):
+        return as_text(ref(lk), ka), as_text(ref(rk), kb)
+    empty = left.sparkSession.range(0)
+    wide = empty.select(F.coalesce(F.lit(None).cast(ka), F.lit(None).cast(kb)).alias("k")).schema["k"].dataType
+    return ref(lk).cast(wide), ref(rk).cast(wide)
 
 
 def _has_hot_key(side: DataFrame, key: str) -> bool:
-    """Whether one key of a large side holds more rows than a task should.
-
-    Small sides are told by the optimizer's size estimate; for others one job
-    counts the rows per key, reading the key column only.
-    """
-    if side.isStreaming:
-        return False
-    estimate = side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) < SMALL_SIDE:
-        return False
+    """Whether one key has more rows than a task should hold; one job that reads the key column only."""
     most = side.groupBy(ref(key)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     return most > HOT_ROWS
 
 
-def _joined(left: DataFrame, right: DataFrame, lk: str, rk: str, how: str, nulls_match: bool,
-            left_names: dict[str, str], right_names: dict[str, str], split_hot: bool | None) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, lk: str, rk: str, how: str, nulls_match: bool, left_names: dict[str, str],
+            right_names: dict[str, str], split_hot: bool | str, stable: bool) -> DataFrame:
     outputs = [left_names[c] for c in left.columns] + [right_names[c] for c in right.columns if c != rk]
     if len(set(outputs)) < len(outputs):
         raise ValueError(f"join: two output columns would share a name: {outputs}")
-    if split_hot is None:
-        split_hot = how != "inner" and _has_hot_key(*((left, lk) if how == "right" else (right, rk)))
+    if split_hot not in (True, False, "auto"):
+        raise ValueError(f"join: split_hot must be True, False or 'auto', got {split_hot!r}")
+    if split_hot == "auto":
+        sides = {"inner": (), "left": ((right, rk),), "right": ((left, lk),), "full": ((left, lk), (right, rk))}[how]
+        split_hot = any(_has_hot_key(side, key) for side, key in sides)
+    if split_hot and how != "inner" and not stable:
+        left, right = written(left, "join-left"), written(right, "join-right")
+    left_key, right_key = _one_type(left, lk, right, rk)
     hidden = {c: f"__right_{i}" for i, c in enumerate(right.columns)}
-    other = right.select(*[ref(c).alias(hidden[c]) for c in right.columns])
-    on = _equal(left, lk, right, rk, hidden[rk], nulls_match)
-    same_key = dtype(left, lk) == dtype(right, rk) or (is_number(dtype(left, lk)) and is_number(dtype(right, rk)))
-
-    def key_text(col: Column, df: DataFrame, name: str) -> Column:
-        return col if same_key or how in ("inner", "left") else as_text(col, dtype(df, name))
-
+    mine = left.select("*", left_key.alias(LEFT_KEY))
+    other = right.select(*[ref(c).alias(hidden[c]) for c in right.columns], right_key.alias(RIGHT_KEY))
+    a, b = F.col(LEFT_KEY), F.col(RIGHT_KEY)
+    on = a.eqNullSafe(b) if nulls_match else a == b
     rest = [c for c in right.columns if c != rk]
 
-    def both(df: DataFrame, key: Column) -> DataFrame:
-        columns = [(key if c == lk else ref(c)).alias(left_names[c]) for c in left.columns]
-        return df.select(*columns, *[F.col(hidden[c]).alias(right_names[c]) for c in rest])
-
-    left_key = key_text(ref(lk), left, lk)
-    right_key = key_text(F.col(hidden[rk]), right, rk)
-    kept_left = left.select(*[(left_key if c == lk else ref(c)).alias(left_names[c]) for c in left.columns])
+    def shown(df: DataFrame, key: Column) -> DataFrame:
+        """The output columns; a side that `df` lacks is NULL."""
+        def value(name: str, kind: T.DataType) -> Column:
+            return ref(name) if name in df.columns else F.lit(None).cast(kind)
 
-    def lonely_left() -> DataFrame:
-        keys = other.select(hidden[rk]).distinct()
-        alone = left.join(keys, on, "left_anti")
-        return alone.select(*[(left_key if c == lk else ref(c)).alias(left_names[c]) for c in left.columns],
-                            *[F.lit(None).cast(dtype(right, c)).alias(right_names[c]) for c in rest])
+        columns = [(key if c == lk else value(c, left.schema[c].dataType)).alias(left_names[c]) for c in left.columns]
+        return df.select(*columns, *[value(hidden[c], right.schema[c].dataType).alias(right_names[c]) for c in rest])
 
-    def lonely_right() -> DataFrame:
+    if split_hot and how != "inner":
+        result = shown(mine.join(other, on, "inner"), a)
         # Distinct keys first: a hot key becomes one row per task before the shuffle.
-        keys = left.select(ref(lk)).distinct()
-        alone = other.join(keys, on, "left_anti")
-        key_type = kept_left.schema[left_names[lk]].dataType
-        columns = [(right_key.cast(key_type) if c == lk else F.lit(None).cast(dtype(left, c))).alias(left_names[c])
-                   for c in left.columns]
-        return alone.select(*columns, *[F.col(hidden[c]).alias(right_names[c]) for c in rest])
-
-    if how == "full" or (split_hot and how != "inner"):
-        base = "inner" if split_hot else "left"
-        parts = [both(left.join(other, on, base), left_key)]
-        if split_hot and how in ("left", "full"):
-            parts.append(lonely_left())
+        if how in ("left", "full"):
+            result = result.unionByName(shown(mine.join(other.select(RIGHT_KEY).distinct(), on, "left_anti"), a))
         if how in ("right", "full"):
-            parts.append(lonely_right())
-        result = parts[0]
-        for part in parts[1:]:
-            result = result.unionByName(part)
+            result = result.unionByName(shown(other.join(mine.select(LEFT_KEY).distinct(), on, "left_anti"), b))
         return result
-    key = F.coalesce(left_key, right_key) if how == "right" else left_key
-    return both(left.join(other, on, how), key)
+    return shown(mine.join(other, on, how), F.coalesce(a, b) if how in ("right", "full") else a)
 
 
 def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner",
-         nulls_match: bool = True, prefix: str = "right_", split_hot: bool | None = None) -> DataFrame:
+         nulls_match: bool = True, prefix: str = "right_", split_hot: bool | str = False, stable: bool = False) -> DataFrame:
     """Join on one key; the right key is dropped and clashing right columns get a prefix.
 
+    Keys of two types are compared, and given out, as the wider number or as text.
     `split_hot` plans an outer join as an inner join plus the rows without a
-    partner, so AQE may split a hot key on either side. By default this is done
-    when the side AQE could not split is large and has a hot key.
+    partner, so AQE may split a hot key on either side; "auto" does this if a
+    count of the keys (one job) finds a hot one. The inputs are written first,
+    unless they are `stable`: they give the same rows each time they are read.
+    Neither option changes rows or types.
     """
     how = (how or "inner").lower()
     if how not in JOIN_TYPES:
@@ -115,12 +99,12 @@ def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
     require(left, [left_key], "join")
     require(right, [right_key], "join")
     right_names = {c: prefix + c if c in left.columns else c for c in right.columns}
-    return _joined(left, right, left_key, right_key, how, nulls_match, {c: c for c in left.columns}, right_names, split_hot)
+    return _joined(left, right, left_key, right_key, how, nulls_match, {c: c for c in left.columns}, right_names, split_hot, stable)
 
 
 def merge(left: DataFrame, right: DataFrame, how: str = "inner", on: str | None = None, left_on: str | None = None,
           right_on: str | None = None, left_suffix: str = "_x", right_suffix: str = "_y", validate: str | None = None,
-          nulls_match: bool = True, split_hot: bool | None = None) -> DataFrame:
+          nulls_match: bool = True, split_hot: bool | str = False, stable: bool = False) -> DataFrame:
     """Join in the style of a data frame library: suffixes on both sides and a key check."""
     how = (how or "inner").lower()
     if how not in ("inner", "left", "right", "outer", "full"):
@@ -135,7 +119,7 @@ def merge(left: DataFrame, right: DataFrame, how: str = "inner", on: str | None
     clash = {c for c in rest if c in left.columns and c != lk}
     left_names = {c: c + left_suffix if c in clash else c for c in left.columns}
     right_names = {c: c + right_suffix if c in clash or c == lk else c for c in right.columns}
-    return _joined(left, right, lk, rk, "full" if how == "outer" else how, nulls_match, left_names, right_names, split_hot)
+    return _joined(left, right, lk, rk, "full" if how == "outer" else how, nulls_match, left_names, right_names, split_hot, stable)
 
 
 def check_cardinality(left: DataFrame, right: DataFrame, left_key: str, right_key: str, validate: str | None) -> None:

@@ -22,7 +22,7 @@ def test_join_collision(rows):
         rl.join(left, right.withColumnRenamed("score", "right_name"), "id", "id")
 
 
-@pytest.mark.parametrize("split_hot", [False, True, None])
+@pytest.mark.parametrize("split_hot", [False, True, "auto"])
 @pytest.mark.parametrize("parts", [1, 8])
 def test_join_outer(rows, split_hot, parts):
     left = rows("k int, a string", (1, "x"), (1, "y"), (2, "z"), (None, "n"), parts=parts)
@@ -48,23 +48,41 @@ def test_join_types_and_self(rows):
     assert rows.out(rl.join(df, text, "id", "id", "full"), "id", "v") == [("1", None), ("2", 1), ("3", None), ("x", 2)]
 
 
-def test_full_join_is_planned_without_full_outer(rows):
+@pytest.mark.parametrize("kinds", [("bigint", "double"), ("int", "bigint"), ("decimal(10,2)", "int"), ("string", "int")])
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_one_key_type_for_every_form(spark, kinds, how):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k int").selectExpr(f"cast(k as {kinds[0]}) k", "k * 10 a")
+    right = spark.createDataFrame([("1.5",), ("2.0",), ("3000000000",)], "k string").selectExpr(f"try_cast(try_cast(k as double) as {kinds[1]}) k2", "k b")
+    forms = [rl.join(left, right, "k", "k2", how, nulls_match=False, split_hot=s) for s in (False, True)]
+    assert forms[0].schema == forms[1].schema
+    wide = {"bigint": "double", "int": "bigint", "decimal(10,2)": "decimal(12,2)", "string": "string"}[kinds[0]]
+    assert dict(forms[0].dtypes)["k"] == wide
+    assert sorted(map(str, forms[0].collect())) == sorted(map(str, forms[1].collect()))
+    keys = {r.k for r in forms[0].collect()}
+    if kinds == ("bigint", "double"):
+        assert keys == {"inner": {2.0}, "left": {1.0, 2.0, None}, "right": {1.5, 2.0, 3e9}, "full": {1.0, 2.0, None, 1.5, 3e9}}[how]
+    if kinds == ("int", "bigint") and how in ("right", "full"):
+        assert 3_000_000_000 in keys
+
+
+def test_full_join_reads_each_input_once(rows):
     df = rows("id int, up int", (1, None))
     plan = plan_of(rl.join(df, df, "id", "id", "full"))
-    assert "FullOuter" not in plan and "LeftAnti" in plan
+    assert "FullOuter" in plan and "LeftAnti" not in plan
 
 
 @pytest.mark.parametrize("how, hot_side", [("left", "right"), ("right", "left"), ("full", "right")])
 def test_hot_key_of_the_other_side_is_found(rows, monkeypatch, how, hot_side):
     from rowloom.operators import joins
-    monkeypatch.setattr(joins, "SMALL_SIDE", 0)
     monkeypatch.setattr(joins, "HOT_ROWS", 3)
     hot, plain = rows("k int, a int", *[(1, i) for i in range(5)]), rows("k int, b int", (1, 1), (2, 2))
     left, right = (plain, hot) if hot_side == "right" else (hot, plain)
-    split = plan_of(rl.join(left, right, "k", "k", how))
+    split = plan_of(rl.join(left, right, "k", "k", how, split_hot="auto"))
     assert "Inner" in split and "LeftAnti" in split
     monkeypatch.setattr(joins, "HOT_ROWS", 10)
-    assert "Inner" not in plan_of(rl.join(left, right, "k", "k", how))
+    assert "Inner" not in plan_of(rl.join(left, right, "k", "k", how, split_hot="auto"))
+    with pytest.raises(ValueError):
+        rl.join(left, right, "k", "k", how, split_hot="yes")
 
 
 def test_merge(rows):
