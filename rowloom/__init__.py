@@ -14,7 +14,7 @@ from .operators.models import naive_bayes, regression
 from .operators.ordered import bfill, every_nth, ffill, row_index
 from .operators.profile import correlation, field_summary, frequency_table
 from .operators.rows import (
-    chain, dedup, drop_duplicates, dummy, filter_advanced, filter_rows, filter_rules, fork, route, sampling, sort,
+    chain, dedup, drop_duplicates, dummy, filter_advanced, filter_rows, filter_rules, fork, match_advanced, route, sampling, sort,
     split, union,
 )
 from .session import session
@@ -33,7 +33,7 @@ __all__ = [
     "chain", "check_cardinality", "clock", "correlation", "counted", "csv_preview", "csv_scan", "data_cleansing",
     "data_grid", "datetime", "dedup", "directory", "drop_duplicates", "dummy", "every_nth", "explode_records", "ffill",
     "field_summary", "fillna", "filter_advanced", "filter_rows", "filter_rules", "find_replace", "fork",
-    "frequency_table", "groupby", "join", "json_pages", "last_changes", "map_columns", "merge", "naive_bayes", "pivot",
+    "frequency_table", "groupby", "join", "json_pages", "last_changes", "map_columns", "match_advanced", "merge", "naive_bayes", "pivot",
     "preview", "read_csv", "read_query", "read_table", "regex", "regression", "rename", "route", "row_index",
     "sampling", "select", "session", "sort", "split", "text_input", "text_to_columns", "union", "unpivot", "upsert",
     "write_csv", "write_table",

@@ -7,6 +7,7 @@ written as plain Spark SQL (`F.expr`).
 from __future__ import annotations
 
 import math
+import re
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -116,23 +117,36 @@ def number_predicate(df: DataFrame, name: str, op: str, bound: float, errors: st
     return compare_number(checked_double(df, name, errors), op, bound, True)
 
 
+def split_conditions(text: str) -> list[str]:
+    """The parts between commas that stand outside quotes."""
+    parts, start, quote = [], 0, ""
+    for at, char in enumerate(text):
+        if quote:
+            quote = "" if char == quote else quote
+        elif char in "\"'":
+            quote = char
+        elif char == ",":
+            parts.append(text[start:at])
+            start = at + 1
+    return [*parts, text[start:]]
+
+
 def bool_expr(text: str, df: DataFrame, errors: str = "raise") -> Column:
-    """`column OP literal` with OP one of == != >= <= > <."""
-    text = text.strip()
-    for op in COMPARISONS:
-        at = text.find(op)
-        if at < 0:
-            continue
-        name, right = text[:at].strip(), text[at + len(op):].strip()
-        require(df, [name], "condition")
-        wanted = quoted(right)
-        if wanted is not None:
-            if op not in ("==", "!="):
-                raise ValueError(f"operator {op} does not apply to text: {text!r}")
-            left = as_text(ref(name), dtype(df, name))
-            return left == F.lit(wanted) if op == "==" else ~left.eqNullSafe(F.lit(wanted))
-        bound = literal_number(right)
-        if bound is None:
-            raise ValueError(f"right side is neither a number nor quoted text: {text!r}")
-        return number_predicate(df, name, op, bound, errors)
-    raise ValueError(f"unsupported condition: {text!r}")
+    """`column OP literal` with OP one of == != >= <= > <; what follows the operator is the literal."""
+    operators = "|".join(map(re.escape, COMPARISONS))
+    columns = "|".join(re.escape(c) for c in sorted(df.columns, key=len, reverse=True))
+    found = re.fullmatch(rf"\s*({columns})\s*({operators})(.*)", text, re.DOTALL) or re.fullmatch(rf"(.*?)({operators})(.*)", text, re.DOTALL)
+    if found is None:
+        raise ValueError(f"unsupported condition: {text!r}")
+    name, op, right = found[1].strip(), found[2], found[3].strip()
+    require(df, [name], "condition")
+    wanted = quoted(right)
+    if wanted is not None:
+        if op not in ("==", "!="):
+            raise ValueError(f"operator {op} does not apply to text: {text!r}")
+        left = as_text(ref(name), dtype(df, name))
+        return left == F.lit(wanted) if op == "==" else ~left.eqNullSafe(F.lit(wanted))
+    bound = literal_number(right)
+    if bound is None:
+        raise ValueError(f"right side is neither a number nor quoted text: {text!r}")
+    return number_predicate(df, name, op, bound, errors)

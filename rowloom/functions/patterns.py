@@ -20,7 +20,8 @@ BLANKS = r"\t\n\f\r "
 NOT_BLANKS_IN_CLASS = r"\x{0}-\x{8}\x{b}\x{e}-\x{1f}!-\x{10ffff}"
 
 _TOKEN = re.compile(
-    r"\\[pP]\{(?P<script>\^?\w+)\}"
+    r"\\Q(?P<plain>.*?)(?:\\E|\Z)"
+    r"|\\[pP]\{(?P<script>\^?\w+)\}"
     r"|\\(?P<escaped>.)"
     r"|\[:(?P<negposix>\^?)(?P<posix>[a-z]+):\]"
     r"|\(\?P?<(?P<name>\w+)>"
@@ -50,7 +51,10 @@ def translate(pattern: str) -> Pattern:
     multi_line = False
     for m in _TOKEN.finditer(pattern):
         text = m.group()
-        if m.group("script") is not None:
+        if m.group("plain") is not None:
+            out.append(re.sub(r"[^\w\s]", lambda c: "\\" + c.group(), m.group("plain"), flags=re.ASCII) if m.group("plain").isascii()
+                       else "".join(f"\\x{{{ord(c):x}}}" for c in m.group("plain")))
+        elif m.group("script") is not None:
             name = m.group("script")
             negate = (text[1] == "P") != name.startswith("^")
             name = name.lstrip("^")

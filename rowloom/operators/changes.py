@@ -24,15 +24,25 @@ def last_changes(changes: DataFrame, keys, sequence: str) -> DataFrame:
     return last.select(*[ref(c) if c in keys else F.col("__row").getField(c).alias(c) for c in changes.columns])
 
 
+def checked(changes: DataFrame, op_column: str) -> DataFrame:
+    """The changes with their operation in upper case; another operation fails the job when a row of it is read."""
+    op = F.upper(ref(op_column))
+    wrong = F.raise_error(F.concat(F.lit(f"{op_column} must be one of {OPERATIONS}, got "), F.coalesce(ref(op_column), F.lit("NULL"))))
+    return changes.withColumn(op_column, F.when(op.isin(*OPERATIONS), op).otherwise(wrong.cast("string")))
+
+
 def apply_changes(snapshot: DataFrame, changes: DataFrame, keys, sequence: str, op_column: str = "_op") -> DataFrame:
-    """The snapshot after all changes: rows of touched keys give way to their last image."""
+    """The snapshot after all changes: rows of touched keys give way to their last image.
+
+    A change whose operation is NULL or none of OPERATIONS (in any case) fails the job.
+    """
     keys = require(snapshot, names(keys), "apply_changes")
     require(changes, [op_column, *snapshot.columns], "apply_changes")
-    last = last_changes(changes, keys, sequence)
+    last = last_changes(checked(changes, op_column), keys, sequence)
     touched = last.select(*[ref(k).alias(f"__k{i}") for i, k in enumerate(keys)])
     same = reduce(and_, [ref(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
     untouched = snapshot.join(touched, same, "left_anti")
-    images = last.filter(F.upper(ref(op_column)) != "DELETE").select(*[ref(c) for c in snapshot.columns])
+    images = last.filter(ref(op_column) != "DELETE").select(*[ref(c) for c in snapshot.columns])
     return untouched.unionByName(images)
 
 

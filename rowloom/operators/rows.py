@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import bool_expr, literal_number, number_predicate
+from ..functions.expressions import bool_expr, literal_number, number_predicate, split_conditions
 from ..functions.names import dtype, fresh, is_text, names, ref, require
 from ..functions.parsing import as_text, parse_bool, parse_double
 from .cleaning import trim_spaces
@@ -83,6 +83,16 @@ def filter_advanced(df: DataFrame, field: str, operator: str, value="", value_ty
     return df.filter(cond), df.filter(~F.coalesce(cond, F.lit(False)))
 
 
+def match_advanced(tests: Iterable[tuple], name: str = "_match", errors: str = "raise") -> Step:
+    """An array column with, for each (field, operator, value, value_type), whether the row passes: all tests in one pass."""
+    tests = list(tests)
+
+    def step(df: DataFrame) -> DataFrame:
+        return df.withColumn(name, F.array(*[F.coalesce(condition(df, *t, errors=errors), F.lit(False)) for t in tests]))
+
+    return step
+
+
 def filter_rules(rules: Iterable[tuple[str, str, object]], compare_as: str = "string") -> Step:
     """All of (column, eq|neq|gt|lt, value) must hold; compared as text unless compare_as="number"."""
     rules = list(rules)
@@ -108,7 +118,7 @@ def filter_rules(rules: Iterable[tuple[str, str, object]], compare_as: str = "st
 
 def route(conditions, name: str = "_route", errors: str = "raise") -> Step:
     """Number each row by its first true condition; rows without one get the last number."""
-    tests = [c.strip() for c in (conditions.split(",") if isinstance(conditions, str) else conditions)]
+    tests = [c.strip() for c in (split_conditions(conditions) if isinstance(conditions, str) else conditions)]
     if not tests or not all(tests):
         raise ValueError("split: conditions are required")
 
@@ -123,7 +133,7 @@ def route(conditions, name: str = "_route", errors: str = "raise") -> Step:
 
 def split(df: DataFrame, conditions, outputs: int | None = None, errors: str = "raise") -> list[DataFrame]:
     """One DataFrame per condition and a last one for the remaining rows."""
-    tests = conditions.split(",") if isinstance(conditions, str) else list(conditions)
+    tests = split_conditions(conditions) if isinstance(conditions, str) else list(conditions)
     if outputs is not None and outputs != len(tests) + 1:
         raise ValueError(f"split: {len(tests)} conditions need {len(tests) + 1} outputs, got {outputs}")
     name = fresh(df.columns, "_route")
@@ -251,8 +261,9 @@ def sampling(mode: str = "first", value: float = 0, order_by=None, seed: int | N
              unique_order: bool = False, stable: bool = False) -> Step:
     """first: the first `value` rows; percent: each row with that chance; every: each value-th row.
 
-    percent with `key` draws by a hash of the key columns: the same rows each
-    time, and all rows of a key together. `stable` is as for `row_index`.
+    percent with `key` draws by the first 60 bits of the MD5 of `seed` and the
+    key columns as text: the same rows each time and on any engine, and all rows
+    of a key together. `first` gives its rows in no defined order. `stable` is as for `row_index`.
     """
     if value <= 0:
         raise ValueError("sampling: value must be greater than 0")
@@ -264,8 +275,11 @@ def sampling(mode: str = "first", value: float = 0, order_by=None, seed: int | N
             share = min(value / 100.0, 1.0)
             if key is None:
                 return df.sample(fraction=share, seed=seed)
-            hashed = F.xxhash64(F.lit(seed or 0), *[ref(k) for k in require(df, names(key), "sampling")])
-            return df.filter(F.pmod(hashed, F.lit(1_000_000)) < int(share * 1_000_000))
+            if share >= 1:
+                return df
+            parts = [F.coalesce(as_text(ref(k), dtype(df, k)), F.lit("\x00")) for k in require(df, names(key), "sampling")]
+            drawn = F.conv(F.left(F.md5(F.concat_ws("\x1f", F.lit(str(seed or 0)), *parts)), F.lit(15)), 16, 10).cast("bigint")
+            return df.filter(drawn < int(share * 2**60))
         if mode == "every":
             return every_nth(max(int(value), 1), order_by or (), unique_order, stable)(df)
         n = int(value)

@@ -73,10 +73,23 @@ def _has_quoted_breaks(spark: SparkSession, path) -> bool:
     return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
+def _by_first_line(spark: SparkSession, path, options: dict) -> list[list[str]]:
+    """The files in groups of equal first lines; one group without names where all agree, else the names of all files."""
+    lines = spark.read.options(**{k: v for k, v in options.items() if k == "lineSep"}).text(path)
+    if len(lines.inputFiles()) < 2:
+        return [[]]
+    heads = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                         F.monotonically_increasing_id().alias("at")).filter("start = 0")
+    first = heads.groupBy("file").agg(F.min_by(F.regexp_replace("value", f"^{BYTE_ORDER_MARK}|\r$", ""), "at").alias("head"))
+    if first.select("head").distinct().limit(2).count() < 2:
+        return [[]]
+    return [sorted(r["files"]) for r in first.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()]
+
+
 def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None = ",", encoding: str = "utf-8",
              newline: str = "auto", has_header: bool = True, headers=None, skip_empty_lines: bool = False,
              lazy_quotes: bool = True, trim_leading_space: bool = True, fields_per_record: int = -1,
-             blank_as: str = "empty", auto_names: str = "column", multi_line: bool | None = None) -> DataFrame:
+             blank_as: str = "empty", auto_names: str = "column", multi_line: bool | None = None, same_headers: bool = False) -> DataFrame:
     """Read delimited files.
 
     Names come from the first line, from `headers` (with has_header=False) or are
@@ -87,6 +100,11 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None =
     Line breaks inside quotes need `multi_line`, and then files cannot be split
     over tasks. By default a first pass over the text finds out whether there are
     any; give True or False where that is known.
+
+    Files whose first lines differ are read each by its own names; the names
+    must be the same ones in any order, else this raises. With same_headers=True
+    (all files are known to agree) the first lines are not compared. UTF-16
+    files are not compared.
     """
     if not path:
         raise ValueError("read_csv: path is required")
@@ -99,6 +117,15 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None =
     if multi_line is None:
         multi_line = encoding_of(encoding).startswith("UTF-16") or _has_quoted_breaks(spark, path)
     options = _options(spark, delimiter, encoding, newline, lazy_quotes, trim_leading_space, multi_line)
+    if has_header and not same_headers and not options["encoding"].startswith("UTF-16"):
+        groups = _by_first_line(spark, path, options)
+        if len(groups) > 1:
+            parts = [read_csv(spark, files, delimiter, encoding, newline, True, None, skip_empty_lines, lazy_quotes, trim_leading_space,
+                              fields_per_record, blank_as, auto_names, multi_line, True) for files in groups]
+            for other in parts[1:]:
+                if set(other.columns) != set(parts[0].columns):
+                    raise ValueError(f"read_csv: files with other columns: {parts[0].columns} and {other.columns}")
+            return reduce(DataFrame.unionByName, parts)
     given = name_list(headers)
     if has_header or not given:
         first = spark.read.options(**options, header="false").csv(path).limit(1).collect()
@@ -136,6 +163,9 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None =
 
 
 def csv_preview(spark: SparkSession, path: str, limit: int = 20, **options) -> DataFrame:
-    """The first rows of a file, at most 100."""
+    """The first `limit` rows of a file."""
+    if limit < 1:
+        raise ValueError(f"csv_preview: limit must be at least 1, got {limit}")
     options.setdefault("multi_line", True)  # only the beginning is read
-    return read_csv(spark, path, **options).limit(max(1, min(limit or 20, 100)))
+    options.setdefault("same_headers", True)
+    return read_csv(spark, path, **options).limit(limit)
