@@ -162,7 +162,11 @@ WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' AND o_totalprice <= 250
         ("v", "gte", "v >= 50"), ("event_type", "contains", "contains(event_type, 'i')"),
         ("event_type", "not_contains", "NOT contains(event_type, 'e')"), ("event_type", "starts_with", "starts_with(event_type, 'e')"),
         ("event_type", "ends_with", "ends_with(event_type, 'k')"), ("v", "is_null", "v IS NULL"), ("v", "is_not_null", "v IS NOT NULL"),
-        ("event_type", "gt", "event_type > 'error'"), ("v", "neq", "v <> 12.31"), ("user_id", "is_true", "user_id <> 0"))),
+        ("event_type", "gt", "event_type > 'error'"), ("v", "neq", "v <> 12.31"), ("user_id", "is_true", "user_id <> 0"),
+        ("v", "eq", "v = 12.31"), ("v", "lt", "v < 30"), ("v", "lte", "v <= 30"), ("user_id", "is_false", "user_id = 0"))),
+    "filter_advanced_outputs": "SELECT event_id, CASE WHEN value < 20 THEN 0 ELSE 1 END AS output FROM events",
+    "filter_quoted_operator": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' OR o_orderkey % 3 <> 1 THEN 0
+  WHEN o_totalprice > 100000 THEN 1 ELSE 2 END AS output FROM orders""",
     "filter_rules": """SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders
 WHERE o_orderpriority > '2' AND o_orderpriority < '5' AND o_orderstatus <> 'O'""",
     "split_outputs": """SELECT event_id, CASE WHEN value > 60 THEN 0 WHEN value > 20 THEN 1 WHEN event_type = 'click' THEN 2 ELSE 3 END AS output
@@ -209,6 +213,24 @@ JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     "join_right": "SELECT d.doc_id, quality, toxic, lang FROM labels l RIGHT JOIN documents d ON d.doc_id = l.doc_id",
     "join_full": FULL,
     "join_full_hot_sides": FULL,
+    **{name: f"""SELECT coalesce(c_custkey::DOUBLE, k) AS c_custkey, c_name, p_name
+FROM customer {how} JOIN (SELECT p_partkey / 2 AS k, p_name FROM part) p ON c_custkey = k"""
+       for how in ("FULL", "RIGHT") for name in (f"join_{how.lower()}_mixed_keys", f"join_{how.lower()}_mixed_keys_split")},
+    "join_int_keys": """SELECT coalesce(c_custkey * 1000000, o_orderkey * 1000000) AS c, c_name, o_orderstatus
+FROM customer FULL JOIN orders ON c_custkey = o_orderkey""",
+    "merge_inner": f"""SELECT c_custkey, c_name AS c_name_c, p_name AS c_name_p FROM customer JOIN ({SHIFTED}) p ON c_custkey = k""",
+    "merge_right": f"""SELECT k AS c_custkey, c_name AS c_name_c, p_name AS c_name_p FROM customer RIGHT JOIN ({SHIFTED}) p ON c_custkey = k""",
+    "map_columns": "SELECT * RENAME (s_name AS name, s_nationkey AS nation) FROM supplier",
+    "text_input_lookup": """SELECT n_name, n_regionkey::VARCHAR AS r,
+  CASE n_regionkey WHEN 0 THEN 'Africa' WHEN 1 THEN 'America' WHEN 2 THEN 'Asia' WHEN 3 THEN 'Europe' END AS continent FROM nation""",
+    "sampling_percent": """SELECT o_orderkey, o_custkey FROM orders
+WHERE ('0x' || substr(md5('1' || chr(31) || o_custkey), 1, 15))::BIGINT < 0.2 * (1::BIGINT << 60)""",
+    "sampling_all_rows_small_share": """SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE ('0x' || substr(md5('0' || chr(31) || l_orderkey || chr(31) || l_linenumber), 1, 15))::BIGINT < 0.005 * (1::BIGINT << 60)""",
+    "csv_many_headers": "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer",
+    "csv_letters": "SELECT s_suppkey::VARCHAR AS A, s_name AS B FROM supplier",
+    "csv_preview_all": "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation",
+    "apply_changes_strict": CHANGED,
     "join_null_keys": """SELECT CASE WHEN n_regionkey = 1 THEN NULL ELSE n_regionkey END AS k, n_name, r_name
 FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""",
     "merge_outer": f"""SELECT coalesce(c_custkey, k) AS c_custkey, c_name AS c_name_c, p_name AS c_name_p

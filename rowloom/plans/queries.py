@@ -239,13 +239,28 @@ def filter_advanced(spark, folder):
     tests = [("v", "gte", "50", "number"), ("event_type", "contains", "i", "string"), ("event_type", "not_contains", "e", "string"),
              ("event_type", "starts_with", "e", "string"), ("event_type", "ends_with", "k", "string"), ("v", "is_null", "", "string"),
              ("v", "is_not_null", "", "string"), ("event_type", "gt", "error", "string"), ("v", "neq", "12.31", "number"),
-             ("user_id", "is_true", "", "bool")]
-    parts = []
-    for field, operator, value, kind in tests:
-        for branch, rows in zip(("true", "false"), rl.filter_advanced(df, field, operator, value, kind)):
-            parts.append(rows.agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")).select(
-                F.lit(field).alias("field"), F.lit(operator).alias("operator"), F.lit(branch).alias("branch"), "n", "ids"))
-    return rl.union(*parts)
+             ("user_id", "is_true", "", "bool"), ("v", "eq", "12.31", "number"), ("v", "lt", "30", "number"), ("v", "lte", "30", "number"),
+             ("user_id", "is_false", "", "bool")]
+    matched = df.transform(rl.match_advanced(tests))
+    labels = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(o).alias("operator")) for f, o, _, _ in tests])
+    tests_of = matched.select("event_id", F.explode(F.arrays_zip(F.col("_match"), labels.alias("label"))).alias("t"))
+    return tests_of.groupBy("t.label.field", "t.label.operator", F.col("t._match").cast("string").alias("branch")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query
+def filter_advanced_outputs(spark, folder):
+    """Both outputs of one test."""
+    kept, rest = rl.filter_advanced(table(spark, folder, "events"), "value", "lt", "20", "number")
+    return rl.union(*[d.select("event_id", F.lit(i).alias("output")) for i, d in enumerate((kept, rest))])
+
+
+@query
+def filter_quoted_operator(spark, folder):
+    """A literal that holds an operator and a comma."""
+    df = table(spark, folder, "orders").withColumn("tag", F.concat("o_orderstatus", F.lit("==a, >="), F.pmod("o_orderkey", F.lit(3))))
+    outputs = rl.split(df, "tag != 'F==a, >=1', o_totalprice > 100000")
+    return rl.union(*[d.select("o_orderkey", F.lit(i).alias("output")) for i, d in enumerate(outputs)])
 
 
 @query
@@ -257,8 +272,9 @@ def filter_rules(spark, folder):
 
 @query
 def split_outputs(spark, folder):
-    outputs = rl.split(table(spark, folder, "events"), "value > 60, value > 20, event_type == 'click'", 4)
-    return rl.union(*[d.withColumn("output", F.lit(i)).transform(rl.select("event_id,output")) for i, d in enumerate(outputs)])
+    """All outputs of a split, from one pass: the number that `split` filters on."""
+    routed = table(spark, folder, "events").transform(rl.route("value > 60, value > 20, event_type == 'click'", "output"))
+    return routed.select("event_id", "output")
 
 
 @query
@@ -457,6 +473,102 @@ def join_full_hot_sides(spark, folder):
     return rl.join(*_shifted(spark, folder), "c_custkey", "k", "full", split_hot=True)
 
 
+def _mixed(spark, folder, how, split_hot):
+    """A bigint key against a double key with fractions."""
+    parts = table(spark, folder, "part").select((F.col("p_partkey") / 2).alias("k"), "p_name")
+    return rl.join(table(spark, folder, "customer").select("c_custkey", "c_name"), parts, "c_custkey", "k", how, split_hot=split_hot, stable=True)
+
+
+@query
+def join_full_mixed_keys(spark, folder):
+    return _mixed(spark, folder, "full", False)
+
+
+@query
+def join_full_mixed_keys_split(spark, folder):
+    return _mixed(spark, folder, "full", True)
+
+
+@query
+def join_right_mixed_keys(spark, folder):
+    return _mixed(spark, folder, "right", False)
+
+
+@query
+def join_right_mixed_keys_split(spark, folder):
+    return _mixed(spark, folder, "right", True)
+
+
+@query
+def join_int_keys(spark, folder):
+    """An int key against a bigint key that passes its range."""
+    orders = table(spark, folder, "orders").select((F.col("o_orderkey") * 1_000_000).alias("k"), "o_orderstatus")
+    return rl.join(table(spark, folder, "customer").select((F.col("c_custkey") * 1_000_000).cast("int").alias("c"), "c_name"), orders, "c", "k", "full")
+
+
+@query
+def merge_inner(spark, folder):
+    customers, parts = _shifted(spark, folder)
+    return rl.merge(customers, parts, "inner", left_on="c_custkey", right_on="k", left_suffix="_c", right_suffix="_p")
+
+
+@query
+def merge_right(spark, folder):
+    customers, parts = _shifted(spark, folder)
+    return rl.merge(customers, parts, "right", left_on="c_custkey", right_on="k", left_suffix="_c", right_suffix="_p")
+
+
+@query
+def map_columns(spark, folder):
+    return table(spark, folder, "supplier").transform(rl.map_columns({"s_name": "name", "s_nationkey": "nation"}))
+
+
+@query
+def text_input_lookup(spark, folder):
+    """Typed-in text as a lookup table for the nations."""
+    lookup = rl.text_input(spark, "key,continent\n0,Africa\n1,America\n2,Asia\n3,Europe")
+    return rl.join(table(spark, folder, "nation").select("n_name", F.col("n_regionkey").cast("string").alias("r")), lookup, "r", "key", "left")
+
+
+@query
+def sampling_all_rows_small_share(spark, folder):
+    return table(spark, folder, "lineitem").transform(rl.chain(
+        rl.sampling("percent", 0.5, key="l_orderkey,l_linenumber"), rl.select("l_orderkey,l_linenumber")))
+
+
+@query
+def csv_many_headers(spark, folder):
+    """Files with their columns in two orders."""
+    path = new_folder(spark, "csv")
+    customers = table(spark, folder, "customer")
+    rl.write_csv(customers.where("c_custkey % 2 = 0"), f"{path}/a", columns="c_custkey,c_name,c_mktsegment")
+    rl.write_csv(customers.where("c_custkey % 2 = 1"), f"{path}/b", columns="c_mktsegment,c_custkey,c_name")
+    return rl.read_csv(spark, f"{path}/*")
+
+
+@query
+def csv_letters(spark, folder):
+    """Generated names for files without a header."""
+    path = new_folder(spark, "csv")
+    rl.write_csv(table(spark, folder, "supplier"), path, columns="s_suppkey,s_name")
+    return rl.read_csv(spark, path, has_header=False, auto_names="letters").where("A != 's_suppkey'")
+
+
+@query
+def csv_preview_all(spark, folder):
+    """A preview of more rows than there are is all rows."""
+    path = new_folder(spark, "csv")
+    rl.write_csv(table(spark, folder, "nation"), path, columns="n_nationkey,n_name")
+    return rl.csv_preview(spark, path, limit=500)
+
+
+@query
+def apply_changes_strict(spark, folder):
+    """Operations in any case; all of them are checked."""
+    changes = _change_rows(table(spark, folder, "events")).withColumn("_op", F.lower("_op"))
+    return rl.apply_changes(_snapshot(spark, folder), changes, "id", "event_id")
+
+
 @query
 def join_null_keys(spark, folder):
     """NULL keys equal each other."""
@@ -584,7 +696,7 @@ def json_pages(spark, folder):
     bodies = pages.groupBy("page").agg(F.to_json(F.struct(F.collect_list("record").alias("items"))).alias("value"))
     bodies.write.partitionBy("page").text(path)
     return rl.json_pages(spark, path, "event_id bigint, user_id bigint, event_type string", "items", page_size=500,
-                         page_pattern=r"page=(\d+)", max_pages=2**40)
+                         page_pattern=r"page=(\d+)")
 
 
 @query
