@@ -12,6 +12,7 @@ from ..functions.names import names, ref, require
 from .ordered import row_hash
 
 OPERATIONS = ("INSERT", "UPDATE", "DELETE")
+SEQUENCE, DELETED = "__sequence", "__deleted"
 
 
 def last_changes(changes: DataFrame, keys, sequence: str) -> DataFrame:
@@ -46,6 +47,31 @@ def apply_changes(snapshot: DataFrame, changes: DataFrame, keys, sequence: str,
     return untouched.unionByName(images)
 
 
+def with_state(snapshot: DataFrame, changes: DataFrame, sequence: str) -> DataFrame:
+    """A snapshot as the state that `apply_newer` keeps: the sequence last applied to a row and whether that deleted it."""
+    kind = changes.schema[sequence].dataType
+    return snapshot.withColumn(SEQUENCE, F.lit(None).cast(kind)).withColumn(DELETED, F.lit(False))
+
+
+def apply_newer(state: DataFrame, changes: DataFrame, keys, sequence: str, op_column: str = "_op") -> DataFrame:
+    """The state after the changes that are newer than what was applied to their key before.
+
+    Deleted keys stay as tombstones, so changes may come in any order over any
+    number of calls. A change of an equal sequence counts as applied.
+    """
+    keys = require(state, names(keys), "apply_newer")
+    columns = [c for c in state.columns if c not in (SEQUENCE, DELETED)]
+    require(changes, [op_column, *columns], "apply_newer")
+    last = last_changes(checked(changes, op_column), keys, sequence)
+    images = last.select(*[ref(c) for c in columns], ref(sequence).alias(SEQUENCE), (ref(op_column) == "DELETE").alias(DELETED))
+    hidden = {k: f"__k{i}" for i, k in enumerate(keys)}
+    same = reduce(and_, [ref(k).eqNullSafe(F.col(h)) for k, h in hidden.items()])
+    known = state.groupBy(*[ref(k).alias(h) for k, h in hidden.items()]).agg(F.max(SEQUENCE).alias("__known"))
+    newer = images.join(known, same, "left").where(F.col("__known").isNull() | (F.col(SEQUENCE) > F.col("__known"))).drop(*hidden.values(), "__known")
+    touched = newer.select(*[ref(k).alias(h) for k, h in hidden.items()])
+    return state.join(touched, same, "left_anti").unionByName(newer)
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys) -> DataFrame:
     """The table with `rows` replacing or joining its rows by key; a repeated key keeps one row."""
     keys = require(table, names(keys), "upsert")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import rowloom as rl
 from rowloom.session import new_folder
-from rowloom.streaming.streams import apply_change_stream, lookup_join, read_folder, run_available, stream_dedup
+from rowloom.streaming.streams import apply_change_stream, lookup_join, read_folder, read_snapshot, run_available, stream_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -770,6 +770,9 @@ def stream_lookup(spark, folder):
 def stream_changes(spark, folder):
     path = new_folder(spark, "snapshot")
     _snapshot(spark, folder).write.parquet(f"{path}/version=start")
-    apply_change_stream(_change_rows(_stream(spark, folder, "events")), path, "id", "event_id",
-                        available_now=True).awaitTermination()
-    return spark.read.parquet(f"{path}/version=0")
+    landed = new_folder(spark, "changes")
+    # the changes come in several batches, out of order
+    _change_rows(table(spark, folder, "events")).repartition(5, F.xxhash64("event_id")).write.parquet(landed)
+    changes = read_folder(spark, landed, spark.read.parquet(landed).schema, files_per_trigger=1)
+    apply_change_stream(changes, path, "id", "event_id", new_folder(spark, "changes-state"), available_now=True).awaitTermination()
+    return read_snapshot(spark, path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +79,15 @@ def remove_written(spark: SparkSession) -> int:
     """Delete this process's folders in the shared folder, once no DataFrame built on them is needed."""
     removed = 0
     while _folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
-        removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+        removed += delete_folder(_folders.pop())
     return removed
+
+
+def delete_folder(uri: str) -> bool:
+    """Delete a folder of this library's own, on any store that pyarrow reaches; whether it was there."""
+    store, path = (fs.LocalFileSystem(), uri) if "://" not in uri and not uri.startswith("file:") else fs.FileSystem.from_uri(
+        "file:///" + uri[5:].lstrip("/") if uri.startswith("file:") else uri)
+    if store.get_file_info(path).type != fs.FileType.Directory:
+        return False
+    store.delete_dir(path)
+    return True

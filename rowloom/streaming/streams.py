@@ -14,9 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.names import dtype, names, ref, require
-from ..operators.changes import apply_changes
+from ..operators.changes import DELETED, SEQUENCE, apply_newer, with_state
 from ..operators.joins import join
-from ..session import new_folder
+from ..session import delete_folder, new_folder
 
 
 def read_folder(spark: SparkSession, path: str, schema: StructType | str, pattern: str | None = None,
@@ -58,32 +58,44 @@ def run_available(stream: DataFrame, path: str | None = None, checkpoint: str |
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def apply_change_stream(changes: DataFrame, snapshot_path: str, keys, sequence: str, op_column: str = "_op",
-                        checkpoint: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Keep a snapshot up to date with a stream of change rows.
+def apply_change_stream(changes: DataFrame, snapshot_path: str, keys, sequence: str, checkpoint: str, op_column: str = "_op",
+                        available_now: bool = False) -> StreamingQuery:
+    """Keep a snapshot up to date with a stream of change rows, whatever the order in which they come.
 
-    Each batch reads the newest version folder and writes the next one, named by
-    the batch, so a batch that is run again after a failure gives the same
-    version. `snapshot_path/version=start` must hold the initial rows.
+    `snapshot_path/version=start` must hold the initial rows. Each batch reads
+    the version before it and writes its own, with the sequence last applied to
+    each key and tombstones of deleted ones, so a batch that is run again after
+    a failure gives the same version. The newest two versions are kept;
+    `read_snapshot` gives the newest rows. `checkpoint` must outlive the process.
 
     A batch costs a rewrite of the snapshot. Where that is much larger than a
     batch, let the stream land the change rows as parquet (`run_available`) and
     run `apply_changes` on them at longer intervals.
     """
-    spark = changes.sparkSession
+    if not checkpoint:
+        raise ValueError("apply_change_stream: checkpoint is required")
 
     def next_version(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        before = "start" if batch_id == 0 else str(batch_id - 1)
-        snapshot = session.read.parquet(f"{snapshot_path}/version={before}")
-        after = apply_changes(snapshot, batch, keys, sequence, op_column)
-        after.write.mode("overwrite").parquet(f"{snapshot_path}/version={batch_id}")
-
-    writer = changes.writeStream.foreachBatch(next_version).option(
-        "checkpointLocation", checkpoint or new_folder(spark, "changes-state"))
+        if batch_id == 0:
+            state = with_state(session.read.parquet(f"{snapshot_path}/version=start"), batch, sequence)
+        else:
+            state = session.read.parquet(f"{snapshot_path}/version={batch_id - 1}")
+        apply_newer(state, batch, keys, sequence, op_column).write.mode("overwrite").parquet(f"{snapshot_path}/version={batch_id}")
+        session.createDataFrame([(batch_id,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{snapshot_path}/latest")
+        if batch_id > 1:
+            delete_folder(f"{snapshot_path}/version={batch_id - 2}")
+
+    writer = changes.writeStream.foreachBatch(next_version).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def read_snapshot(spark: SparkSession, snapshot_path: str) -> DataFrame:
+    """The rows of the newest version that `apply_change_stream` has written, without its own columns."""
+    version = spark.read.parquet(f"{snapshot_path}/latest").first()["version"]
+    return spark.read.parquet(f"{snapshot_path}/version={version}").where(f"not {DELETED}").drop(SEQUENCE, DELETED)
+
+
 def per_batch(step: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that applies a batch-only step and appends the result, one folder per batch."""
 

@@ -1,10 +1,11 @@
 import datetime as dt
+import random
 
 import pytest
 
 import rowloom as rl
 from rowloom.session import new_folder
-from rowloom.streaming.streams import apply_change_stream, lookup_join, per_batch, read_folder, run_available, stream_dedup
+from rowloom.streaming.streams import apply_change_stream, lookup_join, per_batch, read_folder, read_snapshot, run_available, stream_dedup
 
 CHANGES = [(1, "INSERT", 4, "new"), (2, "UPDATE", 1, "one"), (3, "DELETE", 2, None), (4, "UPDATE", 4, "newer"), (5, "INSERT", 2, "again"),
            (6, "DELETE", 3, None)]
@@ -27,7 +28,23 @@ def test_change_stream(spark, rows, tmp_path):
         rows(schema, *part).coalesce(1).write.mode("append").parquet(folder)
         stream = read_folder(spark, folder, schema)
         apply_change_stream(stream, state, "k", "seq", checkpoint=str(tmp_path / "cp"), available_now=True).awaitTermination()
-    assert rows.out(spark.read.parquet(f"{state}/version=1")) == [(1, "one"), (2, "again"), (4, "newer"), (9, "z")]
+    assert rows.out(read_snapshot(spark, state)) == [(1, "one"), (2, "again"), (4, "newer"), (9, "z")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_change_stream_keeps_order_over_batches(spark, rows, tmp_path, seed):
+    folder, state = str(tmp_path / "in"), str(tmp_path / "snap")
+    rows("k int, v string", (1, "a"), (2, "b"), (3, "c"), (9, "z")).write.parquet(f"{state}/version=start")
+    schema = "seq int, _op string, k int, v string"
+    for change in random.Random(seed).sample([*CHANGES, (0, "DELETE", 4, None)], 7):
+        rows(schema, change).coalesce(1).write.mode("append").parquet(folder)
+    stream = read_folder(spark, folder, schema, files_per_trigger=1)
+    apply_change_stream(stream, state, "k", "seq", str(tmp_path / "cp"), available_now=True).awaitTermination()
+    assert rows.out(read_snapshot(spark, state)) == [(1, "one"), (2, "again"), (4, "newer"), (9, "z")]
+    kept = sorted(p.name for p in (tmp_path / "snap").glob("version=*"))
+    assert kept == ["version=5", "version=6", "version=start"]
+    with pytest.raises(ValueError):
+        apply_change_stream(stream, state, "k", "seq", "")
 
 
 def test_stateless_steps_on_a_stream(spark, rows, tmp_path):
