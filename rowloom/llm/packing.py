@@ -31,6 +31,8 @@ from .tokens import BLOCK_CHARS, encoder
 PIECES = "part int, local_sequence long, tier int, tier_rank long, offset long, doc_id long, start long, length long, doc_tokens long, ids binary"
 #: Ids that are packed together at most, besides a document that is longer by itself.
 BLOCK_IDS = 1_500_000
+#: Rows of bases (parts times tiers) that are broadcast: 4 MB.
+MOST_BASES = 100_000
 #: Ids of one step group.
 STEP_IDS = 1 << 20
 
@@ -165,6 +167,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, key:
     step_first = prefix_sums({-t: n for t, n in steps.items()})  # long tiers first
     listed = [(p, t, first[p], tier_first[p, t], step_first[-t]) for p, t in tier_first]
     bases = spark.createDataFrame(listed, "part int, tier int, first_sequence long, first_rank long, first_step long")
+    if len(listed) <= MOST_BASES:
+        bases = F.broadcast(bases)  # else a join that adaptive execution may split
     per_step = F.greatest(F.lit(1), F.floor(F.lit(step_ids) / F.col("tier")))
     return pieces.join(bases, ["part", "tier"]).select(
         "doc_id", "start", "length", "doc_tokens", (F.col("first_sequence") + F.col("local_sequence")).alias("sequence_id"), "offset", "tier",
