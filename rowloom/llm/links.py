@@ -13,13 +13,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs nodes under smaller ones, first larger neighbours
     under the least neighbour, then all smaller neighbours under their
-    least; it ends when a round changes nothing. Least neighbours are
+    least; it ends when every component is a star around its smallest node. Least neighbours are
     combined before the shuffle, the joins may be dealt anew where a node
     has very many links, and each round reads a written table.
     """
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
+    while not _is_settled(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.where("b > a").join(least.select("a", F.least("a", "m").alias("m")), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -27,8 +26,11 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         edges = written(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
                         .where("a != b").distinct(), "edges")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b")).distinct()
+
+
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node hangs under one node, and none hangs under a node that hangs itself."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    return roles.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below = 1 and above = 1").isEmpty()
