@@ -14,7 +14,8 @@ at the threshold goes on with a probability of 0.89 per tree whatever its
 depth, and independent trees bring the miss of one pair under 1e-5.
 
 Each level of all trees is a table (branch, node). Branches with one member
-are dropped. Every other member is compared with the branch's least node; what
+are dropped. In every other one the members are compared with its hubs first,
+nodes that many members resemble (the text that copies were made from); what
 is confirmed on full sets joins components at once. Branches whose members are
 all in one component need no more work; in the other small branches all
 members of different components are compared; larger branches branch again.
@@ -29,7 +30,7 @@ told apart by their sets. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -173,10 +174,76 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
+def by_branch(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Apply `work` to runs of whole branches of batches that are sorted by their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        branch = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(branch, branch[-1], "left"))  # the last branch may go on
+        if held and (cut or held[-1].column(0)[-1].as_py() != branch[0]):
+            yield work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        elif cut:
+            yield work(pa.Table.from_batches([batch.slice(0, cut)]))
+        held.append(batch.slice(cut))
+    if held:
+        yield work(pa.Table.from_batches(held))
+
+
+def hubs(members: DataFrame) -> DataFrame:
+    """(a, b, branch, score): each member b of a block of a branch with the hub a that it resembles; members: block, branch, key, tokens.
+
+    The member with the highest mean resemblance is the first hub; the next one is the best of those that no hub so far
+    resembles. A member is paired once, so a block gives fewer rows than it has.
+    """
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        block, branch, key = (table.column(c).to_numpy() for c in ("block", "branch", "key"))
+        tokens = _tokens(table.column("tokens").combine_chunks())
+        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        two = cuts[:-1][np.diff(cuts) == 2]
+        good = (tokens[two] == tokens[two + 1]).mean(1)
+        two, good = two[good >= LIKELY], good[good >= LIKELY]
+        out = [(key[two], key[two + 1], branch[two], good)]
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            if last - first < 3:
+                continue
+            rows = tokens[first:last]
+            alike = np.stack([(rows == row).mean(1) for row in rows])
+            mean, open_ = alike.mean(1), np.ones(len(rows), bool)
+            for hub in np.lexsort((key[first:last], -mean)):
+                if open_[hub]:
+                    open_[hub] = False
+                    near = np.flatnonzero(open_ & (alike[hub] >= LIKELY))
+                    open_[near] = False
+                    if len(near):
+                        full = [np.full(len(near), x) for x in (key[first + hub], branch[first], mean[hub])]
+                        out.append((full[0], key[first + near], full[1], full[2]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "branch", "score"])
+
+    dealt = members.select("block", "branch", "key", "tokens").repartition(parts_of(members), "block").sortWithinPartitions("block", "key")
+    return dealt.mapInArrow(lambda batches: by_branch(batches, pairs), "a long, b long, branch long, score double")
+
+
+def first_pairs(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """Likely pairs of members with hubs: within blocks of SMALL members, and of a larger branch with its best hub."""
+    tokens = sets.select("key", "tokens")
+    block = F.when(F.col("n") > SMALL, F.xxhash64("branch", F.pmod(F.xxhash64("key", F.lit("block")), F.ceil(F.col("n") / SMALL)))).otherwise(F.col("branch"))
+    found = written(hubs(live.withColumn("block", block).join(tokens, "key")), "hubs")
+    best = found.groupBy("branch").agg(F.max_by("a", "score").alias("a"))
+    stars = live.where(F.col("n") > SMALL).join(best, "branch").where("a != key").select("a", F.col("key").alias("b")).distinct()
+    pairs = found.select("a", "b").union(likely(stars, sets))
+    one = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min_by(F.struct("a", "b"), "a").alias("p"))
+    return one.select("p.a", "p.b")  # the hub stays first, so that the pairs of one hub are confirmed together
+
+
 def compare_small(members: DataFrame) -> DataFrame:
     """Likely pairs (a < b) of different components within each branch; members: branch, key, label, tokens. A branch's rows are few."""
 
-    def pairs(table: pa.Table) -> pa.RecordBatch | None:
+    def pairs(table: pa.Table) -> pa.RecordBatch:
         branch, key, label = (table.column(c).to_numpy() for c in ("branch", "key", "label"))
         tokens = _tokens(table.column("tokens").combine_chunks())
         starts = np.flatnonzero(np.concatenate([[True], branch[1:] != branch[:-1]]))
@@ -195,26 +262,11 @@ def compare_small(members: DataFrame) -> DataFrame:
                 b.append(key[other[good]])
             step += 1
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            branch = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(branch, branch[-1], "left"))  # the last branch may go on
-            if held and (cut or held[-1].column(0)[-1].as_py() != branch[0]):
-                yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            elif cut:
-                yield pairs(pa.Table.from_batches([batch.slice(0, cut)]))
-            held.append(batch.slice(cut))
-        if held:
-            yield pairs(pa.Table.from_batches(held))
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     dealt = members.select("branch", "key", "label", "tokens").repartition(parts_of(members), "branch").sortWithinPartitions("branch")
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return dealt.mapInArrow(lambda batches: by_branch(batches, pairs), "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
@@ -269,12 +321,11 @@ def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, Data
     tested: list[DataFrame] = []
     level = branch_out(sets.select(F.lit(0).cast("long").alias("branch"), "key", "tokens"), True)
     for depth in range(1, DEEPEST + 1):
-        sizes = level.groupBy("branch").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
-        live = written(level.join(sizes, "branch").select("branch", "key", "n", "least"), "branches")
+        sizes = level.groupBy("branch").agg(F.count("*").alias("n")).where("n > 1")
+        live = written(level.join(sizes, "branch").select("branch", "key", "n"), "branches")
         if live.isEmpty():
             break
-        stars = live.where("key != least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-        links, groups = _grow(links, groups, tested, likely(apart(stars, groups), sets), docs, sets)
+        links, groups = _grow(links, groups, tested, apart(first_pairs(live, sets), groups), docs, sets)
         labelled = named(live, groups, "key", "label")
         open_ = labelled.groupBy("branch").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("branch")
         labelled = written(labelled.join(open_, "branch"), "open")
@@ -308,7 +359,8 @@ def _grow(links: DataFrame | None, groups: DataFrame | None, tested: list[DataFr
           sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """The links and components with those of the candidate pairs that full sets confirm; no pair is confirmed twice."""
     if tested:
-        pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
+        done = reduce(DataFrame.union, tested).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        pairs = pairs.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
     pairs = written(pairs, "pairs")
     tested.append(pairs)
     if pairs.isEmpty():
