@@ -45,10 +45,10 @@ from .common import blocks, mix64, parts_of, text_of
 from .links import components
 
 WORDS, SHARE = 5, 75
-#: Minwise tokens of a set, trees, and tokens selected at a branching.
-TOKENS, TREES, SELECTED = 64, 6, 2
-#: Share of equal tokens from which a pair is confirmed on full sets: 3.7 standard deviations under the threshold.
-LIKELY = 0.55
+#: Minwise tokens of a set, of which one byte each is kept for estimates; the first ones, kept whole, that branchings select from; trees.
+TOKENS, BRANCHING, TREES = 256, 32, 6
+#: Share of equal bytes from which a pair is confirmed on full sets: 3.7 standard deviations under the threshold.
+LIKELY = 0.65
 #: Members of a branch that are compared with each other; of one that is compared block by block, after the first level; levels until all
 #: larger ones are; pairs that share a group in a confirmation.
 SMALL, MEDIUM, DEEPEST, TOGETHER = 256, 4096, 10, 48
@@ -90,20 +90,18 @@ def _seeds(tokens: int) -> np.ndarray:
 
 
 def minwise(sets: list[np.ndarray], tokens: int = TOKENS) -> np.ndarray:
-    """For each set and token the upper 32 bits of the least value of one hash function over the set."""
+    """For each set and token the least value of one 32-bit hash function over the set; a 64-bit product gives two of them."""
     out = np.empty((len(sets), tokens), np.uint32)
-    seeds = _seeds(tokens)
+    seeds, half = _seeds(tokens // 2), np.uint64(32)
     with np.errstate(over="ignore"):
         for i, found in enumerate(sets):
-            least = None
-            for first in range(0, len(found), 4096):
-                part = found[first:first + 4096]
-                value = part[None, :] * seeds[:, None]
+            for first in range(0, len(found), 2048):
+                value = found[first:first + 2048][None, :] * seeds[:, None]
                 value ^= value >> np.uint64(29)
                 value *= np.uint64(0xBF58476D1CE4E5B9)
-                here = (value >> np.uint64(32)).min(1)
-                least = here if least is None else np.minimum(least, here)
-            out[i] = least
+                value ^= value >> half
+                here = np.concatenate([(value >> half).astype(np.uint32).min(1), value.astype(np.uint32).min(1)])
+                out[i] = here if not first else np.minimum(out[i], here)
     return out
 
 
@@ -115,8 +113,9 @@ def sets_of(docs: DataFrame) -> DataFrame:
             found = [shingles(t) for t in texts]
             full = [i for i, s in enumerate(found) if len(s)]
             tokens = minwise([found[i] for i in full]).astype("<u4")
+            sketch = np.concatenate([np.ascontiguousarray(tokens[:, :BRANCHING]).view(np.uint8), (tokens & 0xFF).astype(np.uint8)], 1)
             binary: list[bytes | None] = [None] * len(texts)
-            for i, row in zip(full, tokens, strict=True):
+            for i, row in zip(full, sketch, strict=True):
                 binary[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays([
                 block.column(0), pa.array([set_key(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()),
@@ -139,8 +138,13 @@ def _children(branch: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         return np.stack([mix64(mix64(branch * GOLDEN + at.astype(np.uint64) + np.uint64(1)) + tokens[rows, at].astype(np.uint64)) for at in (first, second)], 1)
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 4 * BRANCHING + TOKENS)
+
+
 def _tokens(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)
+    """A byte of every token, for estimates."""
+    return np.ascontiguousarray(_sketches(column)[:, 4 * BRANCHING:])
 
 
 def branch_out(members: DataFrame, root: bool) -> DataFrame:
@@ -150,7 +154,7 @@ def branch_out(members: DataFrame, root: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, tokens = batch.column(1), _tokens(batch.column(2))
+            key, tokens = batch.column(1), np.ascontiguousarray(_sketches(batch.column(2))[:, :4 * BRANCHING]).view("<u4")
             branch = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             trees = TREES if root else 1
             found = np.concatenate([_children(mix64(branch + np.uint64(t + 1)) if root else branch, tokens) for t in range(trees)], 1)
