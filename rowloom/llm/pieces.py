@@ -43,7 +43,7 @@ ALPHA = 1.0
 #: log p of a character that is spelt in bytes.
 SPELT = -25.0
 #: Characters of a block, and units that are sampled at once.
-BLOCK_CHARS, BLOCK_UNITS = 1_500_000, 200_000
+BLOCK_CHARS, BLOCK_UNITS = 800_000, 100_000
 UNIT = re.compile(r" *[^ ]+| +")
 #: Finer units, where no piece joins a letter to a mark after it, or a line break to anything.
 LETTER = r"[^\W\d_²]"
@@ -66,10 +66,33 @@ class Numbers(dict):
         return found
 
 
-class Lattice:
+class Bytes:
+    """The bytes of a model's pieces, which is all that decoding needs."""
+
+    def __init__(self, path: str) -> None:
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        parts = [b"" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else
+                 bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(MARK, " ").encode()
+                 for i in range(model.get_piece_size())]
+        self.bytes_of = parts
+        self.byte_length = np.asarray([len(b) for b in parts], np.int64)
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        self.first = np.cumsum(self.byte_length) - self.byte_length
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of ids laid end to end."""
+        widths = self.byte_length[ids]
+        flat = self.flat[ragged(self.first[ids], widths)].tobytes()
+        sums = np.concatenate([[0], np.cumsum(widths)])
+        ends = np.cumsum(counts)
+        return [flat[a + 1:b].decode("utf-8", "surrogatepass") if b > a else "" for a, b in zip(sums[ends - counts], sums[ends], strict=True)]
+
+
+class Lattice(Bytes):
     """The pieces of a model, their weights, and the byte pieces."""
 
     def __init__(self, path: str, alpha: float = ALPHA) -> None:
+        super().__init__(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = model.get_piece_size()
         scores = np.asarray([model.get_score(i) for i in range(self.size)])
@@ -78,11 +101,9 @@ class Lattice:
         self.weight = alpha * (-np.log1p(-np.minimum(scores, 0)) if ranked else scores)
         self.spelt = alpha * SPELT
         self.byte_id = np.full(256, -1, np.int64)
-        self.bytes_of: list[bytes] = [b""] * self.size
         for i in range(self.size):
             if model.is_byte(i):
-                value = int(model.id_to_piece(i)[3:5], 16)
-                self.byte_id[value], self.bytes_of[i] = i, bytes([value])
+                self.byte_id[int(model.id_to_piece(i)[3:5], 16)] = i
         self.automaton = ahocorasick.Automaton()
         self.length = np.ones(self.size, np.int64)
         inner = joins = False
@@ -90,7 +111,7 @@ class Lattice:
             text = model.id_to_piece(i).replace(MARK, " ")
             if not text:
                 continue
-            self.bytes_of[i], self.length[i] = text.encode(), len(text)
+            self.length[i] = len(text)
             self.automaton.add_word(text, i)
             inner |= " " in text.lstrip(" ")
             joins |= JOINS.search(text) is not None
@@ -98,9 +119,6 @@ class Lattice:
         if (self.byte_id < 0).any():
             raise ValueError("the model has no byte pieces, so it cannot spell every text")
         self.unit = re.compile(r"(?s).+") if inner else UNIT if joins else FINE_UNIT
-        self.byte_length = np.asarray([len(b) for b in self.bytes_of], np.int64)
-        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.first = np.cumsum(self.byte_length) - self.byte_length
 
     def edges(self, units: list[str]) -> tuple[np.ndarray, ...]:
         """All edges of the units' lattices, sorted by end; nodes of all units are numbered through, unit after unit.
@@ -222,14 +240,6 @@ class Lattice:
         sums = np.concatenate([[0], np.cumsum(per_unit)])
         return ids, sums[ends] - sums[ends - counts]
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-        """The texts of ids laid end to end."""
-        widths = self.byte_length[ids]
-        flat = self.flat[ragged(self.first[ids], widths)].tobytes()
-        sums = np.concatenate([[0], np.cumsum(widths)])
-        ends = np.cumsum(counts)
-        return [flat[a + 1:b].decode("utf-8", "surrogatepass") if b > a else "" for a, b in zip(sums[ends - counts], sums[ends], strict=True)]
-
 
 def lattice(path: str, alpha: float = ALPHA) -> Lattice:
     if (path, alpha) not in _loaded:
@@ -259,7 +269,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """encoded (doc_id, ids) with the text that the ids spell, as column `text`."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = lattice(model)
+        table = Bytes(model)
         for batch in batches:
             if not batch.num_rows:
                 continue

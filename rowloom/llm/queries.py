@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import exact, html, idfiles, language, neardup, packing, pieces, search, secrets, warc
 
 
@@ -19,7 +20,8 @@ def op1_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The sampled ids of every document, and the digests of its text and of what the ids decode to."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = _read(spark, folder, "documents")
-    decoded = pieces.decode(pieces.encode(docs, model), model)
+    encoded = written(pieces.encode(docs, model), "pieces")  # else each task would hold an encoding and a decoding worker
+    decoded = pieces.decode(encoded, model)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2("text", 256).alias("decoded_sha256"), "ids")
 
 
