@@ -14,7 +14,7 @@ model's scores are minus the rank of its merges, for which log p follows
 Zipf's law, -log(rank + 1). A character without a piece is spelt by its byte
 pieces. No piece of the model goes on from a visible character to a blank, so
 the lattice falls apart into units (blanks, then visible characters) that are
-sampled apart; equal units of a block share one lattice.
+sampled apart; equal units share one lattice.
 
 As in the model, a blank is written U+2581 and a text gets one in front; a
 U+2581 in the text itself is spelt in bytes, so decoding gives back the text
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -43,7 +43,9 @@ ALPHA = 1.0
 #: log p of a character that is spelt in bytes.
 SPELT = -25.0
 #: Characters of a block, and units that are sampled at once.
-BLOCK_CHARS, BLOCK_UNITS = 800_000, 100_000
+BLOCK_CHARS, BLOCK_UNITS = 1_500_000, 100_000
+#: Edges of units that a worker keeps from block to block; later ones are forgotten after their block. It changes no result.
+KEPT_EDGES = 5_000_000
 UNIT = re.compile(r" *[^ ]+| +")
 #: Finer units, where no piece joins a letter to a mark after it, or a line break to anything.
 LETTER = r"[^\W\d_²]"
@@ -118,6 +120,11 @@ class Lattice(Bytes):
         self.automaton.make_automaton()
         if (self.byte_id < 0).any():
             raise ValueError("the model has no byte pieces, so it cannot spell every text")
+        self.numbers = Numbers()
+        self.start, self.piece = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.running = np.zeros(1 << 16)
+        self.first_node, self.last_node = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.edges_used = self.nodes_used = 0
         self.unit = re.compile(r"(?s).+") if inner else UNIT if joins else FINE_UNIT
 
     def edges(self, units: list[str]) -> tuple[np.ndarray, ...]:
@@ -174,6 +181,19 @@ class Lattice(Bytes):
         whole = np.repeat(running[heads + sizes - 1] - (running[heads] - share[heads]), sizes)
         return start, piece, end + (running - before) / whole, first, last
 
+    def learn(self, known: int, units: list[str]) -> int:
+        """Append the lattices of units to the tables, after the first `known` units; the tables' new length in edges."""
+        start, piece, running, first, last = self.forward(units)
+        edges, many = self.edges_used + len(start), known + len(units)
+        while edges > len(self.start):
+            self.start, self.piece, self.running = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.piece, self.running))
+        while many > len(self.first_node):
+            self.first_node, self.last_node = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first_node, self.last_node))
+        part = slice(self.edges_used, edges)
+        self.start[part], self.piece[part], self.running[part] = start + self.nodes_used, piece, running + self.nodes_used
+        self.first_node[known:many], self.last_node[known:many] = first + self.nodes_used, last + self.nodes_used
+        return edges
+
     def sample(self, units: np.ndarray, seeds: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling of occurrences of units (numbers into the tables), one 64-bit seed each: pieces in order, and their number."""
         start, piece, running, first, last = tables
@@ -227,15 +247,22 @@ class Lattice(Bytes):
                 counts[i] = len(found)
         if not cut:
             return np.zeros(0, np.int64), counts
-        numbers = Numbers()
-        units = np.fromiter(map(numbers.__getitem__, cut), np.int64, len(cut))
-        tables = self.forward(list(numbers))
+        known = len(self.numbers)
+        units = np.fromiter(map(self.numbers.__getitem__, cut), np.int64, len(cut))
+        added = list(islice(reversed(self.numbers), len(self.numbers) - known))[::-1]
+        used = self.learn(known, added) if added else self.edges_used
+        tables = (self.start, self.piece, self.running[:used], self.first_node, self.last_node)
         base = np.asarray([xxhash.xxh3_64_intdigest(f"{seed}:{k}".encode()) for k in keys], np.uint64)
         ends = np.cumsum(counts)
         place = np.arange(len(units)) - np.repeat(ends - counts, counts)
         with np.errstate(over="ignore"):
             seeds = mix64(np.repeat(base, counts) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
         parts = [self.spell(*self.sample(units[a:a + BLOCK_UNITS], seeds[a:a + BLOCK_UNITS], tables)) for a in range(0, len(units), BLOCK_UNITS)]
+        if used > KEPT_EDGES:
+            for unit in added:
+                del self.numbers[unit]
+        elif added:
+            self.edges_used, self.nodes_used = used, int(self.last_node[len(self.numbers) - 1]) + 1
         ids, per_unit = (np.concatenate([p[k] for p in parts]) for k in range(2))
         sums = np.concatenate([[0], np.cumsum(per_unit)])
         return ids, sums[ends] - sums[ends - counts]
