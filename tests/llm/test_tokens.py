@@ -153,3 +153,12 @@ def test_segmentations_have_their_weights_chance():
 def test_crc_of_column_is_that_of_ids(spark):
     ids = np.asarray([1, 70_000], "<u4")
     assert spark.range(1).select(F.crc32(F.lit(ids.tobytes()))).first()[0] == crc(ids) == idfiles.crc_of(ids)
+
+
+def test_a_full_lattice_table_changes_nothing(monkeypatch):
+    texts = ["one two three, four.", "one six, seven\n", "six two eight. 日", "one two three, four."]
+    want = [pieces.lattice(MODEL).encode([t], [5])[0].tolist() for t in texts]
+    monkeypatch.setattr(pieces, "KEPT_EDGES", 40)
+    table = pieces.Lattice(MODEL)
+    assert [table.encode([t], [5])[0].tolist() for t in [*texts, *texts]] == [*want, *want]
+    assert len(table.numbers) < 10
