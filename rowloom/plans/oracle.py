@@ -231,6 +231,8 @@ WHERE ('0x' || substr(md5('0' || chr(31) || l_orderkey || chr(31) || l_linenumbe
     "csv_letters": "SELECT s_suppkey::VARCHAR AS A, s_name AS B FROM supplier",
     "csv_preview_all": "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation",
     "apply_changes_strict": CHANGED,
+    "sort_all": """SELECT l_orderkey, l_linenumber,
+  row_number() OVER (ORDER BY l_shipdate DESC, l_quantity, l_orderkey, l_linenumber) - 1 AS i FROM lineitem""",
     "join_null_keys": """SELECT CASE WHEN n_regionkey = 1 THEN NULL ELSE n_regionkey END AS k, n_name, r_name
 FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""",
     "merge_outer": f"""SELECT coalesce(c_custkey, k) AS c_custkey, c_name AS c_name_c, p_name AS c_name_p

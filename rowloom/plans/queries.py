@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import rowloom as rl
-from rowloom.session import new_folder
+from rowloom.session import new_folder, written
 from rowloom.streaming.streams import apply_change_stream, lookup_join, read_folder, read_snapshot, run_available, stream_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -569,6 +569,14 @@ def apply_changes_strict(spark, folder):
     return rl.apply_changes(_snapshot(spark, folder), changes, "id", "event_id")
 
 
+@query
+def sort_all(spark, folder):
+    """A whole table in order; the index counts the rows as they stand in the sorted output."""
+    ordered = table(spark, folder, "lineitem").transform(rl.sort("l_shipdate desc, l_quantity, l_orderkey, l_linenumber", unique_order=True))
+    placed = written(ordered.select("l_orderkey", "l_linenumber", F.monotonically_increasing_id().alias("place")), "sorted")
+    return placed.transform(rl.row_index("place", "i", unique_order=True)).drop("place")
+
+
 @query
 def join_null_keys(spark, folder):
     """NULL keys equal each other."""

@@ -28,6 +28,7 @@ def session(app: str = "rowloom", master: str | None = None, **conf: str) -> Spa
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.legacy.javaCharsets": "true",  # Spark 4 refuses windows-1252 otherwise
         **conf,
     }
     for key, value in settings.items():

@@ -48,8 +48,8 @@ def letter_names(n: int) -> list[str]:
 
 def _options(spark: SparkSession, delimiter, encoding, newline, lazy_quotes, trim_leading_space, multi_line) -> dict:
     charset = encoding_of(encoding)
-    if charset == "windows-1252":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 refuses the charset otherwise
+    if charset == "windows-1252" and spark.conf.get("spark.sql.legacy.javaCharsets") != "true":
+        raise ValueError("read_csv: windows-1252 needs spark.sql.legacy.javaCharsets=true, as rowloom.session sets it")
     options = {
         "sep": delimiter_of(delimiter), "encoding": charset, "quote": '"', "escape": '"',
         "ignoreLeadingWhiteSpace": str(trim_leading_space).lower(), "ignoreTrailingWhiteSpace": "false",
