@@ -62,7 +62,10 @@ def test_rows_are_kept(rows):
 def test_registered_queries():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"sampling_percent", "directory"}
+    from rowloom.plans.oracle import ORACLE
+    from rowloom.plans.queries import QUERIES
+    assert set(QUERIES) - set(ORACLE) == {"directory"}
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_shared_folder_is_required_on_a_cluster():
