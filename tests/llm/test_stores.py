@@ -99,3 +99,11 @@ def test_pipeline(spark, tmp_path):
     assert not seen["secret_scan"].where("text rlike 'AKIA[A-Z0-9]{16}|[0-9a-f]{24}'").count()
     assert set(ids["packing"]) == set(ids["secret_scan"])
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_every_operator_is_registered():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert {n for n in entry.oracle_sql() if n.startswith("op")} == {"op4_top_k", "op5_exact_dedup", "op6_minhash_dedup", "op8_warc"}
