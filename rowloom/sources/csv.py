@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import names as name_list
-from ..functions.names import ref
 
 # Accepted spellings of delimiters and encodings.
 DELIMITERS = {"": ",", "tab": "\t", "\\t": "\t", "\\\\t": "\t"}
