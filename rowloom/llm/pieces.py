@@ -43,9 +43,11 @@ ALPHA = 1.0
 #: log p of a character that is spelt in bytes.
 SPELT = -25.0
 #: Characters of a block, and units that are sampled at once.
-BLOCK_CHARS, BLOCK_UNITS = 1_500_000, 100_000
+BLOCK_CHARS, BLOCK_UNITS = 600_000, 100_000
 #: Edges of units that a worker keeps from block to block; later ones are forgotten after their block. It changes no result.
-KEPT_EDGES = 5_000_000
+KEPT_EDGES = 3_000_000
+#: Ids that are decoded at once, besides a row that has more by itself.
+DECODED_IDS = 300_000
 UNIT = re.compile(r" *[^ ]+| +")
 #: Finer units, where no piece joins a letter to a mark after it, or a line break to anything.
 LETTER = r"[^\W\d_²]"
@@ -300,10 +302,17 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(1)
-            counts = np.asarray(ids.value_lengths().fill_null(0))
-            texts = table.decode(np.asarray(ids.flatten()).astype(np.int64), counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))],
-                                             ["doc_id", "ids", "text"])
+            sums = np.cumsum(np.asarray(batch.column(1).value_lengths().fill_null(0)).astype(np.int64))
+            first = 0
+            while first < len(sums):
+                done = int(sums[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(sums, done + DECODED_IDS, "right")))
+                part = batch.slice(first, last - first)
+                ids = part.column(1)
+                counts = np.asarray(ids.value_lengths().fill_null(0)).astype(np.int64)
+                texts = table.decode(np.asarray(ids.flatten()).astype(np.int64), counts)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))],
+                                                 ["doc_id", "ids", "text"])
+                first = last
 
     return encoded.select("doc_id", "ids").mapInArrow(work, ENCODED + ", text string")
