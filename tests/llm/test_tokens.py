@@ -155,6 +155,12 @@ def test_crc_of_column_is_that_of_ids(spark):
     assert spark.range(1).select(F.crc32(F.lit(ids.tobytes()))).first()[0] == crc(ids) == idfiles.crc_of(ids)
 
 
+def test_decoding_in_slices(docs, monkeypatch):
+    monkeypatch.setattr(pieces, "DECODED_IDS", 5)
+    got = pieces.decode(pieces.encode(docs(*ODD), MODEL), MODEL).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(ODD)
+
+
 def test_a_full_lattice_table_changes_nothing(monkeypatch):
     texts = ["one two three, four.", "one six, seven\n", "six two eight. 日", "one two three, four."]
     want = [pieces.lattice(MODEL).encode([t], [5])[0].tolist() for t in texts]
