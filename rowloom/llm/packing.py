@@ -2,12 +2,13 @@
 
 Tiers are the powers of two up to the longest window. A document is routed
 by size: whole windows of the longest tier are cut from it first, and what is
-left goes to the tier that it fits. Each tier is packed by itself, largest
-first, and gaps of the long windows are filled from shorter tiers, the last
-filler being cut to fit. Of a task's last window, which nothing can fill any
-more, the ids are cut into sequences of power-of-two sizes, so that no
-sequence has padding. Windows of one tier are dealt to step groups of equal
-numbers of ids.
+left goes to the shortest tier that holds it. Each tier is packed by itself,
+longest tier and largest rest first: a rest opens a window of its own tier, and
+the gap is filled from shorter tiers only, the last filler being cut to fit.
+Where the shorter tiers have too few ids for a gap, the rest's first half-window
+is a sequence of the next tier and its remainder goes to the tier that holds
+it, so that no sequence has padding. Windows of one tier are dealt to step
+groups of equal numbers of ids.
 
 A null or empty text gives one piece with the end id. Repeated rows and null
 document ids are packed like others; an empty table gives an empty result.
@@ -37,8 +38,63 @@ MOST_BASES = 100_000
 STEP_IDS = 1 << 20
 
 
+def pack_tiers(sizes: np.ndarray, longest: int) -> list[list[tuple[int, int, int]]]:
+    """Pieces (document, start, length) of each sequence, which has as many ids as its tier.
+
+    Each window of a tier opens with a rest of that tier, which is longer than
+    half of it; all further pieces come from shorter tiers.
+    """
+    out: list[list[tuple[int, int, int]]] = []
+    rests: dict[int, list[tuple[int, int]]] = {}  # length -> (document, start), the next one last
+    for doc in range(len(sizes) - 1, -1, -1):
+        full, rest = divmod(int(sizes[doc]), longest)
+        out.extend([(doc, k * longest, longest)] for k in range(full))
+        if rest:
+            rests.setdefault(rest, []).append((doc, full * longest))
+    lengths = sorted(rests)
+
+    def take(at: int) -> tuple[int, int, int]:
+        length = lengths[at]
+        doc, start = rests[length].pop()
+        if not rests[length]:
+            del rests[length], lengths[at]
+        return doc, start, length
+
+    def put(doc: int, start: int, length: int) -> None:
+        if length not in rests:
+            rests[length] = []
+            bisect.insort(lengths, length)
+        rests[length].append((doc, start))
+
+    tier = shorter = 0
+    while lengths:
+        size = 1 << (lengths[-1] - 1).bit_length()
+        if size != tier:  # ids of the shorter tiers
+            tier, shorter = size, sum(n * len(rests[n]) for n in lengths if 2 * n <= size)
+        doc, start, length = take(-1)
+        room = tier - length
+        if shorter < room:
+            half = tier // 2
+            out.append([(doc, start, half)])
+            put(doc, start + half, length - half)
+            shorter += length - half
+            continue
+        window = [(doc, start, length)]
+        shorter -= room
+        while room:
+            at = bisect.bisect_right(lengths, room) - 1
+            doc, start, length = take(max(at, 0))
+            if at < 0:  # nothing fits: the shortest rest is cut
+                put(doc, start + room, length - room)
+                length = room
+            window.append((doc, start, length))
+            room -= length
+        out.append(window)
+    return out
+
+
 def pack_block(sizes: np.ndarray, longest: int) -> list[list[tuple[int, int, int]]]:
-    """Pieces (document, start, length) of each sequence; every sequence has a power of two of ids.
+    """Like `pack_tiers`, with windows of one size for all: plain best fit, which `pack` does not use.
 
     Whole long windows first; then, tier by tier from the largest rest, a
     window takes the largest rest that still fits, and a smaller tier's rest
@@ -129,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, key:
         sizes = np.concatenate([c for _, _, c in held])
         base = np.cumsum(sizes) - sizes
         seq, tier, rank, offset, doc, start, length = ([] for _ in range(7))
-        for window in pack_block(sizes, longest):
+        for window in pack_tiers(sizes, longest):
             size, at = sum(p[2] for p in window), 0
             for d, s, n in window:
                 seq.append(done["sequences"]), tier.append(size), rank.append(ranks.get(size, 0)), offset.append(at)

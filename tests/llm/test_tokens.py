@@ -108,6 +108,29 @@ def test_pack_block_by_brute_force(sizes):
     assert sum(n < 64 for n in lengths) <= 6
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 300), max_size=60))
+def test_tiers_are_packed_by_themselves(sizes):
+    windows = packing.pack_tiers(np.asarray(sizes, np.int64), 64)
+    ids = collections.Counter((d, s + k) for w in windows for d, s, n in w for k in range(n))
+    assert ids == collections.Counter((d, k) for d, n in enumerate(sizes) for k in range(n))
+    for window in windows:
+        tier = sum(n for _, _, n in window)
+        assert tier & (tier - 1) == 0 and tier <= 64
+        first, *fillers = [n for _, _, n in window]
+        assert first > tier // 2 and all(2 * n <= tier for n in fillers)
+
+
+def test_share_of_sequences_per_tier(docs):
+    share = lambda sizes: collections.Counter(sum(n for _, _, n in w) for w in packing.pack_tiers(np.asarray(sizes), 2048))
+    assert share([100] * 2000)[128] > 1000 and max(share([100] * 2000)) == 128
+    both = share([5000] * 10 + [1500] * 20 + [100] * 2000)
+    assert both[2048] == 40 and both[128] > 900 and sum(n * k for n, k in both.items()) == 280_000
+    found = packing.pack(docs(*((i, "word " * 99) for i in range(300))), WORDS, 1).select("sequence_id", "tier").distinct().groupBy("tier").count()
+    tiers = {r["tier"]: r["count"] for r in found.collect()}
+    assert max(tiers) == 128 and tiers[128] > 140
+
+
 def test_sampled_pieces_decode_to_the_text(docs):
     encoded = pieces.encode(docs(*ODD), MODEL)
     got = pieces.decode(encoded, MODEL).collect()
