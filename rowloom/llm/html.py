@@ -12,7 +12,8 @@ layouts of other names, so that it knows sidebars, notices, forms and reader
 comments even where the sample has none.
 
 Null and empty pages have an empty text, as do pages whose blocks are all
-boilerplate. Unclosed tags and broken markup are read as far as they go.
+boilerplate. Unclosed tags and broken markup are read as far as they go: only
+an unclosed script, style or textarea ends the page.
 Repeated rows are each answered. An empty table gives an empty result.
 """
 
@@ -39,15 +40,18 @@ WORD_SHARE = 4
 ROUNDS, RATE, FALL, BATCH = 16, 0.015, 0.85, 48
 
 BLOCK_TAGS = frozenset("""address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer
-form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol option p pre section select summary table tbody td
+form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript object ol option p pre section select summary table tbody td
 tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Tags that an opening tag of the same kind closes.
 ALONE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Elements whose content is no text of the page.
-SILENT = "script|style|noscript|template|svg|math|iframe|object|textarea|title"
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)""",
+#: Elements whose content is no text of the page; those of which an unclosed one runs to the page's end.
+SILENT = "script|style|textarea|template|svg|iframe|title"
+TO_END = frozenset(("script", "style", "textarea"))
+ATTRIBUTES = """(?:[^>"']|"[^"]*"|'[^']*')*"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])(?:{ATTRIBUTES}|[^>]*)>|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>|<[!?/][^>]*>|([^<]+|<)""",
                    re.DOTALL | re.IGNORECASE)
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in SILENT.split("|")}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 #: Names by which the teacher tells boilerplate and content, as words of tags, classes, ids and roles.
@@ -73,8 +77,25 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        _, closing, tag, attributes, text = m.groups()
+    here = 0
+    unclosed: set[str] = set()  # silent tags that are closed nowhere in the rest of the page
+    while here < len(page):
+        m = TOKEN.match(page, here)
+        here = m.end()
+        silent, closing, tag, attributes, text = m.groups()
+        if silent:
+            silent = silent.lower()
+            if silent in BLOCK_TAGS:
+                flush()
+            if silent not in unclosed and (silent in TO_END or not m[0].endswith("/>")):
+                close = ENDS[silent].search(page, here)
+                if close:
+                    here = close.end()
+                elif silent in TO_END:
+                    here = len(page)
+                else:  # read on after the tag
+                    unclosed.add(silent)
+            continue
         if text is not None:
             parts.append(text)
             linked += len(text) if links else 0

@@ -140,6 +140,19 @@ def test_leaves_of_broken_markup():
     assert [t for _, t, _ in html.leaves("a<script>x")] == ["a"]
 
 
+def test_silent_elements_do_not_swallow_the_page():
+    texts = lambda page: [t for _, t, _ in html.leaves(page)]
+    assert texts('<article><p>one <svg class="i"/> two</p><p>three</p></article>') == ["one two", "three"]
+    assert texts('<p>one <svg a="x>y"><text>no</text></svg > two</p>') == ["one two"]
+    assert texts("<p>a <math><mi>x</mi><mo>+</mo><mi>y</mi></math> b<p>c <math/> d") == ["a x+y b", "c d"]
+    for tag in ("svg", "object", "noscript", "iframe", "template", "title"):
+        assert [t for t in texts(f"<p>a</p><{tag}><p>b</p>") if t in "ab"] == ["a", "b"]
+    assert texts("<p>a</p><noscript><p>turn it on</p></noscript><object data=x><p>instead</p></object><p>b</p>") == ["a", "turn it on", "instead", "b"]
+    assert html.leaves("<noscript>n</noscript>x") == [(("noscript",), "n", 0), ((), "x", 0)]
+    assert texts("<title>t</title><title-bar>kept</title-bar><script>no</script x>a<style>b") == ["kepta"]
+    assert len(texts("<svg><p>x" * 20_000)) == 20_000
+
+
 def test_gradient_is_the_losss_slope():
     pages = [html.leaves(PAGE), html.leaves("<main><p>x</p></main>")]
     marks = [html.teacher(p) for p in pages]
