@@ -6,10 +6,12 @@ of class, id and role, hashed), of its words (hashed) and of a few counts. A
 bidirectional LSTM in numpy reads the blocks of a page in order, so that each
 decision sees the whole page, and the blocks that it marks are the text.
 
-It is fitted on a bounded sample of the pages, marked by their own structure
-(`teacher`), and on further pages made by putting the sample's texts into
+It is fitted on a bounded sample of the pages of any length, marked by their own
+structure (`teacher`), of long ones on blocks from the start, the middle and
+the end, and on further pages made by putting the sample's texts into
 layouts of other names, so that it knows sidebars, notices, forms and reader
-comments even where the sample has none.
+comments even where the sample has none. Where the sample has no mark at all,
+the made-up pages alone are the fit, so that the labeller always decides.
 
 Null and empty pages have an empty text, as do pages whose blocks are all
 boilerplate. Unclosed tags and broken markup are read as far as they go: only
@@ -20,20 +22,25 @@ Repeated rows are each answered. An empty table gives an empty result.
 from __future__ import annotations
 
 import html as markup
+import json
 import random
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks
 
-#: Pages of the fit and their greatest length; made-up pages for each; blocks of a page in the fit.
-FIT_PAGES, FIT_CHARS, MADE_UP, FIT_BLOCKS = 250, 20_000, 3, 80
+#: Pages of the fit; made-up pages for each; blocks of a page in the fit, and the characters of each that reach the driver.
+FIT_PAGES, MADE_UP, FIT_BLOCKS, FIT_CHARS = 250, 3, 80, 4_000
+#: Texts of 1 to 60 words for made-up pages where the sample has no marked ones.
+STOCK = [((), " ".join("a line of this text says more than the next one and so it goes on with words".split()[(i + k * k) % 17] for k in range(1 + i * i // 15)) + end, 0)
+         for i in range(30) for end in ("", ".")]
 PATHS, WORDS, COUNTS, HIDDEN = 2048, 64, 6, 16
 #: Words weigh less than paths by this divisor: a wording is seldom the mark of a block.
 WORD_SHARE = 4
@@ -59,6 +66,7 @@ OTHER = frozenset("""nav menu menubar navbar navigation header masthead banner f
 sponsored promo cookie cookies consent notice notices alert newsletter subscribe form search login share social related recommended
 comment comments disqus respond replies breadcrumb breadcrumbs pagination button select dialog popup modal copyright contentinfo""".split())
 MAIN = frozenset("article main post entry story content".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
@@ -128,7 +136,7 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
 
 def teacher(found: list[tuple[tuple[str, ...], str, int]]) -> list[bool]:
-    """Marks by structure: inside content and not inside boilerplate; without content tags, long texts with few links."""
+    """Marks by structure: inside content and not inside boilerplate; without content tags, from the first to the last long text with few links."""
     named = any(MAIN.intersection(path) for path, _, _ in found)
     out = []
     for path, text, linked in found:
@@ -136,9 +144,24 @@ def teacher(found: list[tuple[tuple[str, ...], str, int]]) -> list[bool]:
             out.append(False)
         else:
             out.append(bool(MAIN.intersection(path)) if named else len(text) >= 80 and linked * 3 < len(text))
+    if not named and any(out):  # short paragraphs, items and headings between long texts, and the heading before them
+        first, last = out.index(True), len(out) - out[::-1].index(True)
+        while first and HEADINGS.intersection(found[first - 1][0]) and not OTHER.intersection(found[first - 1][0]):
+            first -= 1
+        out[first:last] = [not OTHER.intersection(path) and linked * 3 < len(text) for path, text, linked in found[first:last]]
     return out
 
 
+def places(size: int) -> list[int]:
+    """The blocks of a page in the fit: all, or equal runs from its start, its middle and its end."""
+    if size <= FIT_BLOCKS:
+        return list(range(size))
+    run = FIT_BLOCKS // 3
+    start = FIT_BLOCKS - 2 * run
+    middle = start + (size - FIT_BLOCKS) // 2
+    return [*range(start), *range(middle, middle + run), *range(size - run, size)]
+
+
 def made_up(found: list[tuple[tuple[str, ...], str, int]], marks: list[bool], draw: random.Random) -> tuple[list, list[bool]]:
     """The blocks of a page in another layout: the texts stay, paths of other names take their place."""
     shell = ("html", "body", *(("div", draw.choice(("page", "wrapper", "container", "site"))) if draw.random() < 0.5 else ()))
@@ -181,8 +204,8 @@ class Hashes(dict):
         return found
 
 
-def vectors(pages: list[list[tuple[tuple[str, ...], str, int]]], words: Hashes) -> tuple[list[tuple[str, ...]], np.ndarray]:
-    """The path of every block, and its word and count features, pages end to end."""
+def vectors(pages: list[list[tuple[tuple[str, ...], str, int]]], words: Hashes, whole: int | None = None) -> tuple[list[tuple[str, ...]], np.ndarray]:
+    """The path of every block, and its word and count features, pages end to end; `whole`: blocks of the one page of which these are `places`."""
     flat = [b for page in pages for b in page]
     bag = np.zeros((len(flat), WORDS + COUNTS), np.float32)
     spread = np.fromiter((words[w] for _, text, _ in flat for w in text.split(" ")), np.int64)
@@ -195,8 +218,8 @@ def vectors(pages: list[list[tuple[tuple[str, ...], str, int]]], words: Hashes)
         bag[:, WORDS + 1] = np.asarray([n for _, _, n in flat]) / chars
         bag[:, WORDS + 2] = np.log1p(sizes) / 6
         bag[:, WORDS + 3] = np.asarray([t[-1] in ".!?:\"'" for _, t, _ in flat])
-        place = np.concatenate([np.arange(len(p)) for p in pages])
-        total = np.repeat([len(p) for p in pages], [len(p) for p in pages])
+        place = np.concatenate([np.arange(len(p)) for p in pages]) if whole is None else np.asarray(places(whole))
+        total = np.repeat([len(p) for p in pages], [len(p) for p in pages]) if whole is None else whole
         bag[:, WORDS + 4] = place / total
         bag[:, WORDS + 5] = 1 / total
     return [p for p, _, _ in flat], bag
@@ -277,10 +300,10 @@ class Labeller:
             out[(ahead + shift)[there]] = _sigmoid(logit[there] + self.p["z"])
         return out
 
-    def fit(self, pages: list[list], marks: list[list[bool]], rounds: int = ROUNDS) -> Labeller:
-        """Log-loss by Adam and back-propagation through time."""
+    def fit(self, pages: list[list], marks: list[list[bool]], wholes: list[int], rounds: int = ROUNDS) -> Labeller:
+        """Log-loss by Adam and back-propagation through time; of a page with `wholes` blocks, its `places` are given."""
         words, draw = Hashes(), np.random.default_rng(11)
-        data = [(*vectors([p], words), np.asarray(m, np.float32)) for p, m in zip(pages, marks, strict=True) if p]
+        data = [(*vectors([p], words, n), np.asarray(m, np.float32)) for p, m, n in zip(pages, marks, wholes, strict=True) if p]
         mean, square = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step = 0
         for turn in range(rounds):
@@ -324,27 +347,57 @@ class Labeller:
         return out
 
 
-def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Labeller | None:
-    """A labeller from at most `fit_pages` pages of (page_id, html), by a hash of their ids."""
-    short = pages.where((F.length("html") > 0) & (F.length("html") <= FIT_CHARS))
-    chosen = short.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages).distinct()
-    texts = sorted(r["html"] for r in short.join(F.broadcast(chosen), "page_id").select("html").limit(4 * fit_pages).collect())
+def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Labeller:
+    """A labeller from at most `fit_pages` different pages of (page_id, html), by a hash of both; their blocks reach the driver."""
+    rows = pages.where(F.length("html") > 0).select(F.xxhash64("page_id", "html").alias("pick"), "html")
+    chosen = rows.select("pick").distinct().orderBy("pick").limit(fit_pages)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for batch in batches:
+            out = []
+            for pick, page in zip(batch["pick"], batch["html"], strict=True):
+                if pick in seen:
+                    continue
+                seen.add(pick)
+                found = leaves(page)
+                flags = teacher(found)
+                held = [(found[i][0], found[i][1][:FIT_CHARS].rstrip(), min(found[i][2], FIT_CHARS), flags[i]) for i in places(len(found))]
+                out.append((pick, len(found), json.dumps(held)))
+            yield pd.DataFrame(out, columns=["pick", "whole", "held"])
+
+    got = rows.join(F.broadcast(chosen), "pick").mapInPandas(cut, "pick long, whole int, held string").dropDuplicates(["pick"]).collect()
+    sample = [(r["whole"], [(tuple(path), text, linked, flag) for path, text, linked, flag in json.loads(r["held"])]) for r in sorted(got)]
     draw = random.Random(5)
-    found, marks = [], []
-    for page in texts:
-        cut = leaves(page)
-        flags = teacher(cut)
-        for one, flag in [(cut, flags), *(made_up(cut, flags, draw) for _ in range(MADE_UP))]:
-            found.append(one[:FIT_BLOCKS])
-            marks.append(flag[:FIT_BLOCKS])
-    return Labeller().fit(found, marks) if any(map(any, marks)) else None
+    marked = any(flag for _, held in sample for *_, flag in held)
+    found, marks, wholes = [], [], []
+
+    def add(one: list, flags: list[bool], whole: int | None = None) -> None:
+        kept = range(len(one)) if whole is not None else places(len(one))
+        found.append([one[i] for i in kept])
+        marks.append([flags[i] for i in kept])
+        wholes.append(len(one) if whole is None else whole)
+
+    used = [s for s in sample if s[1]] or [(0, [])]
+    turns = -(-FIT_PAGES // len(used))  # a small sample is used often enough for a whole fit
+    for whole, held in used:
+        blocks_, flags = [b[:3] for b in held], [b[3] for b in held]
+        if marked:
+            for _ in range(turns):
+                add(blocks_, flags, whole)
+        else:  # any texts outside boilerplate will do for the made-up pages
+            flags = [not OTHER.intersection(path) for path, _, _ in blocks_]
+        for _ in range(MADE_UP * turns):
+            stock = [] if marked else draw.sample(STOCK, 8)
+            add(*made_up([*blocks_, *stock], flags + [True] * len(stock), draw))
+    return Labeller().fit(found, marks, wholes)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", fit_pages: int = FIT_PAGES) -> DataFrame:
-    """Per row: page_id, url, text, n_chars. Where nothing could be learnt, the teacher's marks decide."""
+    """Per row: page_id, url, text, n_chars."""
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"),
                         F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"))
     model = fit(rows, fit_pages)
@@ -354,10 +407,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         for block, texts in blocks(batches, 1_000_000, "html"):
             found = [leaves(t) for t in texts]
             sizes = np.asarray([len(f) for f in found], np.int64)
-            if model is None:
-                keep = np.asarray([m for f in found for m in teacher(f)], bool)
-            else:
-                keep = model.scores(*vectors(found, words), sizes) >= 0.5 if sizes.sum() else np.zeros(0, bool)
+            keep = model.scores(*vectors(found, words), sizes) >= 0.5 if sizes.sum() else np.zeros(0, bool)
             ends = np.cumsum(sizes)
             out = [" ".join(b[1] for b, k in zip(f, keep[e - n:e], strict=True) if k) for f, n, e in zip(found, sizes, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],

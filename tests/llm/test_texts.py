@@ -189,3 +189,34 @@ def test_main_text_of_pages(spark):
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
     assert wrong == 0
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_long_pages_are_fitted_and_labelled(spark):
+    line = "a sentence of the story that goes on for quite a while, so that it is no heading "
+    item = lambda i: f"<h2>Part {i}</h2><p>{line * 3}{i}.</p><p>Yes {i}.</p><ul><li>item {i}</li></ul>"
+    inside = "".join(map(item, range(150)))
+    menu = "<nav><ul>" + "".join(f"<li><a href=x>place {i}</a></li>" for i in range(9)) + "</ul></nav>"
+    end = "<div class=comments><p>so nice, thank you for this story</p></div><footer><p>all rights reserved</p></footer>"
+    pages = [(i, "u", f"<body>{menu}<div class=text>{inside}</div>{end}<p>{i}</p></body>") for i in range(12)]
+    got = html.extract(spark.createDataFrame([*pages, (None, "u", pages[0][2])], "page_id long, url string, html string")).collect()
+    assert len(got) == 13 and all(len(h) > 20_000 for _, _, h in pages)
+    for r in got:
+        assert all(f"Part {i} {line * 3}{i}. Yes {i}. item {i}" in r.text for i in range(149))
+        assert "place" not in r.text and "thank you" not in r.text and "reserved" not in r.text
+
+
+def test_the_labeller_always_decides(spark):
+    schema = "page_id long, url string, html string"
+    for made in (["<p>short one</p><footer>x</footer>"], []):
+        frame = spark.createDataFrame([(None, "u", h) for h in made], schema)
+        model = html.fit(frame)
+        page = html.leaves(PAGE)
+        marks = model.scores(*html.vectors([page], html.Hashes()), np.asarray([len(page)])) >= 0.5
+        assert marks.tolist() == [False, False, True, True, True, True, False, False], made
+
+
+def test_blocks_of_the_fit_reach_the_end_of_a_page():
+    assert html.places(80) == list(range(80))
+    at = html.places(1000)
+    assert len(at) == 80 == len(set(at)) and at == sorted(at) and at[0] == 0 and at[-1] == 999 and 500 in at
+    assert html.vectors([[((), "x", 0)] * 80], html.Hashes(), 1000)[1][-1, html.WORDS + 4] == np.float32(0.999)
