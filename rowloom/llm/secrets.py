@@ -5,14 +5,17 @@ separated tokens of a text as begin (B), inside (I) or outside (O) of a secret
 from the token's shape, the words around it and the whole text's look; tokens
 tagged B or I that no rule covers are spans of the kind `field`. It is fitted
 to the rules' own finds in a bounded sample and to windows in which made-up
-secrets of other shapes and wordings take their place.
+secrets of other shapes and wordings take their place, or stand in texts
+without a find.
 
 Decoding is Viterbi's. A token whose O outscores B and I by more than two
 transitions can ever be worth is O in every best tagging; only the runs of
 tokens between such ones are decoded step by step.
 
-Null and empty texts have no spans. Repeated rows are each answered. Without a
-find in the sample the field adds nothing. An empty table gives an empty result.
+Null and empty texts have no spans. Repeated rows are each answered. The sample
+has texts with finds of the rules from the whole table, and made-up secrets are
+put into its other texts, so that every table has a field. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 and more among all runs
 LEAST = {"assign": 6, "access": 20}
 #: Every match of ASSIGN has one of these in lower case.
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
+#: The rules for Spark, least lengths included; a match within another one that is too short is found as well.
+FINDS = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}""")
 
 #: Sample: texts with and without the look of a secret, windows of a text, tokens to each side of a window's centre.
 FIT_ROWS, WINDOWS, SIDE = 300, 3, 10
@@ -83,10 +88,10 @@ def own(token: str) -> tuple[int, ...]:
         mask = (any(map(str.islower, value)) | any(map(str.isupper, value)) << 1 | any(map(str.isdigit, value)) << 2
                 | any(c in "+/_=-" for c in value) << 3 | any(not c.isalnum() for c in value) << 4 | value.isascii() << 5)
         share = min(5, 6 * sum(map(str.isdigit, value)) // max(1, len(value)))
-        counts = Counter(value[:LONG_TOKEN])
+        counts = Counter(value)
         total = sum(counts.values()) or 1
         entropy = min(7, int(2 * -sum(n / total * math.log2(n / total) for n in counts.values())))
-        changes = min(4, len(re.findall(r"\d+|[^\W\d_]+", value[:LONG_TOKEN])) // 2)
+        changes = min(4, len(re.findall(r"\d+|[^\W\d_]+", value)) // 2)
     around = (KEYWORD.search(token) is not None) | ("=" in token or ":" in token) << 1 | (token[-1:] in "=:") << 2 | (core != token) << 3
     return (size, mask, share, entropy, changes, around, size * 16 + around, around)
 
@@ -128,6 +133,8 @@ def neighbours(near: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+#: The one feature of the tokens that fill up a short text's window; they are outside.
+PADDING = sum(OWN_SIZES + AROUND_SIZES)
 OFFSETS = np.concatenate([[0], np.cumsum(OWN_SIZES + AROUND_SIZES)[:-1]])
 
 
@@ -148,7 +155,7 @@ class Field:
     @classmethod
     def fitted(cls, index: np.ndarray, labels: np.ndarray) -> Field:
         """Penalised likelihood of windows of equal length (windows x tokens x features; windows x tokens), by Adam."""
-        size = sum(OWN_SIZES + AROUND_SIZES)
+        size = PADDING + 1
         many, length = labels.shape
         rows = np.arange(many)
         params = np.zeros(size * 3 + 9)
@@ -185,7 +192,7 @@ class Field:
             mean, square = 0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
             params = params - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
             params[-9:] = np.clip(params[-9:], -MOST, MOST)
-        return cls(params[:-9].reshape(size, 3), params[-9:].reshape(3, 3))
+        return cls(params[:-9].reshape(size, 3)[:PADDING], params[-9:].reshape(3, 3))
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
         """The best tags of one run of tokens between outside ones."""
@@ -236,6 +243,12 @@ def _variant(text: str, spans: list[tuple[int, int, int, int]], draw: random.Ran
     return "".join([*out, text[at:]]), found
 
 
+def _planted(text: str, draw: random.Random) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """The text with a made-up secret before one of its tokens, or at its end."""
+    at = draw.choice([*(m.start() for m in re.finditer(r"\S+", text)), len(text)])
+    return _variant(f"{text[:at]} {text[at:]}" if at < len(text) else f"{text} ", [(at + (at == len(text)), 3, at + (at == len(text)), at)], draw)
+
+
 def _labels(text: str, spans: list[tuple[int, int, int, int]]) -> tuple[list[str], np.ndarray]:
     """The tokens of a text, and their tags by these spans."""
     where = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
@@ -250,42 +263,54 @@ def _labels(text: str, spans: list[tuple[int, int, int, int]]) -> tuple[list[str
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Field | None:
-    """A field from at most 2 * fit_rows texts of (doc_id, text), by a hash of their ids; windows of tokens reach the driver."""
-    likely = F.col("text").contains("AKIA") | F.col("text").contains("token") | F.col("text").contains("secret") | F.col("text").contains("password")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    first = rows.where(likely).select("doc_id").orderBy(*order).limit(fit_rows).union(rows.select("doc_id").orderBy(*order).limit(fit_rows)).distinct()
-    sample = rows.join(F.broadcast(first), "doc_id")
+    """A field from at most 2 * fit_rows different (doc_id, text), by a hash of both, half of them with finds; windows of tokens reach the driver.
+
+    None for an empty table only.
+    """
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("pick"), "text")
+    picks = keyed.groupBy("pick").agg(F.max(F.col("text").rlike(FINDS)).alias("found"))
+    first = picks.where("found").orderBy("pick").limit(fit_rows).union(picks.orderBy("pick").limit(fit_rows)).select("pick").distinct()
+    sample = keyed.join(F.broadcast(first), "pick")
     many = len(OWN_SIZES) + len(AROUND_SIZES)
     span = 2 * SIDE + 1
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = Tokens()
+        held, seen = Tokens(), set()
         for batch in batches:
             found = []
-            for text in batch["text"]:
+            for pick, text in zip(batch["pick"], batch["text"], strict=True):
+                if pick in seen:  # a repeated row
+                    continue
+                seen.add(pick)
                 spans = base_spans(text)
                 draw = random.Random(len(text))
-                for one, at_ in [(text, spans), *(_variant(text, spans, draw) for _ in range(VARIANTS if spans else 0))]:
+                more = [_variant(text, spans, draw) for _ in range(VARIANTS)] if spans else [_planted(text, draw)]
+                for turn, (one, at_) in enumerate([(text, spans), *more]):
                     tokens, tags = _labels(one, at_)
-                    if len(tokens) < span:
+                    if not tokens:
                         continue
                     marked = np.flatnonzero(tags == B)[:WINDOWS].tolist()
                     even = np.linspace(0, len(tokens) - 1, WINDOWS, dtype=int).tolist()
                     numbers = np.asarray([held[t] for t in tokens], np.int64)
                     index = features(numbers, np.asarray(held.table, np.int64), look(one))
-                    for centre in [*marked, *even]:
+                    if len(tokens) <= span:  # one window, filled up
+                        index = np.concatenate([index, np.full((span - len(tokens), many), PADDING)])
+                        tags = np.concatenate([tags, np.full(span - len(tokens), O)])
+                        found.append((pick, turn, 0, index.ravel().tolist(), tags.tolist()))
+                        continue
+                    for place, centre in enumerate([*marked, *even]):
                         at = np.arange(centre - SIDE, centre + SIDE + 1)
                         at = at - min(0, at[0]) - max(0, at[-1] - len(tokens) + 1)
-                        found.append((index[at].ravel().tolist(), tags[at].tolist()))
-            yield pd.DataFrame(found, columns=["f", "t"])
+                        found.append((pick, turn, place, index[at].ravel().tolist(), tags[at].tolist()))
+            yield pd.DataFrame(found, columns=["pick", "turn", "place", "f", "t"])
 
-    got = sample.mapInPandas(windows, "f array<int>, t array<int>").toPandas()
+    got = sample.mapInPandas(windows, "pick long, turn int, place int, f array<int>, t array<int>").dropDuplicates(["pick", "turn", "place"]).toPandas()
     if not len(got):
         return None
     got = got.sort_values("f", key=lambda c: c.map(tuple)).reset_index(drop=True)  # the sum's order must not depend on the tasks
     index = np.stack([np.asarray(f, np.int64).reshape(span, many) for f in got["f"]])
     labels = np.stack([np.asarray(t, np.int64) for t in got["t"]])
-    return Field.fitted(index, labels) if (labels != O).any() else None
+    return Field.fitted(index, labels)
 
 
 def spans_of(texts: list[str], field: Field | None, held: Tokens) -> list[list[tuple[int, int, int, int]]]:

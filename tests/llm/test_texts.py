@@ -124,6 +124,15 @@ def test_secret_scan(docs, spark):
     assert secrets.redact(docs(*ODD, *rows)).columns == docs().columns
 
 
+def test_every_table_has_a_field(docs):
+    prose = [(i, f"the token of day {i} is a secret that no password keeps and so on") for i in range(40)]
+    learnt = secrets.fit(docs(*prose, (None, "")).select("doc_id", "text"))
+    text = "here is my pwd= xK8sj2LmQ9vT4wZ1bN and then nothing else of any interest to anyone"
+    assert [(text[s:e], k) for s, k, e, _ in secrets.spans_of([text], learnt, secrets.Tokens())[0]] == [("xK8sj2LmQ9vT4wZ1bN", 3)]
+    assert secrets.fit(docs((None, "a b")).select("doc_id", "text")) is not None
+    assert secrets.own("a1" * 100 + "b2" * 200) != secrets.own("a1" * 300)
+
+
 def test_redaction_of_overlapping_spans():
     assert secrets.redacted("ab token=0123456789abcdef01234567 z", secrets.base_spans("ab token=0123456789abcdef01234567 z")) == "ab token=[secret] z"
     assert secrets.redacted("x", []) == "x"
