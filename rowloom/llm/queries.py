@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import exact, html, idfiles, language, neardup, packing, pieces, search, secrets, warc
+from . import exact, html, idfiles, language, neardup, packing, pieces, search, secrets, variants, variants_sql, warc
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,6 +66,16 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
                          "tier", "step_group")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of six and more letters with five occurrences, after the damage by the contract; a null doc_id counts as an empty one."""
+    found = variants.runs(_read(spark, folder, "documents"), least=6)
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run"))
+    at = (h % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = found.select(F.when(h % 199 == 0, cut).otherwise(F.col("run")).alias("word")).where(F.length("word") >= 6)
+    return variants.group_variants(words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sampled_pieces": op1_sampled_pieces,
     "op2_token_files": op2_token_files,
@@ -77,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 #: Lower-casing of A-Z alone, in SQL.
@@ -113,4 +124,5 @@ ORACLE: dict[str, str] = {
             CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
         FROM m""",
+    "op11_spelling_variants": variants_sql.VARIANTS,
 }

@@ -1,0 +1,38 @@
+"""DuckDB SQL of operators 11 and 12, whose contracts need a CRC-32 that DuckDB does not have."""
+
+from __future__ import annotations
+
+#: A table expression `crc_table(bytes)`: the 256 entries of the CRC-32 of zlib.
+CRC_TABLE = """
+    crc_bits AS (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(x AS BIGINT) for x in range(8)]),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)),
+    crc_table AS (SELECT list(v ORDER BY i) AS entries FROM crc_bits)"""
+
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of a string's UTF-8; needs `crc_table` in the FROM clause."""
+    octets = f"[CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT) for i in range(octet_length(encode({text})))]"
+    step = "lambda c, x: xor(c >> 8, entries[(xor(c, x) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), {step}), 4294967295)"
+
+
+VARIANTS = f"""
+    WITH RECURSIVE {CRC_TABLE},
+    runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{6,}}')) AS run FROM documents),
+    lowered AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id,
+            translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY 1, 2),
+    hashed AS (SELECT run, n, {crc32("doc_id || ':' || run")} AS h FROM lowered, crc_table),
+    damaged AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+    words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    places AS (SELECT word, n, unnest(range(0, length(word) + 1)) AS i FROM words),
+    splits AS (SELECT word, n, i, substr(word, 1, i) AS p, substr(word, i + 1) AS s FROM places),
+    skips AS (SELECT word, n, i, substr(word, 1, i) AS p, substr(word, i + 2) AS s FROM places WHERE i < length(word)),
+    near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM skips a JOIN skips b ON a.i = b.i AND a.p = b.p AND a.s = b.s AND a.word != b.word
+        UNION SELECT a.word, b.word, b.n FROM skips a JOIN splits b ON a.i = b.i AND a.p = b.p AND a.s = b.s
+        UNION SELECT b.word, a.word, a.n FROM skips a JOIN splits b ON a.i = b.i AND a.p = b.p AND a.s = b.s),
+    best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+    forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 5 * w.n THEN b.other END AS form,
+            CASE WHEN b.other_n >= 5 * w.n THEN b.other_n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+    chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL),
+    ends AS (SELECT c.word, c.root FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NULL)
+    SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON f.word = e.word"""
