@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import exact, html, idfiles, language, neardup, packing, pieces, search, secrets, variants, variants_sql, warc
+from . import contract_sql, conversations, exact, html, idfiles, language, neardup, packing, pieces, quality, search, secrets, variants, warc
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,6 +76,32 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.group_variants(words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """The rows of `conversations` after the damage by the contract, by a hash of the conversation and the turn."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    hit = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("hit")).where("hit != 0")
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("hit") == 3, 2).otherwise(1)))
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return hit.select("conv_id", "turn", F.when(F.col("hit") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _read(spark, folder, "conversations")
+    rows = damaged(turns)
+    audits = written(conversations.audits(rows), "audits")
+    hashes = conversations.digests(conversations.repaired(rows, audits), in_order=True)
+    out = turns.select("conv_id").distinct()
+    for part in (audits, hashes):
+        out = out.join(part, F.col("conv_id").eqNullSafe(part["conv"]), "left").drop(part["conv"])
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sampled_pieces": op1_sampled_pieces,
     "op2_token_files": op2_token_files,
@@ -88,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_quality": op13_quality,
 }
 
 #: Lower-casing of A-Z alone, in SQL.
@@ -124,5 +152,6 @@ ORACLE: dict[str, str] = {
             CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
         FROM m""",
-    "op11_spelling_variants": variants_sql.VARIANTS,
+    "op11_spelling_variants": contract_sql.VARIANTS,
+    "op12_conversation_repair": contract_sql.REPAIR,
 }
