@@ -1,7 +1,7 @@
 """Grouping, pivoting and unpivoting.
 
 All aggregates combine on the map side, so a hot group sends one row per task.
-The exact median is the exception; see `_median`.
+So are the counts behind the exact median of a large group; see `_ranged_medians`.
 """
 
 from __future__ import annotations
@@ -17,11 +17,16 @@ from pyspark.sql import functions as F
 
 from ..functions.names import dtype, is_text, names, ref, require
 from ..functions.parsing import as_text, is_empty, number_or_zero
-from .ordered import numbered, order_keys, row_hash
+from ..session import written
+from .ordered import order_keys, row_hash
 
 Step = Callable[[DataFrame], DataFrame]
 BASIC = ("SUM", "COUNT", "AVG", "MIN", "MAX")
 FUNCTIONS = BASIC + ("FIRST", "LAST", "MEDIAN", "NUNIQUE", "STD", "VAR")
+#: Bins in which a pass counts the values of a group.
+MEDIAN_BINS = 1024
+#: Values that are sorted at the end, where a caller does not allow for more.
+MEDIAN_FEW = 10_000
 _ITEM = re.compile(r"^\s*(\w+)\s*\((.*)\)\s*(?:\s[Aa][Ss]\s+(.+?)\s*)?$", re.S)
 
 
@@ -112,7 +117,9 @@ def groupby(by, aggregations, sort: bool = True, as_index: bool = True, dropna:
             position = ref(order[0][0]) if alone else F.struct(*[ref(n) for n, _ in order], *ties)
             ascending = order[0][1]
         medians = [i for i in items if i.function == "MEDIAN"]
-        ranged = medians and _has_wide_group(df, keys, medians, non_numeric, median_values)
+        ranged = None
+        if medians and (df.groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > median_values:
+            ranged = written(_spans(df, keys, medians, non_numeric), "median-groups")
         columns = []
         for item in items:
             col, kind = ref(item.column), dtype(df, item.column)
@@ -138,8 +145,7 @@ def groupby(by, aggregations, sort: bool = True, as_index: bool = True, dropna:
         else:
             out = df.select(*[ref(k) for k in keys]).distinct()
         if ranged:
-            for item in medians:
-                out = _with_median(out, df, keys, item, non_numeric)
+            out = _with_medians(out, df, keys, medians, non_numeric, ranged, median_values)
         if sort:
             out = out.orderBy(*_text_order(out, keys))
         return out.select(*([ref(k) for k in keys] if as_index else []), *[ref(i.alias) for i in items])
@@ -147,61 +153,95 @@ def groupby(by, aggregations, sort: bool = True, as_index: bool = True, dropna:
     return step
 
 
-def _has_wide_group(df, keys, medians, non_numeric, limit) -> bool:
-    """Whether some group holds too many different values for one task's median.
+def _spans(df: DataFrame, keys: list[str], medians: list[Aggregation], non_numeric: str) -> DataFrame:
+    """Per group: its rows and, per median, the count, the least and the greatest value; all combined on the map side."""
+    values = [_numeric(df, m, non_numeric) + F.lit(0.0) for m in medians]  # -0.0 becomes 0.0
+    spans = [F.struct(F.lit(i).alias("item"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")) for i, v in enumerate(values)]
+    grouped = df.groupBy(*[ref(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    return grouped.agg(F.count(F.lit(1)).alias("__rows"), F.array(*spans).alias("__spans"))
 
-    Group sizes settle most cases from the key columns alone; only beyond them
-    are the different values estimated.
-    """
-    grouped = df.groupBy(*[ref(k) for k in keys])
-    rows = grouped.agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if rows <= limit:
-        return False
-    sizes = grouped.agg(
-        *[F.approx_count_distinct(_numeric(df, m, non_numeric)).alias(f"n{i}") for i, m in enumerate(medians)])
-    most = sizes.agg(*[F.max(f"n{i}") for i in range(len(medians))]).first()
-    return max(most) > limit
+
+def _log_scale(v: Column) -> Column:
+    """A number that grows with the logarithm of a value's size on either side of zero; Java's logarithm never decreases."""
+    size = F.when(v == 0, 0.0).when(F.abs(v) == float("inf"), 1500.0).otherwise(F.log(F.abs(v)) + 746.0)
+    return F.when(F.isnan(v), 1600.0).when(v < 0, -size).otherwise(size)
 
 
-def _with_median(out: DataFrame, df: DataFrame, keys: list[str], item: Aggregation, non_numeric: str) -> DataFrame:
-    """The exact median of groups of any size, from ranks over a range-sorted table.
+def _ranged_medians(df: DataFrame, keys: list[str], medians: list[Aggregation], non_numeric: str, spans: DataFrame, limit: int) -> DataFrame:
+    """The exact medians of the groups in `spans`, which have any size: (__k0.., one column per median).
 
-    Equal values are counted first; each range then adds the counts of the
-    ranges before it, so no task sees a whole group.
+    Each pass counts the values of every group in MEDIAN_BINS bins of the span
+    that holds the wanted rank, for all medians at once, and goes on with that
+    bin's own span. Bins are even in turn by value and by its logarithm, so a few
+    passes leave few values whatever the distribution. Nothing is sorted or
+    shuffled but the counts, and those last values.
     """
-    group = [F.col(f"__k{i}") for i in range(len(keys))]
-    counted = (
-        df.select(*[ref(k).alias(f"__k{i}") for i, k in enumerate(keys)], _numeric(df, item, non_numeric).alias("__v"))
-        .filter(F.col("__v").isNotNull())
-        .groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    )
-    table = numbered(counted, [(f"__k{i}", True) for i in range(len(keys))] + [("__v", True)], unique_order=True)
-    rows = table.df.withColumn("__part", table.part())
-    parts = rows.groupBy("__part", *group).agg(F.sum("__n").alias("__sum"))
-    over_group = Window.partitionBy(*group)
-    before = over_group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(
-        F.col("__part").alias("__p"), *[F.col(f"__k{i}").alias(f"__g{i}") for i in range(len(keys))],
-        F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"),
-        F.sum("__sum").over(over_group).alias("__total"),
-    )
-    same = [F.col("__part") == F.col("__p")] + [F.col(f"__k{i}").eqNullSafe(F.col(f"__g{i}")) for i in range(len(keys))]
-    so_far = Window.partitionBy("__part", *group).orderBy(ref(table.seq)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        rows.withColumn("__run", F.sum("__n").over(so_far)).join(parts, reduce(and_, same))
-        .withColumn("__hi", F.col("__before") + F.col("__run"))
-        .withColumn("__lo", F.col("__hi") - F.col("__n"))
-    )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("__lo") < rank) & (rank <= F.col("__hi")), F.col("__v")))
-
-    lower, upper = F.floor((F.col("__total") + 1) / 2), F.floor((F.col("__total") + 2) / 2)
-    medians = ranked.groupBy(*group).agg(((at(lower) + at(upper)) / 2).alias("__median"))
-    on = reduce(and_, [ref(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-    return out.join(medians, on, "left").withColumn(item.alias, F.col("__median")).drop(
-        "__median", *[f"__k{i}" for i in range(len(keys))])
+    group = [f"__k{i}" for i in range(len(keys))]
+    same = lambda a, b: reduce(and_, [a[g].eqNullSafe(b[g]) for g in group] + [a["item"] == b["item"]])
+    values = F.array(*[F.struct(F.lit(i).alias("item"), (_numeric(df, m, non_numeric) + F.lit(0.0)).alias("v")) for i, m in enumerate(medians)])
+    long = df.select(*[ref(k).alias(g) for g, k in zip(group, keys, strict=True)], F.inline(values)).where("v IS NOT NULL")
+    ranks = F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)))
+    wanted = spans.select(*group, F.inline("__spans")).where("n > 0").select(*group, "item", "n", "lo", "hi", F.explode(ranks).alias("rank"))
+    wanted = written(wanted.withColumns({"before": F.lit(0).cast("long"), "many": F.col("n")}).drop("n"), "median-spans")
+    by_log, limit = False, max(limit, MEDIAN_FEW)
+    while not wanted.where((F.col("lo") != F.col("hi")) & (F.col("many") > limit)).isEmpty():
+        wanted = written(_narrowed(long, wanted, group, same, limit, by_log), "median-spans")
+        by_log = not by_log
+    found = _inside(long, wanted.where("lo != hi"), group, same).groupBy(*group, "item", "lo", "hi").agg(F.sort_array(F.collect_list("v")).alias("sorted"))
+    w, s = wanted.alias("w"), found.alias("s")
+    on = same(_Names("w"), _Names("s")) & (F.col("w.lo") == F.col("s.lo")) & (F.col("w.hi") == F.col("s.hi"))
+    exact = F.when(F.col("w.lo") == F.col("w.hi"), F.col("w.lo")).otherwise(F.get("s.sorted", (F.col("rank") - F.col("before") - 1).cast("int")))
+    each = w.join(s, on, "left").select(*[F.col(f"w.{g}").alias(g) for g in group], F.col("w.item").alias("item"), exact.alias("v"))
+    mids = [F.avg(F.when(F.col("item") == i, F.col("v"))).alias(f"__median{i}") for i in range(len(medians))]
+    return each.groupBy(*group).agg(*mids)
+
+
+class _Names:
+    """Columns of an aliased table."""
+
+    def __init__(self, alias: str) -> None:
+        self.alias = alias
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"{self.alias}.{name}")
+
+
+def _inside(long: DataFrame, spans: DataFrame, group: list[str], same) -> DataFrame:
+    """(group.., item, lo, hi, v) of the values in each different span."""
+    distinct = spans.select(*group, "item", "lo", "hi").distinct()
+    rows = long.alias("a").join(distinct.alias("b"), same(_Names("a"), _Names("b")) & F.col("v").between(F.col("b.lo"), F.col("b.hi")))
+    return rows.select(*[F.col(f"a.{g}").alias(g) for g in group], F.col("a.item").alias("item"), "lo", "hi", "v")
+
+
+def _narrowed(long: DataFrame, wanted: DataFrame, group: list[str], same, limit: int, by_log: bool) -> DataFrame:
+    """The spans of the bins that hold the ranks; spans that are narrow enough stay."""
+    wide = wanted.where((F.col("lo") != F.col("hi")) & (F.col("many") > limit))
+    scale = lambda c: F.when(F.lit(by_log) | (F.abs(F.col("hi") - F.col("lo")) == float("inf")) | F.isnan(F.col("hi") - F.col("lo")), _log_scale(c)).otherwise(c)
+    part = F.try_divide(scale(F.col("v")) - scale(F.col("lo")), scale(F.col("hi")) - scale(F.col("lo")))
+    bin_ = F.coalesce(F.least(F.floor(part * MEDIAN_BINS), F.lit(MEDIAN_BINS - 1)), F.lit(0))
+    bins = _inside(long, wide, group, same).withColumn("bin", bin_)
+    counts = bins.groupBy(*group, "item", "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("here"), F.min("v").alias("low"), F.max("v").alias("high"))
+    so_far = Window.partitionBy(*group, "item", "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("less", F.coalesce(F.sum("here").over(so_far), F.lit(0)))
+    w, c = wide.alias("w"), counts.alias("c")
+    place = F.col("w.rank") - F.col("w.before")
+    on = same(_Names("w"), _Names("c")) & (F.col("w.lo") == F.col("c.lo")) & (F.col("w.hi") == F.col("c.hi")) & (F.col("less") < place) & (place <= F.col("less") + F.col("here"))
+    next_ = w.join(c, on).select(*[F.col(f"w.{g}").alias(g) for g in group], F.col("w.item").alias("item"), F.col("low").alias("lo"), F.col("high").alias("hi"),
+                                 "rank", (F.col("before") + F.col("less")).alias("before"), F.col("here").alias("many"))
+    return next_.unionByName(wanted.where((F.col("lo") == F.col("hi")) | (F.col("many") <= limit)))
+
+
+def _with_medians(out: DataFrame, df: DataFrame, keys: list[str], medians: list[Aggregation], non_numeric: str, spans: DataFrame, limit: int) -> DataFrame:
+    """`out` with its medians: of small groups by Spark's own, of the others from counts."""
+    group = [f"__k{i}" for i in range(len(keys))]
+    large = spans.where(F.col("__rows") > limit)
+    is_large = reduce(and_, [ref(k).eqNullSafe(F.col(g)) for g, k in zip(group, keys, strict=True)])
+    rest = df.join(large.select(*group), is_large, "left_anti").groupBy(*[ref(k).alias(g) for g, k in zip(group, keys, strict=True)]).agg(
+        *[F.median(_numeric(df, m, non_numeric)).alias(f"__median{i}") for i, m in enumerate(medians)])
+    rows = df.join(large.select(*group), is_large, "left_semi")
+    found = rest.unionByName(_ranged_medians(rows, keys, medians, non_numeric, large, limit))
+    out = out.join(found, is_large, "left")
+    return out.withColumns({m.alias: F.col(f"__median{i}") for i, m in enumerate(medians)}).drop(*group, *[f"__median{i}" for i in range(len(medians))])
 
 
 def pivot(group_by: str, pivot_column: str, value_column: str, aggregation: str = "SUM", values=None,

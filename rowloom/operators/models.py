@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import dtype, fresh, names, ref, require
 from ..functions.parsing import number_or_zero, parse_double
@@ -16,6 +19,8 @@ from .ordered import row_index
 Step = Callable[[DataFrame], DataFrame]
 VARIANCE_FLOOR = 1e-9
 CLASSES_PER_EXPRESSION = 64
+#: Classes that a task scores at once; numbers of a model that all tasks have.
+CLASS_BLOCK, MODEL_NUMBERS = 256, 8_000_000
 
 
 def regression(feature: str, target: str, output: str = "predicted", as_text: bool = False) -> Step:
@@ -48,9 +53,10 @@ def regression(feature: str, target: str, output: str = "predicted", as_text: bo
 def naive_bayes(features, target: str, output: str = "predicted_class") -> Step:
     """Gaussian naive Bayes trained and applied on the same rows.
 
-    The model is one row per class. It becomes an expression in blocks of
-    classes, so scoring needs no shuffle and the driver holds one block at a
-    time however many classes there are. Equal scores go to the greatest class.
+    The model is one row per class. A few classes become an expression; more
+    become arrays that every task has, against which rows are scored block by block with a
+    running maximum, all in one job. Beyond MODEL_NUMBERS numbers the model
+    is taken in parts, each of which goes over the rows once. Scoring needs no shuffle. Equal scores go to the greatest class.
     """
     columns = names(features)
     if not columns or not target:
@@ -64,32 +70,56 @@ def naive_bayes(features, target: str, output: str = "predicted_class") -> Step:
             *[F.avg(v).alias(f"mean{i}") for i, v in enumerate(values)],
             *[F.greatest(F.var_pop(v), F.lit(VARIANCE_FLOOR)).alias(f"var{i}") for i, v in enumerate(values)],
         )
-        best, scored = fresh(df.columns, "__best"), df
-        total = None
-        for i, (block, total) in enumerate(_blocks(model)):
-            entries = [_score(r, total, values, dtype(df, target)) for r in block]
-            top = F.array_max(F.array(*entries))
-            scored = scored.withColumn(best, F.greatest(ref(best), top) if i else top)
-            if i % 16 == 15:
-                scored = written(scored, "scored")
-        if total is None:
-            return df.withColumn(output, F.lit(None).cast(dtype(df, target)))
-        return scored.withColumn(output, ref(best).getField("class")).drop(best)
+        few = model.limit(CLASSES_PER_EXPRESSION + 1).collect()
+        kind = dtype(df, target)
+        if not few:
+            return df.withColumn(output, F.lit(None).cast(kind))
+        if len(few) <= CLASSES_PER_EXPRESSION:
+            total = sum(r["n"] for r in few)
+            return df.withColumn(output, F.array_max(F.array(*[_score(r, total, values, kind) for r in few])).getField("class"))
+        return _by_arrays(df, model, values, kind, output)
 
     return step
 
 
-def _blocks(model: DataFrame) -> Iterator[tuple[list[Row], int]]:
-    few = model.limit(CLASSES_PER_EXPRESSION + 1).collect()
-    if len(few) <= CLASSES_PER_EXPRESSION:
-        if few:
-            yield few, sum(r["n"] for r in few)
-        return
+def _by_arrays(df: DataFrame, model: DataFrame, values: list[Column], kind, output: str) -> DataFrame:
+    """Score against arrays of classes in ascending order, in parts of MODEL_NUMBERS numbers."""
     indexed = written(row_index("class", "__i", unique_order=True)(model), "classes")
     size = indexed.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).first()
-    for start in range(0, size["k"], CLASSES_PER_EXPRESSION):
-        inside = F.col("__i").between(start, start + CLASSES_PER_EXPRESSION - 1)
-        yield indexed.filter(inside).collect(), size["n"]
+    part = max(1, MODEL_NUMBERS // (2 * len(values) + 1))
+    best, scored = fresh(df.columns, "__best"), df
+    for start in range(0, size["k"], part):
+        rows = indexed.filter(F.col("__i").between(start, start + part - 1)).orderBy("__i").toArrow()
+        top = _best_class(rows, size["n"], len(values), kind)(*values)
+        scored = scored.withColumn(best, F.greatest(ref(best), top) if start else top)
+        if start:
+            scored = written(scored, "scored")
+    return scored.withColumn(output, ref(best).getField("class")).drop(best)
+
+
+def _best_class(model: pa.Table, total: int, features: int, kind):
+    """A function of the feature columns that gives struct(score, class) of the best class, the greatest of equal ones."""
+    classes = model.column("class").combine_chunks()
+    mean, var = (np.stack([model.column(f"{c}{i}").to_numpy() for i in range(features)]) for c in ("mean", "var"))
+    constant = np.array([math.log(n / total) for n in model.column("n").to_pylist()])
+    for v in var:
+        constant = constant - 0.5 * np.array([math.log(2 * math.pi * x) for x in v])
+
+    def best(*columns: pa.Array) -> pa.Array:
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns])
+        score, at = np.full(x.shape[1], -np.inf), np.zeros(x.shape[1], np.int64)
+        for first in range(0, len(constant), CLASS_BLOCK):
+            block = slice(first, first + CLASS_BLOCK)
+            rest = sum((x[i][:, None] - mean[i][None, block]) ** 2 / (2 * var[i][None, block]) for i in range(features))
+            here = constant[None, block] - rest
+            here = np.where(np.isnan(here), np.inf, here)  # as the greatest number
+            top = here.shape[1] - 1 - here[:, ::-1].argmax(1)
+            value = here[np.arange(len(top)), top]
+            new = value >= score
+            score, at = np.where(new, value, score), np.where(new, top + first, at)
+        return pa.StructArray.from_arrays([pa.array(score), classes.take(pa.array(at))], ["score", "class"])
+
+    return F.arrow_udf(best, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("class", kind)]))
 
 
 def _score(row: Row, total: int, values: list[Column], kind) -> Column:

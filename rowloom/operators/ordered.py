@@ -7,8 +7,10 @@ two ways to cut the order into ranges that fit a task:
   the table to the shared folder; a row's sequence number is its partition and
   its place in it. This is right for any input: a lost executor, or an input
   that gives other rows when it is computed again, cannot change the numbers.
-  Ties are broken by the row's content and exact copies by a salt, so the range
-  partitioner can cut anywhere, also inside a group of copies or a hot key.
+  The rows are counted first, so that ranges have at most about RANGE_ROWS rows
+  where the shuffle partitions would be larger. Ties are broken by the row's content and exact
+  copies by the task that read them, so the range partitioner can cut
+  inside a hot key, and a group of copies between any two input tasks.
 * `sliced` is for a stable input (one that gives the same rows each time it is
   read, such as a stored table): two passes over the first order column alone
   find slices of equal size, and each row computes its slice from its own value.
@@ -34,6 +36,7 @@ from ..session import written
 Step = Callable[[DataFrame], DataFrame]
 PLACE_BITS = 33  # monotonically_increasing_id(): partition above, place below
 HOT_ROWS = 20_000_000
+RANGE_ROWS = 1_000_000  # rows of a range, of which a task sorts one
 ROWS_PER_SLICE = 100_000  # small inputs get fewer slices
 SLICE_ROWS = 1_000_000  # a slice this small is never too large
 MOST_CELLS = 1 << 18
@@ -86,22 +89,27 @@ def row_hash(df: DataFrame) -> Column:
 def tie_broken(df: DataFrame, unique_order: bool, split_copies: bool = True) -> tuple[DataFrame, list[str]]:
     """Add tie-breaking columns; returns their names, to sort by after the order keys.
 
-    The salt is the place after a local sort by content: a retried task gives
-    each group of copies the same salts again, whatever order its rows came in.
+    Copies of a row in different input tasks differ by the number of the task,
+    which is the same again where a task is retried; nothing is sorted for it.
     """
     if unique_order:
         return df, []
     h = fresh(df.columns, "__content")
     if not split_copies:
         return df.withColumn(h, row_hash(df)), [h]
-    second, salt = fresh(df.columns, "__content_b"), fresh(df.columns, "__salt")
-    salted = (
-        df.withColumns({h: row_hash(df), second: F.xxhash64(F.lit(1), *_hashable(df))})
-        .sortWithinPartitions(h, second)
-        .withColumn(salt, F.monotonically_increasing_id())
-        .drop(second)
-    )
-    return salted, [h, salt]
+    salt = fresh(df.columns, "__salt")
+    return df.withColumns({h: row_hash(df), salt: F.spark_partition_id()}), [h, salt]
+
+
+def ranges_needed(df: DataFrame, rows: int) -> int | None:
+    """Ranges for so many rows where the session's shuffle partitions would be too large, else None."""
+    needed = -(-rows // RANGE_ROWS)
+    return needed if needed > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def by_ranges(df: DataFrame, order: list[Column], ranges: int | None) -> DataFrame:
+    """The rows in sorted ranges; adaptive execution may join small ones where their number is not given."""
+    return df.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
 
 
 @dataclass
@@ -133,16 +141,11 @@ class Numbered:
 
 
 def numbered(df: DataFrame, keys: list[tuple[str, bool]], unique_order: bool = False) -> Numbered:
-    """Sort globally and number the rows, with one range shuffle and one write."""
+    """Sort globally and number the rows, with one count, one range shuffle and one write."""
     prepared, ties = tie_broken(df, unique_order)
     order = [directed(n, up) for n, up in keys] + [ref(t).asc() for t in ties]
     seq = fresh(df.columns, "__seq")
-    table = (
-        prepared.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn(seq, F.monotonically_increasing_id())
-        .drop(*ties)
-    )
+    table = by_ranges(prepared, order, ranges_needed(df, df.count())).withColumn(seq, F.monotonically_increasing_id()).drop(*ties)
     return Numbered(written(table, "numbered"), seq)
 
 
@@ -187,8 +190,8 @@ def sliced(df: DataFrame, keys: list[tuple[str, bool]], unique_order: bool = Fal
     """Cut the order into slices by the value of its first column; None if that cannot be even.
 
     The first column's span is divided into cells and the rows of each cell are
-    counted; neighbouring cells are then joined to slices. The driver sees one
-    count per cell, a number fixed by the shuffle partitions.
+    counted; neighbouring cells are then joined to slices of about ROWS_PER_SLICE
+    rows, whatever the shuffle partitions are. The driver sees one count per cell, at most MOST_CELLS.
     """
     first, ascending = keys[0]
     number = order_number(first, dtype(df, first))
@@ -197,7 +200,7 @@ def sliced(df: DataFrame, keys: list[tuple[str, bool]], unique_order: bool = Fal
     finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
     span = df.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     lo, hi, n = span["lo"] or 0.0, span["hi"] or 0.0, span["n"]
-    slices = max(1, min(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS_PER_SLICE + 1))
+    slices = min(n // ROWS_PER_SLICE + 1, MOST_CELLS // 4)
     cells = min(64 * slices, MOST_CELLS)
     width = (hi - lo) / cells or 1.0
     cell = F.least(F.greatest(F.floor((number - lo) / width), F.lit(0)), F.lit(cells - 1))
@@ -221,7 +224,10 @@ def sliced(df: DataFrame, keys: list[tuple[str, bool]], unique_order: bool = Fal
     name = fresh(prepared.columns, "__slice")
     order = [directed(k, up) for k, up in keys] + [ref(t).asc() for t in ties]
     chosen = F.element_at(_longs(table), cell + 1).cast("int") if len(starts) > 1 else cell * 0
-    return Sliced(prepared.withColumn(name, chosen), name, order, starts, [name, *ties])
+    rows = prepared.withColumn(name, chosen)
+    if len(starts) > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(len(starts), ref(name))  # else a task would get many slices
+    return Sliced(rows, name, order, starts, [name, *ties])
 
 
 def row_index(order_by, name: str = "_index", unique_order: bool = False, stable: bool = False) -> Step:

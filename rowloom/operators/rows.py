@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from ..functions.expressions import bool_expr, literal_number, number_predicate, split_conditions
 from ..functions.names import dtype, fresh, is_text, names, ref, require
 from ..functions.parsing import as_text, parse_bool, parse_double
+from ..session import written
 from .cleaning import trim_spaces
-from .ordered import directed, every_nth, order_keys, row_index, tie_broken
+from .ordered import Numbered, by_ranges, directed, every_nth, order_keys, ranges_needed, row_index, tie_broken
 
 Step = Callable[[DataFrame], DataFrame]
 OPERATORS = ("eq", "neq", "gt", "gte", "lt", "lte", "contains", "not_contains", "starts_with", "ends_with",
@@ -232,7 +233,9 @@ def sort(columns, order: str = "asc", limit: int | None = None, unique_order: bo
     """Order all rows; `order` is the default direction, "name desc" sets one column's.
 
     Ties are broken by content, so the order is the same for any partitioning
-    and a hot key is spread over several ranges.
+    and a hot key is spread over several ranges. The rows are counted first, and
+    where the shuffle partitions would be too large there are more ranges. A limit
+    over LARGE_LIMIT rows is taken from sorted ranges, not by one task.
     """
     if order not in ("asc", "desc"):
         raise ValueError(f"sort: order must be asc or desc, got {order!r}")
@@ -247,16 +250,29 @@ def sort(columns, order: str = "asc", limit: int | None = None, unique_order: bo
             plain = isinstance(text, str) and (text in df.columns or not text.lower().endswith((" asc", " desc")))
             items.append((text, order) if plain else text)
         keys = order_keys(items, df)
-        prepared, ties = tie_broken(df, unique_order, split_copies=limit is None)
+        small = limit is not None and limit <= LARGE_LIMIT
+        prepared, ties = tie_broken(df, unique_order, split_copies=not small)
         by = sort_keys(prepared, keys) + [ref(t).asc() for t in ties]
-        ordered = prepared.orderBy(*by)
-        if limit is not None:
-            ordered = ordered.limit(limit)
-        return ordered.drop(*ties)
+        if small:
+            return prepared.orderBy(*by).limit(limit).drop(*ties)
+        ranges = ranges_needed(df, df.count())
+        if limit is None and ranges is None:
+            return prepared.orderBy(*by).drop(*ties)
+        ordered = by_ranges(prepared, by, ranges).drop(*ties)
+        return ordered if limit is None else _first_of_ranges(ordered, limit)
 
     return step
 
 
+def _first_of_ranges(ordered: DataFrame, n: int) -> DataFrame:
+    """The first `n` rows of sorted ranges, in order; each range is cut by itself, so no task gets them all."""
+    seq = fresh(ordered.columns, "__seq")
+    table = Numbered(written(ordered.withColumn(seq, F.monotonically_increasing_id()), "sorted"), seq)
+    at = fresh(table.df.columns, "__at")
+    first = table.df.withColumn(at, table.position()).where(ref(at) < n)
+    return by_ranges(first, [ref(at)], ranges_needed(ordered, n)).drop(seq, at)
+
+
 def sampling(mode: str = "first", value: float = 0, order_by=None, seed: int | None = None, key=None,
              unique_order: bool = False, stable: bool = False) -> Step:
     """first: the first `value` rows; percent: each row with that chance; every: each value-th row.

@@ -84,10 +84,23 @@ def remove_written(spark: SparkSession) -> int:
     return removed
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path of a folder, on any store that pyarrow reaches."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri("file:///" + uri[5:].lstrip("/") if uri.startswith("file:") else uri)
+
+
+def folders(uri: str, name: str | None = None) -> list[str]:
+    """The names in a folder, or those equal to `name`; none where there is no folder."""
+    store, path = _store(uri)
+    found = [i.base_name for i in store.get_file_info(fs.FileSelector(path, allow_not_found=True))]
+    return sorted(f for f in found if name in (None, f))
+
+
 def delete_folder(uri: str) -> bool:
     """Delete a folder of this library's own, on any store that pyarrow reaches; whether it was there."""
-    store, path = (fs.LocalFileSystem(), uri) if "://" not in uri and not uri.startswith("file:") else fs.FileSystem.from_uri(
-        "file:///" + uri[5:].lstrip("/") if uri.startswith("file:") else uri)
+    store, path = _store(uri)
     if store.get_file_info(path).type != fs.FileType.Directory:
         return False
     store.delete_dir(path)

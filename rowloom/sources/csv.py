@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import or_
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import names as name_list
+from ..session import written
+from .quoted import is_open, quoted_records
 
 # Accepted spellings of delimiters and encodings.
 DELIMITERS = {"": ",", "tab": "\t", "\\t": "\t", "\\\\t": "\t"}
@@ -19,6 +22,8 @@ ENCODINGS = {
     "windows-1252": "windows-1252", "cp1252": "windows-1252", "win1252": "windows-1252",
     "iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "latin-1": "ISO-8859-1",
 }
+#: Different first lines that the files of one read may have.
+MOST_HEADERS = 100
 BYTE_ORDER_MARK = "﻿"
 
 
@@ -62,27 +67,31 @@ def _options(spark: SparkSession, delimiter, encoding, newline, lazy_quotes, tri
     return options
 
 
-def _has_quoted_breaks(spark: SparkSession, path) -> bool:
-    """Whether some line leaves a quote open: a field may go on in the next line.
+def _files(spark: SparkSession, path, options: dict, trim: bool) -> DataFrame:
+    """(file, head, open): the first line of each file and whether a line leaves a quoted field open; one splittable pass, written."""
+    lines = spark.read.options(**{k: v for k, v in options.items() if k == "lineSep"}).text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                         F.monotonically_increasing_id().alias("at"))
+    head = F.when(F.col("start") == 0, F.regexp_replace("value", f"^{BYTE_ORDER_MARK}|\r$", ""))
+    first = F.min_by(head, F.when(F.col("start") == 0, F.col("at")))
+    return written(lines.groupBy("file").agg(first.alias("head"), F.max(is_open(F.col("value"), options["sep"], trim)).alias("open")), "csv-files")
+
+
+def _heads(files: DataFrame) -> list[Row]:
+    """(head, file, open): one row per different first line."""
+    found = files.groupBy("head").agg(F.min("file").alias("file"), F.max("open").alias("open")).orderBy("head").limit(MOST_HEADERS + 1).collect()
+    if len(found) > MOST_HEADERS:
+        raise ValueError(f"read_csv: more than {MOST_HEADERS} different first lines")
+    return found
 
-    A splittable pass over the text that stops at the first such line.
-    """
-    line = F.col("value")
-    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
+def _cells(spark: SparkSession, path, options: dict) -> list[str]:
+    first = spark.read.options(**options, header="false").csv(path).limit(1).collect()
+    return [c or "" for c in first[0]] if first else []
 
-def _by_first_line(spark: SparkSession, path, options: dict) -> list[list[str]]:
-    """The files in groups of equal first lines; one group without names where all agree, else the names of all files."""
-    lines = spark.read.options(**{k: v for k, v in options.items() if k == "lineSep"}).text(path)
-    if len(lines.inputFiles()) < 2:
-        return [[]]
-    heads = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-                         F.monotonically_increasing_id().alias("at")).filter("start = 0")
-    first = heads.groupBy("file").agg(F.min_by(F.regexp_replace("value", f"^{BYTE_ORDER_MARK}|\r$", ""), "at").alias("head"))
-    if first.select("head").distinct().limit(2).count() < 2:
-        return [[]]
-    return [sorted(r["files"]) for r in first.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()]
+
+def _names(cells: list[str]) -> list[str]:
+    return [c.replace(BYTE_ORDER_MARK, "").strip() or f"column_{i + 1}" for i, c in enumerate(cells)]
 
 
 def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None = ",", encoding: str = "utf-8",
@@ -96,11 +105,14 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None =
     empty fields are "" or, with blank_as="null", NULL. `fields_per_record` of 0
     or more makes a row of another width an error.
 
-    Line breaks inside quotes need `multi_line`, and then files cannot be split
-    over tasks. By default a first pass over the text finds out whether there are
-    any; give True or False where that is known.
+    A first pass over the text finds the first lines of the files and whether some quoted field goes
+    on in the next line. If one does, the records are assembled by
+    all tasks (`quoted.py`), which costs one more pass. `multi_line` False says that no field does;
+    True reads each file whole in one task, as Spark's own reader does, without a look.
+    UTF-16 files, delimiters that are not ASCII, and files where lone carriage returns stand
+    beside open fields are read whole as well.
 
-    Files whose first lines differ are read each by its own names; the names
+    Files whose first lines differ are read by their own names; the names
     must be the same ones in any order, else this raises. With same_headers=True
     (all files are known to agree) the first lines are not compared. UTF-16
     files are not compared.
@@ -113,52 +125,73 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None =
         raise ValueError(f"read_csv: blank_as must be 'empty' or 'null', got {blank_as!r}")
     if auto_names not in ("column", "letters"):
         raise ValueError(f"read_csv: auto_names must be 'column' or 'letters', got {auto_names!r}")
-    if multi_line is None:
-        multi_line = encoding_of(encoding).startswith("UTF-16") or _has_quoted_breaks(spark, path)
-    options = _options(spark, delimiter, encoding, newline, lazy_quotes, trim_leading_space, multi_line)
-    if has_header and not same_headers and not options["encoding"].startswith("UTF-16"):
-        groups = _by_first_line(spark, path, options)
-        if len(groups) > 1:
-            parts = [read_csv(spark, files, delimiter, encoding, newline, True, None, skip_empty_lines, lazy_quotes, trim_leading_space,
-                              fields_per_record, blank_as, auto_names, multi_line, True) for files in groups]
-            for other in parts[1:]:
-                if set(other.columns) != set(parts[0].columns):
-                    raise ValueError(f"read_csv: files with other columns: {parts[0].columns} and {other.columns}")
-            return reduce(DataFrame.unionByName, parts)
+    charset = encoding_of(encoding)
+    options = _options(spark, delimiter, encoding, newline, lazy_quotes, trim_leading_space, bool(multi_line))
+    plain = not charset.startswith("UTF-16") and ord(options["sep"]) < 128
+    compared, heads = has_header and not same_headers, []
+    if plain and (multi_line is None or compared):
+        files = _files(spark, path, options, trim_leading_space)
+        heads = _heads(files)
+    split_records = multi_line is None and any(r["open"] for r in heads)
+    if multi_line is None and (split_records or not plain):
+        options = _options(spark, delimiter, encoding, newline, lazy_quotes, trim_leading_space, True)
     given = name_list(headers)
     if has_header or not given:
-        first = spark.read.options(**options, header="false").csv(path).limit(1).collect()
-        cells = [c or "" for c in first[0]] if first else []
+        cells = _cells(spark, path, options)
         if not cells:
             return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in given]))
     if has_header:
-        columns = [c.replace(BYTE_ORDER_MARK, "").strip() or f"column_{i + 1}" for i, c in enumerate(cells)]
+        columns = _names(cells)
     elif given:
         columns = given
     else:
         n = len(cells)
         columns = letter_names(n) if auto_names == "letters" else [f"column_{i + 1}" for i in range(n)]
+    own = {}
+    if compared and len(heads) > 1:
+        own = {r["head"]: _names(_cells(spark, unquote(r["file"]), options)) for r in heads if r["head"] is not None}
+    for other in own.values():
+        if set(other) != set(columns):
+            raise ValueError(f"read_csv: files with other columns: {columns} and {other}")
     strict = fields_per_record >= 0
     if fields_per_record > 0 and fields_per_record != len(columns):
         raise ValueError(f"read_csv: {len(columns)} columns, but fields_per_record={fields_per_record}")
 
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(columns))])
-    reader = spark.read.schema(schema).options(**options, header=str(has_header).lower(), enforceSchema="true",
-                                               mode="FAILFAST" if strict else "PERMISSIVE")
-    if strict:
-        reader = reader.option("columnPruning", "false")
-    df = reader.csv(path)
-    if options["encoding"].startswith("UTF-16"):
+    mode = "FAILFAST" if strict else "PERMISSIVE"
+    records = None
+    if split_records:
+        records = quoted_records(spark, path, options["sep"], trim_leading_space, options.get("lineSep", "\n"), has_header, charset)
+    if records is not None:
+        parse = {k: v for k, v in options.items() if k not in ("encoding", "multiLine", "lineSep")}
+        parsed = F.from_csv("value", ", ".join(f"{n} string" for n in schema.names), {**parse, "mode": mode})
+        df = records.where(F.trim("value") != "").select("file", parsed.alias("r")).select("file", "r.*")
+    else:
+        reader = spark.read.schema(schema).options(**options, header=str(has_header).lower(), enforceSchema="true", mode=mode)
+        if strict:
+            reader = reader.option("columnPruning", "false")
+        df = reader.csv(path)
+        if own:
+            df = df.select(F.col("_metadata.file_path").alias("file"), *schema.names)
+    if charset.startswith("UTF-16"):
         df = df.withColumn("_0", F.regexp_replace("_0", f"^{BYTE_ORDER_MARK}", ""))
         last = f"_{len(columns) - 1}"
         df = df.withColumn(last, F.regexp_replace(last, "\r$", ""))
     if skip_empty_lines:
-        df = df.filter(reduce(or_, [F.coalesce(F.trim(c) != "", F.lit(False)) for c in df.columns]))
+        df = df.filter(reduce(or_, [F.coalesce(F.trim(c) != "", F.lit(False)) for c in schema.names]))
     if blank_as == "empty":
         df = df.na.fill("")
     # Of columns with one name the last one counts.
     last_of = {name: i for i, name in enumerate(columns)}
-    return df.select(*[F.col(f"_{i}").alias(name) for name, i in last_of.items()])
+    if not own:
+        return df.select(*[F.col(f"_{i}").alias(name) for name, i in last_of.items()])
+    # Each row takes its values by the names of its file: a number per order of names, one row per file.
+    orders = list(dict.fromkeys(tuple(v) for v in own.values()))
+    numbers = spark.createDataFrame([(head, orders.index(tuple(v))) for head, v in own.items()], "head string, names int")
+    df = df.join(files.join(numbers, "head").select("file", "names"), "file")
+    place = [{name: i for i, name in enumerate(o)} for o in orders]
+    value = lambda name: F.coalesce(*[F.when(F.col("names") == k, F.col(f"_{p[name]}")) for k, p in enumerate(place)])
+    return df.select(*[value(name).alias(name) for name in last_of])
 
 
 def csv_preview(spark: SparkSession, path: str, limit: int = 20, **options) -> DataFrame:

@@ -12,7 +12,8 @@ def records(body: Column, schema: str | T.StructType, data_path: str | None = No
 
     An array gives its objects and drops its other items; one object gives one
     record; any other body, and a body that is cut off or no JSON, fails the
-    job, or gives NULL with errors="null". A NULL body gives NULL.
+    job, or gives NULL with errors="null". So does a field whose value is not of the type that `schema` gives it: it fails
+    the job, or is NULL. A NULL body gives NULL.
     """
     if errors not in ("raise", "null"):
         raise ValueError(f"json: errors must be 'raise' or 'null', got {errors!r}")
@@ -24,7 +25,8 @@ def records(body: Column, schema: str | T.StructType, data_path: str | None = No
     whole = F.when(start == "[", F.json_array_length(text).isNotNull()).when(start == "{", F.json_object_keys(text).isNotNull())
     texts = F.when(body.isNull(), None).when(F.coalesce(whole, F.lit(False)), F.when(start == "[", objects).otherwise(F.array(text)))
     texts = texts.otherwise(wrong if errors == "raise" else F.lit(None))
-    return F.transform(texts, lambda item: F.from_json(item, schema))
+    mode = {"mode": "FAILFAST" if errors == "raise" else "PERMISSIVE"}
+    return F.transform(texts, lambda item: F.from_json(item, schema, mode))
 
 
 def explode_records(df: DataFrame, body: str, schema, data_path: str | None = None, keep=(), errors: str = "raise") -> DataFrame:

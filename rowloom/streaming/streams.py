@@ -7,6 +7,7 @@ are. Here are those that keep state or write.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from pyspark.sql.types import StructType
 from ..functions.names import dtype, names, ref, require
 from ..operators.changes import DELETED, SEQUENCE, apply_newer, with_state
 from ..operators.joins import join
-from ..session import delete_folder, new_folder
+from ..session import delete_folder, folders, new_folder
+from .store import stream_id
 
 
 def read_folder(spark: SparkSession, path: str, schema: StructType | str, pattern: str | None = None,
@@ -63,37 +65,56 @@ def apply_change_stream(changes: DataFrame, snapshot_path: str, keys, sequence:
     """Keep a snapshot up to date with a stream of change rows, whatever the order in which they come.
 
     `snapshot_path/version=start` must hold the initial rows. Each batch reads
-    the version before it and writes its own, with the sequence last applied to
-    each key and tombstones of deleted ones, so a batch that is run again after
-    a failure gives the same version. The newest two versions are kept;
+    the newest version and writes the next one, with the sequence last applied to
+    each key and tombstones of deleted ones. A version counts once its entry in
+    `snapshot_path/commits` is complete; the entry holds the last batch of every stream, so a
+    batch that comes again is passed over, and a stream with a new checkpoint
+    goes on from the newest version. The newest two versions are kept;
     `read_snapshot` gives the newest rows. `checkpoint` must outlive the process.
 
     A batch costs a rewrite of the snapshot. Where that is much larger than a
-    batch, let the stream land the change rows as parquet (`run_available`) and
-    run `apply_changes` on them at longer intervals.
+    batch, keep the rows in a `ChangeStore` and use `store_change_stream`.
     """
     if not checkpoint:
         raise ValueError("apply_change_stream: checkpoint is required")
 
     def next_version(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        if batch_id == 0:
-            state = with_state(session.read.parquet(f"{snapshot_path}/version=start"), batch, sequence)
+        stream, known = stream_id(session, checkpoint), _commits(snapshot_path)
+        streams = _streams(session, snapshot_path, known[-1]) if known else {}
+        if streams.get(stream, -1) >= batch_id:
+            return
+        if known:
+            state, version = session.read.parquet(f"{snapshot_path}/version={known[-1]}"), known[-1] + 1
         else:
-            state = session.read.parquet(f"{snapshot_path}/version={batch_id - 1}")
-        apply_newer(state, batch, keys, sequence, op_column).write.mode("overwrite").parquet(f"{snapshot_path}/version={batch_id}")
-        session.createDataFrame([(batch_id,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{snapshot_path}/latest")
-        if batch_id > 1:
-            delete_folder(f"{snapshot_path}/version={batch_id - 2}")
+            state, version = with_state(session.read.parquet(f"{snapshot_path}/version=start"), batch, sequence), 0
+        apply_newer(state, batch, keys, sequence, op_column).write.mode("overwrite").parquet(f"{snapshot_path}/version={version}")
+        entry = session.createDataFrame([(json.dumps({**streams, stream: batch_id}),)], "value string").coalesce(1)
+        entry.write.mode("overwrite").text(f"{snapshot_path}/commits/{version:020d}")
+        for old in known[:-1]:
+            delete_folder(f"{snapshot_path}/commits/{old:020d}")
+            delete_folder(f"{snapshot_path}/version={old}")
 
     writer = changes.writeStream.foreachBatch(next_version).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _commits(snapshot_path: str) -> list[int]:
+    """The complete versions, in order."""
+    path = f"{snapshot_path}/commits"
+    return sorted(int(v) for v in folders(path) if v.isdigit() and folders(f"{path}/{v}", "_SUCCESS"))
+
+
+def _streams(spark: SparkSession, snapshot_path: str, version: int) -> dict[str, int]:
+    return json.loads(spark.read.text(f"{snapshot_path}/commits/{version:020d}").first()["value"])
+
+
 def read_snapshot(spark: SparkSession, snapshot_path: str) -> DataFrame:
     """The rows of the newest version that `apply_change_stream` has written, without its own columns."""
-    version = spark.read.parquet(f"{snapshot_path}/latest").first()["version"]
-    return spark.read.parquet(f"{snapshot_path}/version={version}").where(f"not {DELETED}").drop(SEQUENCE, DELETED)
+    known = _commits(snapshot_path)
+    if not known:
+        raise ValueError(f"read_snapshot: no version in {snapshot_path}")
+    return spark.read.parquet(f"{snapshot_path}/version={known[-1]}").where(f"not {DELETED}").drop(SEQUENCE, DELETED)
 
 
 def per_batch(step: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
