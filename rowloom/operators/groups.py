@@ -117,9 +117,13 @@ def groupby(by, aggregations, sort: bool = True, as_index: bool = True, dropna:
             position = ref(order[0][0]) if alone else F.struct(*[ref(n) for n, _ in order], *ties)
             ascending = order[0][1]
         medians = [i for i in items if i.function == "MEDIAN"]
-        ranged = None
-        if medians and (df.groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > median_values:
-            ranged = written(_spans(df, keys, medians, non_numeric), "median-groups")
+        ranged, all_large = None, False
+        if medians:
+            sizes = df.groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+            large = sizes.agg(F.count_if(F.col("n") > median_values).alias("large"), F.count("n").alias("all")).first()
+            if large["large"]:
+                ranged = written(_spans(df, keys, medians, non_numeric).where(F.col("__rows") > median_values), "median-groups")
+                all_large = large["large"] == large["all"]
         columns = []
         for item in items:
             col, kind = ref(item.column), dtype(df, item.column)
@@ -145,7 +149,7 @@ def groupby(by, aggregations, sort: bool = True, as_index: bool = True, dropna:
         else:
             out = df.select(*[ref(k) for k in keys]).distinct()
         if ranged:
-            out = _with_medians(out, df, keys, medians, non_numeric, ranged, median_values)
+            out = _with_medians(out, df, keys, medians, non_numeric, ranged, median_values, all_large)
         if sort:
             out = out.orderBy(*_text_order(out, keys))
         return out.select(*([ref(k) for k in keys] if as_index else []), *[ref(i.alias) for i in items])
@@ -182,7 +186,7 @@ def _ranged_medians(df: DataFrame, keys: list[str], medians: list[Aggregation],
     long = df.select(*[ref(k).alias(g) for g, k in zip(group, keys, strict=True)], F.inline(values)).where("v IS NOT NULL")
     ranks = F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)))
     wanted = spans.select(*group, F.inline("__spans")).where("n > 0").select(*group, "item", "n", "lo", "hi", F.explode(ranks).alias("rank"))
-    wanted = written(wanted.withColumns({"before": F.lit(0).cast("long"), "many": F.col("n")}).drop("n"), "median-spans")
+    wanted = wanted.withColumns({"before": F.lit(0).cast("long"), "many": F.col("n")}).drop("n")
     by_log, limit = False, max(limit, MEDIAN_FEW)
     while not wanted.where((F.col("lo") != F.col("hi")) & (F.col("many") > limit)).isEmpty():
         wanted = written(_narrowed(long, wanted, group, same, limit, by_log), "median-spans")
@@ -231,15 +235,18 @@ def _narrowed(long: DataFrame, wanted: DataFrame, group: list[str], same, limit:
     return next_.unionByName(wanted.where((F.col("lo") == F.col("hi")) | (F.col("many") <= limit)))
 
 
-def _with_medians(out: DataFrame, df: DataFrame, keys: list[str], medians: list[Aggregation], non_numeric: str, spans: DataFrame, limit: int) -> DataFrame:
-    """`out` with its medians: of small groups by Spark's own, of the others from counts."""
+def _with_medians(out: DataFrame, df: DataFrame, keys: list[str], medians: list[Aggregation], non_numeric: str, large: DataFrame, limit: int,
+                  all_large: bool) -> DataFrame:
+    """`out` with its medians: of the groups in `large` from counts, of the others, if there are any, by Spark's own."""
     group = [f"__k{i}" for i in range(len(keys))]
-    large = spans.where(F.col("__rows") > limit)
     is_large = reduce(and_, [ref(k).eqNullSafe(F.col(g)) for g, k in zip(group, keys, strict=True)])
-    rest = df.join(large.select(*group), is_large, "left_anti").groupBy(*[ref(k).alias(g) for g, k in zip(group, keys, strict=True)]).agg(
-        *[F.median(_numeric(df, m, non_numeric)).alias(f"__median{i}") for i, m in enumerate(medians)])
-    rows = df.join(large.select(*group), is_large, "left_semi")
-    found = rest.unionByName(_ranged_medians(rows, keys, medians, non_numeric, large, limit))
+    if all_large:
+        found = _ranged_medians(df, keys, medians, non_numeric, large, limit)
+    else:
+        rest = df.join(large.select(*group), is_large, "left_anti").groupBy(*[ref(k).alias(g) for g, k in zip(group, keys, strict=True)]).agg(
+            *[F.median(_numeric(df, m, non_numeric)).alias(f"__median{i}") for i, m in enumerate(medians)])
+        rows = df.join(large.select(*group), is_large, "left_semi")
+        found = rest.unionByName(_ranged_medians(rows, keys, medians, non_numeric, large, limit))
     out = out.join(found, is_large, "left")
     return out.withColumns({m.alias: F.col(f"__median{i}") for i, m in enumerate(medians)}).drop(*group, *[f"__median{i}" for i in range(len(medians))])
 

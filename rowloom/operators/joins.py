@@ -13,14 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import dtype, is_number, ref, require
+from ..functions.names import dtype, is_float, is_number, ref, require
 from ..functions.parsing import as_text
 from ..session import written
 from .ordered import HOT_ROWS, row_index
 
 JOIN_TYPES = ("inner", "left", "right", "full")
 VALIDATIONS = ("", "one_to_one", "one_to_many", "many_to_one", "many_to_many")
-LEFT_KEY, RIGHT_KEY = "__left_key", "__right_key"
+LEFT_MATCH, RIGHT_MATCH = "__left_match", "__right_match"
+
+
+def _wider(left: DataFrame, ka: T.DataType, kb: T.DataType) -> T.DataType:
+    empty = left.sparkSession.range(0)
+    return empty.select(F.coalesce(F.lit(None).cast(ka), F.lit(None).cast(kb)).alias("k")).schema["k"].dataType
 
 
 def _one_type(left: DataFrame, lk: str, right: DataFrame, rk: str) -> tuple[Column, Column]:
@@ -30,11 +35,39 @@ def _one_type(left: DataFrame, lk: str, right: DataFrame, rk: str) -> tuple[Colu
         return ref(lk), ref(rk)
     if not (is_number(ka) and is_number(kb)):
         return as_text(ref(lk), ka), as_text(ref(rk), kb)
-    empty = left.sparkSession.range(0)
-    wide = empty.select(F.coalesce(F.lit(None).cast(ka), F.lit(None).cast(kb)).alias("k")).schema["k"].dataType
+    wide = _wider(left, ka, kb)
     return ref(lk).cast(wide), ref(rk).cast(wide)
 
 
+def _widened(key: Column, name: str, kind: T.DataType, wide: T.DataType) -> Column:
+    """A key of the result in the wider type; a 64-bit integer that no float of that type equals fails the job instead of changing."""
+    value = key.cast(wide)
+    if not (isinstance(kind, T.LongType) and is_float(wide)):
+        return value
+    whole = T.DecimalType(38, 0)
+    inexact = F.raise_error(F.concat(F.lit(f"join: key {name} = "), key.cast("string"), F.lit(f" is no {wide.simpleString()}; cast the keys first")))
+    return F.when(key.isNull() | (value.cast(whole) == key.cast(whole)), value).otherwise(inexact.cast(wide))
+
+
+def _matches(left: DataFrame, lk: str, right: DataFrame, rk: str) -> tuple[Column, Column] | None:
+    """Columns that are equal where a 64-bit integer key equals a float exactly; None for other types."""
+    ka, kb = dtype(left, lk), dtype(right, rk)
+    if not (isinstance(ka, T.LongType) and is_float(kb) or is_float(ka) and isinstance(kb, T.LongType)):
+        return None
+
+    def parts(key: str, kind: T.DataType) -> Column:
+        value = ref(key)
+        if isinstance(kind, T.LongType):
+            whole, rest = value, F.lit(None).cast("double")
+        else:
+            value = value.cast("double")
+            is_whole = (F.floor(value) == value) & (value >= -(2.0 ** 63)) & (value < 2.0 ** 63)
+            whole, rest = F.when(is_whole, value.try_cast("bigint")), F.when(~is_whole, value)
+        return F.when(value.isNotNull(), F.struct(whole.alias("whole"), rest.alias("rest")))
+
+    return parts(lk, ka), parts(rk, kb)
+
+
 def _has_hot_key(side: DataFrame, key: str) -> bool:
     """Whether one key has more rows than a task should hold; one job that reads the key column only."""
     most = side.groupBy(ref(key)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -53,12 +86,16 @@ def _joined(left: DataFrame, right: DataFrame, lk: str, rk: str, how: str, nulls
         split_hot = any(_has_hot_key(side, key) for side, key in sides)
     if split_hot and how != "inner" and not stable:
         left, right = written(left, "join-left"), written(right, "join-right")
-    left_key, right_key = _one_type(left, lk, right, rk)
     hidden = {c: f"__right_{i}" for i, c in enumerate(right.columns)}
-    mine = left.select("*", left_key.alias(LEFT_KEY))
-    other = right.select(*[ref(c).alias(hidden[c]) for c in right.columns], right_key.alias(RIGHT_KEY))
-    a, b = F.col(LEFT_KEY), F.col(RIGHT_KEY)
-    on = a.eqNullSafe(b) if nulls_match else a == b
+    exact = _matches(left, lk, right, rk)
+    left_match, right_match = exact or _one_type(left, lk, right, rk)
+    mine = left.select("*", left_match.alias(LEFT_MATCH))
+    other = right.select(*[ref(c).alias(hidden[c]) for c in right.columns], right_match.alias(RIGHT_MATCH))
+    a, b = F.col(LEFT_MATCH), F.col(RIGHT_MATCH)
+    if exact:  # keys are widened after the join: those that find no partner need not fit
+        wide = _wider(left, dtype(left, lk), dtype(right, rk))
+        a, b = _widened(ref(lk), lk, dtype(left, lk), wide), _widened(ref(hidden[rk]), rk, dtype(right, rk), wide)
+    on = F.col(LEFT_MATCH).eqNullSafe(F.col(RIGHT_MATCH)) if nulls_match else F.col(LEFT_MATCH) == F.col(RIGHT_MATCH)
     rest = [c for c in right.columns if c != rk]
 
     def shown(df: DataFrame, key: Column) -> DataFrame:
@@ -73,9 +110,9 @@ def _joined(left: DataFrame, right: DataFrame, lk: str, rk: str, how: str, nulls
         result = shown(mine.join(other, on, "inner"), a)
         # Distinct keys first: a hot key becomes one row per task before the shuffle.
         if how in ("left", "full"):
-            result = result.unionByName(shown(mine.join(other.select(RIGHT_KEY).distinct(), on, "left_anti"), a))
+            result = result.unionByName(shown(mine.join(other.select(RIGHT_MATCH).distinct(), on, "left_anti"), a))
         if how in ("right", "full"):
-            result = result.unionByName(shown(other.join(mine.select(LEFT_KEY).distinct(), on, "left_anti"), b))
+            result = result.unionByName(shown(other.join(mine.select(LEFT_MATCH).distinct(), on, "left_anti"), b))
         return result
     return shown(mine.join(other, on, how), F.coalesce(a, b) if how in ("right", "full") else a)
 
@@ -84,7 +121,8 @@ def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
          nulls_match: bool = True, prefix: str = "right_", split_hot: bool | str = False, stable: bool = False) -> DataFrame:
     """Join on one key; the right key is dropped and clashing right columns get a prefix.
 
-    Keys of two types are compared, and given out, as the wider number or as text.
+    Keys of two types are compared, and given out, as the wider number or as text. 64-bit integers and
+    floats are equal only if they are the same number; an integer that has no float to be given out as fails the job.
     `split_hot` plans an outer join as an inner join plus the rows without a
     partner, so AQE may split a hot key on either side; "auto" does this if a
     count of the keys (one job) finds a hot one. The inputs are written first,

@@ -78,6 +78,12 @@ FROM {both} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"""
 LINE_CORR = "SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem"
 PAIR_CORR = """SELECT CASE WHEN l_quantity < 10 THEN NULL ELSE l_quantity END AS a,
 CASE WHEN l_discount > 0.08 THEN NULL ELSE l_extendedprice END AS b, 3.0::DOUBLE AS c FROM lineitem"""
+#: Columns of `correlation_many_columns`, in SQL that both engines read.
+WIDE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_extendedprice + 1000000000", "l_quantity * l_discount",
+        "CASE WHEN l_quantity > 10 THEN l_tax END", "CASE WHEN l_discount < 0.08 THEN l_extendedprice END", "CAST(3 AS DOUBLE)",
+        "CAST(l_orderkey AS DOUBLE)", "CAST(l_partkey AS DOUBLE)", "CAST(l_suppkey AS DOUBLE)", "CAST(l_linenumber AS DOUBLE)",
+        "l_quantity * l_quantity", "l_extendedprice / l_quantity", "CASE WHEN l_linenumber < 3 THEN l_quantity END")
+WIDE_CORR = "SELECT " + ", ".join(f"{e} AS c{i:02d}" for i, e in enumerate(WIDE)) + " FROM lineitem"
 TEXT_PART = """(SELECT p_name, CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN p_type ELSE p_size::VARCHAR END AS t FROM part)"""
 SPACES = r"^[\s\x0B\p{Z}\x{85}]+|[\s\x0B\p{Z}\x{85}]+$"
 
@@ -287,4 +293,22 @@ SELECT o_orderkey, round(o_totalprice - 1000, 2) AS net, year(o_orderdate) AS ye
   CASE WHEN o_totalprice - 1000 > 300000 THEN 0 ELSE 1 END AS _route FROM orders WHERE o_totalprice > 100000""",
     "stream_first_per_key": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_lookup": """SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""",
+    "change_store": CHANGED,
+    "change_store_streams": CHANGED,
+    "groupby_medians_ranged": f"""SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 3) AS mid,
+  round(median(l_discount), 3) AS mid_discount, round(sum(l_quantity), 3) AS total {MEDIAN_KEYS}""",
+    "sort_text_numbers_all": """
+WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_size > 45 THEN p_name ELSE p_size::VARCHAR END AS t FROM part)
+SELECT p_partkey, t, row_number() OVER (ORDER BY p_size > 45, CASE WHEN p_size <= 45 THEN p_size END, t, p_partkey) - 1 AS i FROM p""",
+    "correlation_many_columns": "\nUNION ALL\n".join(
+        corr(f"c{i:02d}", f"c{j:02d}", WIDE_CORR) for i in range(len(WIDE)) for j in range(i + 1, len(WIDE))),
+    "join_large_keys": """
+SELECT o_orderkey + 9007199254740992 AS k, o_custkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = 2 * l_orderkey""",
+    "json_strict_types": "SELECT event_id, CASE WHEN event_id % 3 != 0 THEN user_id END AS k, event_type AS t FROM events",
+    "data_grid_lookup": """
+SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' WHEN 'X' THEN 'unused' END AS meaning FROM orders""",
+    "preview_steps": """
+SELECT * FROM (SELECT o_orderkey, o_totalprice, 'sorted' AS step FROM orders ORDER BY o_orderkey LIMIT 5)
+UNION ALL SELECT * FROM (SELECT o_orderkey, o_totalprice, 'filtered' FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000)
+  WHERE o_totalprice > 100000 ORDER BY o_orderkey LIMIT 5)""",
 }

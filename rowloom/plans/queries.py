@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 import rowloom as rl
 from rowloom.session import new_folder, written
+from rowloom.streaming.store import ChangeStore, store_change_stream
 from rowloom.streaming.streams import apply_change_stream, lookup_join, read_folder, read_snapshot, run_available, stream_dedup
 
+from .oracle import WIDE
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -784,3 +787,85 @@ def stream_changes(spark, folder):
     changes = read_folder(spark, landed, spark.read.parquet(landed).schema, files_per_trigger=1)
     apply_change_stream(changes, path, "id", "event_id", new_folder(spark, "changes-state"), available_now=True).awaitTermination()
     return read_snapshot(spark, path)
+
+
+@query
+def change_store(spark, folder):
+    """Changes brought into a bucketed store in three batches out of order, one of them twice, with a compaction between."""
+    store = ChangeStore.create(_snapshot(spark, folder), new_folder(spark, "store"), "id", "bigint", 8)
+    changes = _change_rows(table(spark, folder, "events"))
+    for i in (2, 0, 0, 1):
+        store.apply(changes.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i), "event_id", stream="events", batch={2: 0, 0: 1, 1: 2}[i])
+        if i == 0:
+            store.compact()
+    return store.read()
+
+
+@query
+def change_store_streams(spark, folder):
+    """Two streams with checkpoints of their own bring their parts of the changes into one store."""
+    store = ChangeStore.create(_snapshot(spark, folder), new_folder(spark, "store"), "id", "bigint", 4)
+    changes = _change_rows(table(spark, folder, "events"))
+    for i in range(2):
+        landed = new_folder(spark, "changes")
+        changes.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == i).repartition(2).write.parquet(landed)
+        stream = read_folder(spark, landed, changes.schema, files_per_trigger=1)
+        store_change_stream(stream, store, "event_id", new_folder(spark, "changes-state"), available_now=True).awaitTermination()
+    return store.read()
+
+
+@query
+def groupby_medians_ranged(spark, folder):
+    """Two exact medians of groups of any size from one count per digit."""
+    df = table(spark, folder, "lineitem").transform(
+        rl.groupby("l_returnflag,l_linestatus", "MEDIAN(l_extendedprice) AS mid, MEDIAN(l_discount) AS mid_discount, SUM(l_quantity) AS total", median_values=1))
+    return rounded(df, 3, "mid", "mid_discount", "total")
+
+
+@query
+def sort_text_numbers_all(spark, folder):
+    """A whole table in the order of text that holds numbers; the index counts the rows as they stand in the output."""
+    ordered = table(spark, folder, "part").transform(rl.chain(
+        rl.add_column("t", "if(p_size > 45, p_name, cast(p_size as string))", sql=True),
+        rl.sort("t, p_partkey", limit=100_000_000), rl.select("p_partkey,t")))  # a limit beyond one task's
+    placed = written(ordered.withColumn("place", F.monotonically_increasing_id()), "sorted")
+    return placed.transform(rl.row_index("place", "i", unique_order=True)).drop("place")
+
+
+@query
+def correlation_many_columns(spark, folder):
+    """Over a hundred pairs in one scan: prices far from zero, missing values, a constant."""
+    df = table(spark, folder, "lineitem").select(*[F.expr(e).alias(f"c{i:02d}") for i, e in enumerate(WIDE)])
+    return df.transform(rl.correlation())
+
+
+@query
+def join_large_keys(spark, folder):
+    """64-bit keys beyond 2**53 against floats: only the same number is equal."""
+    left = table(spark, folder, "orders").select((F.col("o_orderkey") + 9007199254740992).alias("k"), "o_custkey")
+    right = table(spark, folder, "lineitem").select((F.col("l_orderkey").cast("double") * 2 + 9007199254740992.0).alias("k2"), "l_linenumber")
+    return rl.join(left, right, "k", "k2", "inner").select(F.col("k").cast("bigint").alias("k"), "o_custkey", "l_linenumber")
+
+
+@query
+def json_strict_types(spark, folder):
+    """Fields of another type are NULL where that is asked for; otherwise they would fail the job."""
+    bodies = table(spark, folder, "events").select("event_id", F.concat(
+        F.lit('[{"k": '), F.expr("if(event_id % 3 = 0, concat('\"', event_type, '\"'), cast(user_id as string))"), F.lit(', "t": "'), "event_type", F.lit('"}]')).alias("body"))
+    return rl.explode_records(bodies, "body", "k bigint, t string", keep=["event_id"], errors="null")
+
+
+@query
+def data_grid_lookup(spark, folder):
+    """Rows typed in by hand joined to a table."""
+    grid = rl.data_grid(spark, '["code","meaning"]', '[["F","finished"],["O","open"],["X","unused"]]')
+    return rl.join(table(spark, folder, "orders").transform(rl.select("o_orderkey,o_orderstatus")), grid, "o_orderstatus", "code", "left")
+
+
+@query
+def preview_steps(spark, folder):
+    """The first rows of a sorted table after each of two steps."""
+    ordered = table(spark, folder, "orders").transform(rl.chain(rl.select("o_orderkey,o_totalprice"), rl.sort("o_orderkey", limit=1000, unique_order=True)))
+    first = rl.preview(ordered, 5).withColumn("step", F.lit("sorted"))
+    second = rl.preview(ordered.transform(rl.chain(rl.filter_rows("o_totalprice > 100000"), rl.sort("o_orderkey", limit=1000, unique_order=True))), 5)
+    return first.unionByName(second.withColumn("step", F.lit("filtered")))

@@ -1,4 +1,5 @@
 import statistics
+import random
 
 import pytest
 
@@ -78,3 +79,25 @@ def test_unpivot(rows):
         df.transform(rl.unpivot("jan,nope"))
     with pytest.raises(ValueError):
         df.transform(rl.unpivot("jan", "region"))
+
+
+@pytest.mark.parametrize("few", [1, 20])
+def test_medians_of_any_distribution(rows, monkeypatch, few):
+    """Several medians at once over values of all sizes, infinities, NaN and ties; no value is lost between bins."""
+    from rowloom.operators import groups
+    monkeypatch.setattr(groups, "MEDIAN_FEW", few)
+    monkeypatch.setattr(groups, "MEDIAN_BINS", 8)
+    rng = random.Random(few)
+    wild = [0.0, -0.0, 5e-324, 1e308, -1e308, float("inf"), float("-inf"), 1.0, 1.0000000000000002]
+    data = [("w", rng.choice(wild), 1e9 + i) for i in range(60)] + [("e", 10.0 ** rng.uniform(-300, 300), 7.0) for _ in range(81)]
+    data += [("n", float("nan") if i % 3 else 1.0 * i, float(i)) for i in range(31)] + [("one", 3.0, None), ("two", 1.0, 2.0), ("two", 2.0, 4.0)]
+    df = rows("k string, a double, b double", *data, parts=5)
+    step = lambda n: rl.groupby("k", "MEDIAN(a) AS ma, MEDIAN(b) AS mb, SUM(b) AS s", non_numeric="null", median_values=n)
+    got, want = ([(r.k, str(r.ma), str(r.mb), r.s) for r in df.transform(step(n)).collect()] for n in (2, 10 ** 6))
+    assert got == want
+
+
+def test_ranged_medians_write_no_values(rows):
+    df = rows("k int, v double", *[(1, float(i)) for i in range(5000)], parts=4)
+    plan = df.transform(rl.groupby("k", "MEDIAN(v) AS m", median_values=10))._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan.lower() and "RepartitionByExpression" not in plan
