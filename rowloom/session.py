@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +78,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+class Scratch:
+    """The folders that `written` and others make from here on."""
+
+    def __init__(self) -> None:
+        self.first, self.kept = len(_folders), set()
+
+    def keep_last(self) -> None:
+        """The folder made last is the result."""
+        self.kept.update(_folders[-1:])
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Delete at the end the folders made inside, but for those that are kept; what is read later must be among these."""
+    made = Scratch()
+    yield made
+    for folder in [f for f in _folders[made.first:] if f not in made.kept]:
+        _folders.remove(folder)
+        delete_folder(folder)
+
+
 def remove_written(spark: SparkSession) -> int:
     """Delete this process's folders in the shared folder, once no DataFrame built on them is needed."""
     removed = 0
