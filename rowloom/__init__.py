@@ -17,6 +17,7 @@ from .operators.rows import (
     chain, dedup, drop_duplicates, dummy, filter_advanced, filter_rows, filter_rules, fork, match_advanced, route, sampling, sort,
     split, union,
 )
+from .operators.sketches import estimate_sketches, merge_sketches, sketch_groups
 from .session import session
 from .sinks.csv import write_csv
 from .sinks.jdbc import write_table
@@ -31,10 +32,11 @@ from .sources.listing import directory
 __all__ = [
     "add_column", "aggregate", "append_fields", "apply_changes", "auto_field", "bfill", "browse", "cast", "casts",
     "chain", "check_cardinality", "clock", "correlation", "counted", "csv_preview", "csv_scan", "data_cleansing",
-    "data_grid", "datetime", "dedup", "directory", "drop_duplicates", "dummy", "every_nth", "explode_records", "ffill",
+    "data_grid", "datetime", "dedup", "directory", "drop_duplicates", "dummy", "estimate_sketches", "every_nth", "explode_records", "ffill",
     "field_summary", "fillna", "filter_advanced", "filter_rows", "filter_rules", "find_replace", "fork",
-    "frequency_table", "groupby", "join", "json_pages", "last_changes", "map_columns", "match_advanced", "merge", "naive_bayes", "pivot",
+    "frequency_table", "groupby", "join", "json_pages", "last_changes", "map_columns", "match_advanced", "merge", "merge_sketches",
+    "naive_bayes", "pivot",
     "preview", "read_csv", "read_query", "read_table", "regex", "regression", "rename", "route", "row_index",
-    "sampling", "select", "session", "sort", "split", "text_input", "text_to_columns", "union", "unpivot", "upsert",
+    "sampling", "select", "session", "sketch_groups", "sort", "split", "text_input", "text_to_columns", "union", "unpivot", "upsert",
     "write_csv", "write_table",
 ]

@@ -105,12 +105,16 @@ def add_column(name: str, expression: str, errors: str = "raise", sql: bool = Fa
     return lambda df: df.withColumn(name, F.expr(expression) if sql else value_expr(expression, df, errors))
 
 
-def auto_field(columns=None) -> Step:
+def auto_field(columns=None, mixed: str = "text") -> Step:
     """Give each text column the narrowest type all its values fit: int, float, bool, else text.
 
     One aggregation looks at all columns at once and returns a single row. Blank
-    text decides nothing and is NULL in a column that gets a type.
+    text decides nothing and is NULL in a column that gets a type. A column
+    of several types stays text; with mixed="variant" it is a VARIANT column in which each value has its
+    own type (bigint, double, boolean or string), read by `variant_get` and `schema_of_variant`.
     """
+    if mixed not in ("text", "variant"):
+        raise ValueError(f"auto_field: mixed must be 'text' or 'variant', got {mixed!r}")
 
     def step(df: DataFrame) -> DataFrame:
         wanted = require(df, names(columns) or df.columns, "auto_field")
@@ -133,11 +137,26 @@ def auto_field(columns=None) -> Step:
                 if found[f"{flag}{i}"]:
                     typed[c] = cast_value(df, c, target, "null")
                     break
+            else:
+                if mixed == "variant" and found[f"i{i}"] is not None:
+                    typed[c] = _own_type(ref(c))
         return df.withColumns(typed) if typed else df
 
     return step
 
 
+def _own_type(col: Column) -> Column:
+    """A text as a VARIANT of the type it reads as; NaN and infinities, which are numbers too, are doubles."""
+    def value(typed: Column) -> Column:
+        return F.variant_get(F.to_variant_object(F.array(typed)), "$[0]", "variant")
+
+    whole = F.when(col.rlike(INTEGER_PATTERN), col.try_cast("bigint"))
+    number = F.when(col.rlike(NUMBER_PATTERN), col.try_cast("double"))
+    truth = F.when(col.isin(*TRUE_WORDS), F.lit(True)).when(col.isin(*FALSE_WORDS), F.lit(False))
+    return F.when(whole.isNotNull(), value(whole)).when(number.isNotNull(), value(number)).when(truth.isNotNull(), value(truth)).when(
+        col.isNotNull(), value(col))
+
+
 def fillna(value, columns=None) -> Step:
     """Replace missing values (NULL, "", null, nan) by a constant of the column's type."""
     if value is None or value == "":

@@ -311,4 +311,9 @@ SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'finished' WH
 SELECT * FROM (SELECT o_orderkey, o_totalprice, 'sorted' AS step FROM orders ORDER BY o_orderkey LIMIT 5)
 UNION ALL SELECT * FROM (SELECT o_orderkey, o_totalprice, 'filtered' FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000)
   WHERE o_totalprice > 100000 ORDER BY o_orderkey LIMIT 5)""",
+    "auto_field_mixed": """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'bigint' WHEN 1 THEN 'double' WHEN 2 THEN 'boolean' ELSE 'string' END AS kind,
+  CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS BIGINT) WHEN 1 THEN CAST(trunc(p_retailprice) AS BIGINT) WHEN 2 THEN 1 END AS whole,
+  CASE WHEN p_partkey % 4 = 3 THEN p_name END AS words FROM part""",
+    "sketches_merged": "SELECT DISTINCT event_type, TRUE AS users_near, TRUE AS mid_near FROM events",
 }

@@ -869,3 +869,27 @@ def preview_steps(spark, folder):
     first = rl.preview(ordered, 5).withColumn("step", F.lit("sorted"))
     second = rl.preview(ordered.transform(rl.chain(rl.filter_rows("o_totalprice > 100000"), rl.sort("o_orderkey", limit=1000, unique_order=True))), 5)
     return first.unionByName(second.withColumn("step", F.lit("filtered")))
+
+
+@query
+def auto_field_mixed(spark, folder):
+    """Numbers, words and truths in one column, each value with its own type."""
+    df = table(spark, folder, "part").select("p_partkey", F.expr(
+        "case p_partkey % 4 when 0 then cast(p_size as string) when 1 then cast(p_retailprice as string) when 2 then 'true' else p_name end").alias("v"))
+    out = df.transform(rl.auto_field("v", mixed="variant"))
+    return out.select("p_partkey", F.lower(F.schema_of_variant("v")).alias("kind"), F.try_variant_get("v", "$", "bigint").alias("whole"),
+                      F.when(F.col("p_partkey") % 4 == 3, F.variant_get("v", "$", "string")).alias("words"))
+
+
+@query
+def sketches_merged(spark, folder):
+    """Sketches of the days, stored and merged by kind of event, are within three standard errors of the exact numbers."""
+    spec = "NUNIQUE(user_id) AS users, MEDIAN(value) AS mid"
+    events = table(spark, folder, "events").withColumn("day", F.to_date("ts"))
+    stored = written(events.transform(rl.sketch_groups("event_type,day", spec)), "sketches")
+    found = stored.transform(rl.chain(rl.merge_sketches("event_type", spec), rl.estimate_sketches(spec)))
+    exact = events.groupBy(F.col("event_type").alias("kind")).agg(
+        F.count_distinct("user_id").alias("n"), F.percentile("value", [0.48, 0.52]).alias("around"))
+    near = F.abs(F.col("users") - F.col("n")) <= F.greatest(0.048 * F.col("n"), F.lit(1))
+    return found.join(exact, F.col("event_type") == F.col("kind")).select(
+        "event_type", near.alias("users_near"), F.col("mid").between(F.col("around")[0], F.col("around")[1]).alias("mid_near"))
