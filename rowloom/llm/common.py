@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Say in a task that this worker process may keep things of `owner`, which `clear` drops; what others kept is dropped.
+
+    Workers serve one operator after the other, and together their tables would be too large.
+    """
+    for other in [o for o in _held if o != owner]:
+        _held.pop(other)()
+    _held[owner] = clear
+
+
 def prefix_sums(counts: dict) -> dict:
     """The sum of all values before each key, in the order of the keys."""
     total, out = 0, {}

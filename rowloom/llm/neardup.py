@@ -8,7 +8,7 @@ groups.
 
 Documents with equal sets are one node from the start. A tree begins with all
 nodes; at each branching a few minwise tokens are selected by the branch's own
-seed, and every member goes to the child of each selected token's value.
+seed from all that a set has, and every member goes to the child of each selected token's value.
 Similar sets share tokens, so with two tokens a branching the path of a pair
 at the threshold goes on with a probability of 0.89 per tree whatever its
 depth, and independent trees bring the miss of one pair under 1e-5.
@@ -17,8 +17,10 @@ Each level of all trees is a table (branch, node). Branches with one member
 are dropped. In every other one the members are compared with its hubs first,
 nodes that many members resemble (the text that copies were made from); what
 is confirmed on full sets joins components at once. Branches whose members are
-all in one component need no more work; in the other small branches all
-members of different components are compared; larger branches branch again.
+all in one component need no more work. In the other small branches a task finds
+the members that resemble a member of another component, and only those members, no pairs,
+leave it: a second task gets their texts, tests the pairs on full sets and gives the links that join
+components, at most one less than it has members. Larger branches branch again.
 After the first level, branches of medium size are cut in blocks and all block
 pairs are compared, and at DEEPEST levels all that are left, so that no
 candidate is lost.
@@ -41,21 +43,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import blocks, mix64, parts_of, text_of
+from .common import blocks, hold, mix64, parts_of, text_of
 from .links import components
 
 WORDS, SHARE = 5, 75
-#: Minwise tokens of a set, of which one byte each is kept for estimates; the first ones, kept whole, that branchings select from; trees.
-TOKENS, BRANCHING, TREES = 256, 32, 6
+#: Minwise tokens of a set, which branchings select from and of which one byte each serves for estimates; trees.
+TOKENS, TREES = 256, 6
 #: Share of equal bytes from which a pair is confirmed on full sets: 3.7 standard deviations under the threshold.
 LIKELY = 0.65
 #: Members of a branch that are compared with each other; of one that is compared block by block, after the first level; levels until all
-#: larger ones are; pairs that share a group in a confirmation.
+#: larger ones are; pairs that share a group in a confirmation with a hub.
 SMALL, MEDIUM, DEEPEST, TOGETHER = 256, 4096, 10, 48
+#: Members of a block whose bytes are compared with another block's; shingles of a block whose full sets are.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Words whose hashes a worker keeps; it changes no result.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
-SET = "doc_id long, key long, n long, tokens binary"
+SET = "doc_id long, digest binary, key long, n long, tokens binary, bytes binary"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,22 +110,26 @@ def minwise(sets: list[np.ndarray], tokens: int = TOKENS) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a 64-bit hash of the set), n and the minwise tokens of every row of (doc_id, text), written once."""
+    """doc_id, digest (of the text), key (a 64-bit hash of the set), n, the minwise tokens and their lowest bytes of every row of
+    (doc_id, text), written once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, texts in blocks(batches, 2_000_000):
+        hold("neardup", _words.clear)
+        for block, texts in blocks(batches, 1_000_000):
             found = [shingles(t) for t in texts]
             full = [i for i, s in enumerate(found) if len(s)]
             tokens = minwise([found[i] for i in full]).astype("<u4")
-            sketch = np.concatenate([np.ascontiguousarray(tokens[:, :BRANCHING]).view(np.uint8), (tokens & 0xFF).astype(np.uint8)], 1)
-            binary: list[bytes | None] = [None] * len(texts)
-            for i, row in zip(full, sketch, strict=True):
-                binary[i] = row.tobytes()
+            low = (tokens & 0xFF).astype(np.uint8)
+            whole: list[bytes | None] = [None] * len(texts)
+            lowest: list[bytes | None] = [None] * len(texts)
+            for i, row, least in zip(full, tokens, low, strict=True):
+                whole[i], lowest[i] = row.tobytes(), least.tobytes()
             yield pa.RecordBatch.from_arrays([
-                block.column(0), pa.array([set_key(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()),
-                pa.array(binary, pa.binary())], ["doc_id", "key", "n", "tokens"])
+                block.column(0), block.column(2), pa.array([set_key(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()),
+                pa.array(whole, pa.binary()), pa.array(lowest, pa.binary())], ["doc_id", "digest", "key", "n", "tokens", "bytes"])
 
-    return written(docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(work, SET), "sets")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.sha2("text", 256)).alias("digest"))
+    return written(rows.mapInArrow(work, SET), "sets")
 
 
 def set_key(found: np.ndarray) -> int | None:
@@ -138,13 +146,9 @@ def _children(branch: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         return np.stack([mix64(mix64(branch * GOLDEN + at.astype(np.uint64) + np.uint64(1)) + tokens[rows, at].astype(np.uint64)) for at in (first, second)], 1)
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 4 * BRANCHING + TOKENS)
-
-
-def _tokens(column: pa.Array) -> np.ndarray:
+def _bytes(column: pa.Array) -> np.ndarray:
     """A byte of every token, for estimates."""
-    return np.ascontiguousarray(_sketches(column)[:, 4 * BRANCHING:])
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), TOKENS)
 
 
 def branch_out(members: DataFrame, root: bool) -> DataFrame:
@@ -154,7 +158,7 @@ def branch_out(members: DataFrame, root: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, tokens = batch.column(1), np.ascontiguousarray(_sketches(batch.column(2))[:, :4 * BRANCHING]).view("<u4")
+            key, tokens = batch.column(1), np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(batch.num_rows, TOKENS)
             branch = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             trees = TREES if root else 1
             found = np.concatenate([_children(mix64(branch + np.uint64(t + 1)) if root else branch, tokens) for t in range(trees)], 1)
@@ -166,15 +170,15 @@ def branch_out(members: DataFrame, root: bool) -> DataFrame:
 
 def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose tokens agree often enough."""
-    tokens = sets.select("key", "tokens")
+    tokens = sets.select("key", "bytes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = (_tokens(batch.column(2)) == _tokens(batch.column(3))).mean(1) >= LIKELY
+                keep = (_bytes(batch.column(2)) == _bytes(batch.column(3))).mean(1) >= LIKELY
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    both = pairs.join(tokens.withColumnsRenamed({"key": "a", "tokens": "ta"}), "a").join(tokens.withColumnsRenamed({"key": "b", "tokens": "tb"}), "b")
+    both = pairs.join(tokens.withColumnsRenamed({"key": "a", "bytes": "ta"}), "a").join(tokens.withColumnsRenamed({"key": "b", "bytes": "tb"}), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
@@ -197,7 +201,7 @@ def by_branch(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.R
 
 
 def hubs(members: DataFrame) -> DataFrame:
-    """(a, b, branch, score): each member b of a block of a branch with the hub a that it resembles; members: block, branch, key, tokens.
+    """(a, b, branch, score): each member b of a block of a branch with the hub a that it resembles; members: block, branch, key, bytes.
 
     The member with the highest mean resemblance is the first hub; the next one is the best of those that no hub so far
     resembles. A member is paired once, so a block gives fewer rows than it has.
@@ -205,7 +209,7 @@ def hubs(members: DataFrame) -> DataFrame:
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         block, branch, key = (table.column(c).to_numpy() for c in ("block", "branch", "key"))
-        tokens = _tokens(table.column("tokens").combine_chunks())
+        tokens = _bytes(table.column("bytes").combine_chunks())
         cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
         two = cuts[:-1][np.diff(cuts) == 2]
         good = (tokens[two] == tokens[two + 1]).mean(1)
@@ -228,13 +232,13 @@ def hubs(members: DataFrame) -> DataFrame:
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "branch", "score"])
 
-    dealt = members.select("block", "branch", "key", "tokens").repartition(parts_of(members), "block").sortWithinPartitions("block", "key")
+    dealt = members.select("block", "branch", "key", "bytes").repartition(parts_of(members), "block").sortWithinPartitions("block", "key")
     return dealt.mapInArrow(lambda batches: by_branch(batches, pairs), "a long, b long, branch long, score double")
 
 
 def first_pairs(live: DataFrame, sets: DataFrame) -> DataFrame:
     """Likely pairs of members with hubs: within blocks of SMALL members, and of a larger branch with its best hub."""
-    tokens = sets.select("key", "tokens")
+    tokens = sets.select("key", "bytes")
     block = F.when(F.col("n") > SMALL, F.xxhash64("branch", F.pmod(F.xxhash64("key", F.lit("block")), F.ceil(F.col("n") / SMALL)))).otherwise(F.col("branch"))
     found = written(hubs(live.withColumn("block", block).join(tokens, "key")), "hubs")
     best = found.groupBy("branch").agg(F.max_by("a", "score").alias("a"))
@@ -244,78 +248,128 @@ def first_pairs(live: DataFrame, sets: DataFrame) -> DataFrame:
     return one.select("p.a", "p.b")  # the hub stays first, so that the pairs of one hub are confirmed together
 
 
-def compare_small(members: DataFrame) -> DataFrame:
-    """Likely pairs (a < b) of different components within each branch; members: branch, key, label, tokens. A branch's rows are few."""
+def open_members(members: DataFrame) -> DataFrame:
+    """(branch, key, label) of the members that resemble one of another component in their group; members: group, branch, key, label,
+    bytes. A group's rows are few, and no more rows leave than came."""
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        branch, key, label = (table.column(c).to_numpy() for c in ("branch", "key", "label"))
-        tokens = _tokens(table.column("tokens").combine_chunks())
-        starts = np.flatnonzero(np.concatenate([[True], branch[1:] != branch[:-1]]))
-        end = np.repeat(np.append(starts[1:], len(branch)), np.diff(np.append(starts, len(branch))))
-        left, a, b = np.arange(len(branch)), [], []
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        group, branch, key, label = (table.column(c).to_numpy() for c in ("group", "branch", "key", "label"))
+        tokens = _bytes(table.column("bytes").combine_chunks())
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        end = np.repeat(np.append(starts[1:], len(group)), np.diff(np.append(starts, len(group))))
+        left, is_open = np.arange(len(group)), np.zeros(len(group), bool)
         step = 1
         while True:
             left = left[left + step < end[left]]
             if not len(left):
                 break
-            other = left + step
-            i = np.flatnonzero(label[left] != label[other])
+            i = left[label[left] != label[left + step]]
+            i = i[~(is_open[i] & is_open[i + step])]
             for part in np.array_split(i, len(i) // 20_000 + 1):
-                good = part[(tokens[left[part]] == tokens[other[part]]).mean(1) >= LIKELY]
-                a.append(key[left[good]])
-                b.append(key[other[good]])
+                good = part[(tokens[part] == tokens[part + step]).mean(1) >= LIKELY]
+                is_open[good] = is_open[good + step] = True
             step += 1
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(c[is_open]) for c in (branch, key, label)], ["branch", "key", "label"])
+
+    dealt = members.select("group", "branch", "key", "label", "bytes").repartition(parts_of(members), "group").sortWithinPartitions("group")
+    return dealt.mapInArrow(lambda batches: by_branch(batches, compared), "branch long, key long, label long").distinct()
+
+
+def with_texts(needs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of `needs` (doc_id, ..) with the texts of their doc_id.
+
+    Before the texts are shuffled, rows that none needs are mostly left out by a table of at most 65,536 words of bits.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 22))
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    words = needs.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    texts = docs.select("doc_id", "text", slot.alias("slot")).withColumn("word", F.expr("slot div 64"))
+    texts = texts.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0).select(F.col("doc_id").alias("id"), "text")
+    return needs.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+
+
+def are_linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
+    if min(len(a), len(b)) * 100 < share * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= share * (len(a) + len(b) - common)
 
-    dealt = members.select("branch", "key", "label", "tokens").repartition(parts_of(members), "branch").sortWithinPartitions("branch")
-    return dealt.mapInArrow(lambda batches: by_branch(batches, pairs), "a long, b long").distinct()
+
+def joining_links(members: DataFrame, docs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """Links (a, b) between components, tested on full sets, that join what belongs together in each branch; members: branch, key, label.
+
+    A branch with many members, or with large sets, is cut in blocks of which every two meet in one task.
+    """
+    sized = members.join(sets.select("key", "doc_id", "n", "bytes"), "key")
+    sizes = members.join(sets.select("key", "n"), "key").groupBy("branch").agg(
+        F.greatest(F.ceil(F.count("*") / SMALL), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = blocked(sized.join(sizes, "branch"))
+    needs = written(rows.select("group", "key", "label", "doc_id", "bytes"), "needs")
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        hold("neardup", _words.clear)
+        found: dict[int, tuple[np.ndarray, int, bytes]] = {}
+        for key, label, low, text in zip(group["key"], group["label"], group["bytes"], group["text"], strict=True):
+            if key not in found and set_key(one := shingles(text)) == key:
+                found[key] = one, label, low
+        if not found:
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        keys, (full, labels, low) = list(found), zip(*found.values(), strict=True)
+        tokens = np.frombuffer(b"".join(low), np.uint8).reshape(len(keys), TOKENS)
+        parent = {x: x for x in labels}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        pairs = []
+        for i in range(len(keys) - 1):
+            alike = (tokens[i] == tokens[i + 1:]).mean(1)
+            near = np.flatnonzero(alike >= LIKELY)
+            pairs += zip(-alike[near], [i] * len(near), near + i + 1, strict=True)
+        out = []
+        for _, i, j in sorted(pairs):  # the likeliest first, so that many others need no test
+            a, b = top(labels[i]), top(labels[j])
+            if a != b and are_linked(full[i], full[j], share):
+                parent[a] = b
+                out.append((keys[i], keys[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return with_texts(needs, docs).select("group", "key", "label", "bytes", "text").groupBy("group").applyInPandas(work, "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
     """The pairs (a, b) whose full sets have an intersection of `share` % of the union.
 
     Pairs of one `a` are dealt to groups of about TOGETHER, to each of which
-    the texts are sent once. Before the texts are shuffled, rows that no pair
-    needs are mostly left out by a table of at most 65,536 words of bits.
+    the texts are sent once.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("groups"))
     dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"))
     members = dealt.select("a", "part", F.col("b").alias("key")).union(dealt.select("a", "part", F.col("a").alias("key")).distinct())
     needs = written(members.join(sets.select("key", "doc_id"), "key").select("doc_id", "key", "a", "part"), "needs")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 22))
-    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
-    words = needs.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    texts = docs.select("doc_id", "text", slot.alias("slot")).withColumn("word", F.expr("slot div 64"))
-    texts = texts.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0).select(F.col("doc_id").alias("id"), "text")
-    rows = needs.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).select("a", "part", "key", "text")
+    rows = with_texts(needs, docs).select("a", "part", "key", "text")
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
+        hold("neardup", _words.clear)
         a = int(group["a"].iloc[0])
         found: dict[int, np.ndarray] = {}
         for key, text in zip(group["key"], group["text"], strict=True):
             if key not in found and set_key(one := shingles(text)) == key:
                 found[key] = one
-        base = found[a]
-        good = []
-        for key, other in found.items():
-            if key == a:
-                continue
-            common = len(np.intersect1d(base, other, assume_unique=True)) if min(len(base), len(other)) * 100 >= share * max(len(base), len(other)) else 0
-            if 100 * common >= share * (len(base) + len(other) - common):
-                good.append(key)
+        good = [key for key, other in found.items() if key != a and are_linked(found[a], other, share)]
         return pd.DataFrame({"a": np.full(len(good), a, np.int64), "b": np.asarray(good, np.int64)})
 
     return rows.groupBy("a", "part").applyInPandas(work, "a long, b long")
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Branches (branch, key, label, n) as small ones: every pair of blocks of a branch is a branch."""
-    blocked = members.withColumn("blocks", F.ceil(F.col("n") / SMALL).cast("int"))
-    blocked = blocked.withColumn("i", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return blocked.withColumn("j", other).select(F.xxhash64("branch", F.least("i", "j"), F.greatest("i", "j")).alias("branch"), "key", "label")
+def blocked(members: DataFrame) -> DataFrame:
+    """Branches (branch, key, .., blocks) as groups: every pair of blocks of a branch is a group."""
+    rows = members.withColumn("i", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.where((F.col("blocks") == 1) | (F.col("i") != F.col("j")))  # a pair of blocks holds the pairs within each as well
+    return rows.withColumn("group", F.xxhash64("branch", F.least("i", "j"), F.greatest("i", "j"))).drop("i", "j", "blocks")
 
 
 def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
@@ -333,13 +387,14 @@ def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, Data
         labelled = named(live, groups, "key", "label")
         open_ = labelled.groupBy("branch").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("branch")
         labelled = written(labelled.join(open_, "branch"), "open")
-        small = labelled.where(F.col("n") <= SMALL).select("branch", "key", "label")
         most = SMALL if depth == 1 < DEEPEST else MEDIUM
         large = labelled.where(F.col("n") > most) if depth < DEEPEST else None
-        if depth == DEEPEST or depth > 1:
-            medium = F.col("n") > SMALL
-            small = small.union(block_pairs(labelled.where(medium if large is None else medium & (F.col("n") <= most))))
-        links, groups = _grow(links, groups, tested, compare_small(small.join(sets.select("key", "tokens"), "key")), docs, sets)
+        compared = labelled if large is None else labelled.where(F.col("n") <= most)
+        groups_ = blocked(compared.select("branch", "key", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+        opened = written(open_members(groups_.join(sets.select("key", "bytes"), "key")), "open-members")
+        if not opened.isEmpty():
+            found = written(joining_links(opened, docs, sets), "links")
+            links, groups = _joined(links, groups, found)
         if large is None or large.isEmpty():
             break
         level = branch_out(large.join(sets.select("key", "tokens"), "key").select("branch", "key", "tokens"), False)
@@ -369,7 +424,11 @@ def _grow(links: DataFrame | None, groups: DataFrame | None, tested: list[DataFr
     tested.append(pairs)
     if pairs.isEmpty():
         return links, groups
-    found = written(confirm(pairs, docs, sets), "links")
+    return _joined(links, groups, written(confirm(pairs, docs, sets), "links"))
+
+
+def _joined(links: DataFrame | None, groups: DataFrame | None, found: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The links with those found, and the components that they form."""
     if found.isEmpty():
         return links, groups
     links = found if links is None else links.union(found)
@@ -379,16 +438,14 @@ def _grow(links: DataFrame | None, groups: DataFrame | None, tested: list[DataFr
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id of its group), kept."""
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id of its group), kept, digest (of the text) and group (a number of
+    the component, null without words), by which rows that share a doc_id can be told apart."""
     rows = text_of(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("long"))
     every = sets_of(rows)
-    sets = written(every.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens")), "nodes")
+    sets = written(every.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens"), F.min("bytes").alias("bytes"), F.min("n").alias("n")), "nodes")
     _, groups = near_links(rows, sets)
-    if groups is None:
-        least = sets.select("key", F.col("doc_id").alias("component_id"))
-    else:
-        labelled = named(sets.select("key", "doc_id"), groups, "key", "label")
-        least = labelled.join(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("key", "component_id")
-    out = every.select("doc_id", "n", "key").join(written(least, "named"), "key", "left")
+    labelled = named(sets.select("key", "doc_id"), groups, "key", "label")
+    least = labelled.join(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("key", "component_id", F.col("label").alias("group"))
+    out = every.select("doc_id", "digest", "n", "key").join(written(least, "named"), "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest", "group")

@@ -43,7 +43,7 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.near_dedup(_read(spark, folder, "documents"))
+    return neardup.near_dedup(_read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -101,6 +101,7 @@ def test_near_dedup(docs, monkeypatch, small, deepest):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "DEEPEST", deepest)
     monkeypatch.setattr(neardup, "MEDIUM", 2 * small)
+    monkeypatch.setattr(neardup, "BLOCK", 2 * small)
     odd = [(i if i is None else 10_000 + i, t) for i, t in ODD if (i, t) != (6, ODD[6][1])]
     rows = [*near_rows(small, 12, 14), *odd]
     got = neardup.near_dedup(docs(*rows)).collect()
