@@ -15,7 +15,7 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer
 
-from .common import ragged
+from .common import hold, ragged
 
 #: Chunks that a worker keeps from block to block; later ones are forgotten after their block. It changes no result.
 KEPT_CHUNKS = 800_000
@@ -151,6 +151,7 @@ class Chunked(dict):
 
 def encoder(path: str) -> Chunked:
     """The worker's table for one tokenizer file."""
+    hold("tokens", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Chunked(path)
     return _loaded[path]
