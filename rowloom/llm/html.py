@@ -55,10 +55,12 @@ ALONE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 #: Elements whose content is no text of the page; those of which an unclosed one runs to the page's end.
 SILENT = "script|style|textarea|template|svg|iframe|title"
 TO_END = frozenset(("script", "style", "textarea"))
-ATTRIBUTES = """(?:[^>"']|"[^"]*"|'[^']*')*"""
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])(?:{ATTRIBUTES}|[^>]*)>|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>|<[!?/][^>]*>|([^<]+|<)""",
-                   re.DOTALL | re.IGNORECASE)
+#: A tag as nearly all are written, with nothing in it that could begin another; others are read by `Tags`.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><"']*)(?=[\s/>])((?:[^>"'<]|"[^"<>]*"|'[^'<>]*')*+)>""")
+NAME_END, SPECIAL = re.compile(r"[\s/>]"), re.compile("[>\"']")
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in SILENT.split("|")}
+#: Names of a path that are kept: the outermost half and the innermost one.
+PATH_NAMES = 512
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 #: Names by which the teacher tells boilerplate and content, as words of tags, classes, ids and roles.
@@ -69,68 +71,142 @@ MAIN = frozenset("article main post entry story content".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+class Tags:
+    """Ends of the odd tags of a page. What was looked for once is not looked for again, so a page is read in linear time."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.near = {NAME_END: -1, SPECIAL: -1}
+        self.lost: set[int] = set()  # quotes from which no end is reached
+
+    def _next(self, kind: re.Pattern, here: int) -> int:
+        """The next place of a kind from `here` on, which grows from call to call; the page's length if there is none."""
+        if self.near[kind] < here:
+            m = kind.search(self.page, here)
+            self.near[kind] = m.start() if m else len(self.page)
+        return self.near[kind]
+
+    def end(self, here: int) -> int:
+        """The `>` that ends a tag whose attributes begin at `here`, outside their quotes, or -1."""
+        at, seen = self._next(SPECIAL, here), []
+        while at < len(self.page):
+            quote = self.page[at]
+            if quote == ">":
+                return at
+            if at in self.lost or at >= self.last[quote]:
+                break
+            seen.append(at)
+            m = SPECIAL.search(self.page, self.page.index(quote, at + 1) + 1)
+            at = m.start() if m else len(self.page)
+        self.lost.update(seen)
+        return -1
+
+    def read(self, here: int) -> tuple[int, str, str, str, bool]:
+        """(end, slash, name, attributes, whether it is a tag) of what begins with the `<` at `here`."""
+        page, slash = self.page, "/" if self.page.startswith("</", here) else ""
+        first = here + 1 + len(slash)
+        if page.startswith("<!--", here):
+            end = page.find("-->", here + 4)
+            return (end + 3 if end >= 0 else len(page)), "", "", "", False
+        if first < len(page) and page[first].isascii() and page[first].isalpha():
+            after = self._next(NAME_END, first)
+            end = self.end(after) if after < len(page) else -1
+            if end < 0 and not slash and after - first < 10 and page[first:after].lower() in ENDS and self.last[">"] >= after:
+                end = page.index(">", after)
+            if end >= 0:
+                return end + 1, slash, page[first:after], page[after:end], True
+        if page[here + 1:here + 2] in ("!", "?", "/") and self.last[">"] > here:
+            return page.index(">", here + 2) + 1 if self.last[">"] >= here + 2 else here + 1, "", "", "", False
+        return here + 1, "", "", "<", False
+
+
+def longer(path: tuple[str, ...], names: list[str]) -> tuple[str, ...]:
+    """A path with the further names that it lacks."""
+    for name in names:
+        if name not in path:
+            path = (*path, name) if len(path) < PATH_NAMES else (*path[:PATH_NAMES // 2], *path[PATH_NAMES // 2 + 1:], name)
+    return path
+
+
 def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(tag path, text, characters inside links) of every block that has text, in page order."""
+    """(different names of the tag path, text, characters inside links) of every block that has text, in page order."""
     out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []  # tag, path, place of the block-level element that it is or lies in
+    counts: dict[str, int] = {}
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
+    tags = Tags(page)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(markup.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(n for _, names in stack for n in names), text, min(linked, len(text))))
+                out.append((stack[-1][1] if stack else (), text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def cut(at: int) -> None:
+        for tag, _, _ in stack[at:]:
+            counts[tag] -= 1
+        del stack[at:]
+
     here = 0
     unclosed: set[str] = set()  # silent tags that are closed nowhere in the rest of the page
     while here < len(page):
-        m = TOKEN.match(page, here)
-        here = m.end()
-        silent, closing, tag, attributes, text = m.groups()
-        if silent:
-            silent = silent.lower()
-            if silent in BLOCK_TAGS:
+        start = page.find("<", here)
+        if start != here:  # text up to the next tag
+            text, here = page[here:start if start >= 0 else len(page)], start if start >= 0 else len(page)
+            parts.append(text)
+            linked += len(text) if counts.get("a") else 0
+            continue
+        m = TAG.match(page, here)
+        if m:
+            end, is_tag, (slash, tag, attributes) = m.end(), True, m.groups()
+        else:
+            end, slash, tag, attributes, is_tag = tags.read(here)
+        closed = page[end - 2:end] == "/>"
+        here = end
+        if not is_tag:
+            if attributes:  # a bare <
+                parts.append(attributes)
+                linked += 1 if counts.get("a") else 0
+            continue
+        tag = tag.lower()
+        if not slash and tag in ENDS:
+            if tag in BLOCK_TAGS:
                 flush()
-            if silent not in unclosed and (silent in TO_END or not m[0].endswith("/>")):
-                close = ENDS[silent].search(page, here)
+            if tag not in unclosed and (tag in TO_END or not closed):
+                close = ENDS[tag].search(page, here) if tags.last[">"] >= here else None
                 if close:
                     here = close.end()
-                elif silent in TO_END:
+                elif tag in TO_END:
                     here = len(page)
                 else:  # read on after the tag
-                    unclosed.add(silent)
-            continue
-        if text is not None:
-            parts.append(text)
-            linked += len(text) if links else 0
-            continue
-        if tag is None:
+                    unclosed.add(tag)
             continue
-        tag = tag.lower()
         if tag in BLOCK_TAGS:
             flush()
-        if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                links -= sum(t == "a" for t, _ in stack[at:])
-                del stack[at:]
+        if slash:
+            if counts.get(tag):
+                at = len(stack) - 1
+                while stack[at][0] != tag:
+                    at -= 1
+                cut(at)
             continue
         shut = ALONE.get(tag)
-        if shut:  # also through inline tags that were left open
-            at = len(stack) - 1
-            while at >= 0 and (stack[at][0] in shut or stack[at][0] not in BLOCK_TAGS):
-                at -= 1
-            cut = next((i for i in range(at + 1, len(stack)) if stack[i][0] in shut), len(stack))
-            links -= sum(t == "a" for t, _ in stack[cut:])
-            del stack[cut:]
-        if tag not in VOID and not (attributes or "").rstrip().endswith("/"):
-            names = [w for g in NAMES.findall(attributes or "") for w in re.split(r"[\s_\-]+", "".join(g).lower()) if w]
-            stack.append((tag, (tag, *names)))
-            links += tag == "a"
+        if shut and stack:  # also through inline tags that were left open
+            at, low = stack[-1][2], None
+            while at >= 0 and stack[at][0] in shut:
+                low, at = at, stack[at - 1][2] if at else -1
+            if low is not None:
+                cut(low)
+        if tag not in VOID and not attributes.rstrip().endswith("/"):
+            names = [w for g in NAMES.findall(attributes) for w in re.split(r"[\s_\-]+", "".join(g).lower()) if w]
+            block_at = len(stack) if tag in BLOCK_TAGS else stack[-1][2] if stack else -1
+            stack.append((tag, longer(stack[-1][1] if stack else (), [tag, *names]), block_at))
+            counts[tag] = counts.get(tag, 0) + 1
     flush()
     return out
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import re
 
 import numpy as np
@@ -162,6 +163,17 @@ def test_silent_elements_do_not_swallow_the_page():
     assert len(texts("<svg><p>x" * 20_000)) == 20_000
 
 
+@pytest.mark.parametrize("page,blocks", [
+    ('<b "x' * 200_000, 1), ("<p>it's <a b=' c " * 60_000, None), ("<div>" * 60_000 + "<p>x" * 60_000, 60_000), ("<b" * 400_000, 1),
+    ("<b>" * 100_000 + "<p>x" * 100_000, 100_000), ("<b \"'" * 200_000, 1), ("</x>" * 100_000 + "<i>" * 100_000 + "</x>" * 100_000, 0),
+    ("".join(f'<div class="c{i}">t' for i in range(40_000)), 40_000), ("<!" * 400_000, 1), ("<svg " * 200_000, 1), ("</p" * 300_000, 1)])
+def test_odd_pages_are_read_in_linear_time(page, blocks):
+    """About a megabyte each; every one of them used to take minutes or hours."""
+    start = time.time()
+    found = html.leaves(page)
+    assert time.time() - start < 8 and (blocks is None or len(found) == blocks)
+
+
 def test_gradient_is_the_losss_slope():
     pages = [html.leaves(PAGE), html.leaves("<main><p>x</p></main>")]
     marks = [html.teacher(p) for p in pages]
