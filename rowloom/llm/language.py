@@ -138,9 +138,11 @@ def fit(labelled: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, least
     The sample's ids are chosen first, without the texts; only counts reach the driver.
     """
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
+    if usable.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     order_by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order_by)).where(F.col("r") <= fit_rows).select("doc_id", "lang")
-    sample = usable.join(F.broadcast(chosen.limit(fit_rows * MOST_LANGUAGES)), ["doc_id", "lang"]).select("lang", "text")
+    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")  # at most fit_rows for each of MOST_LANGUAGES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -156,8 +158,6 @@ def fit(labelled: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, least
     for r in rows.where(F.col("n") >= least).toLocalIterator():
         trees.setdefault(r["lang"], {})[r["gram"] & 0xFFFFFFFFFFFFFFFF] = r["n"]
     names = sorted(trees)
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return Model(names, order, [trees[n] for n in names])
 
 
