@@ -105,5 +105,6 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
-    assert {n for n in entry.oracle_sql() if n.startswith("op")} == {"op4_top_k", "op5_exact_dedup", "op6_minhash_dedup", "op8_warc"}
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
+    assert {n for n in entry.oracle_sql() if n.startswith("op")} == {
+        "op4_top_k", "op5_exact_dedup", "op6_minhash_dedup", "op8_warc", "op11_spelling_variants", "op12_conversation_repair"}
