@@ -7,6 +7,8 @@ import random
 import pytest
 
 import corpus_pipeline
+from rowloom.session import _folders
+
 from odd_rows import ODD
 from test_duplicates import LOWER, near_rows
 
@@ -65,11 +67,9 @@ def test_a_full_table_of_bits_changes_nothing(docs, monkeypatch, most):
 
 
 def test_only_the_decisions_stay_on_disk(spark, docs):
-    from rowloom import session
-
-    before = list(session._folders)
+    before = list(_folders)
     corpus_pipeline.exact_copies(spark, docs((1, "a"), (2, "a"), (3, "b")), "").collect()
-    assert [f.rsplit("/", 1)[1].split("-")[0] for f in session._folders if f not in before] == ["marks"]
+    assert [f.rsplit("/", 1)[1].split("-")[0] for f in _folders if f not in before] == ["marks"]
 
 
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
