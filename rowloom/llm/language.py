@@ -35,6 +35,8 @@ ORDER = 3
 FIT_ROWS, MOST_LANGUAGES = 300, 200
 #: Sequences of ORDER + 1 bytes that a language's sample has more seldom leave no trace in its tree.
 LEAST_COUNT = 2
+#: Sampled texts of a language below which single occurrences are kept as well, so that a rare language has a tree.
+FEW_ROWS = 20
 UNKNOWN = "und"
 
 
@@ -155,7 +157,8 @@ def fit(labelled: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, least
 
     rows = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     trees: dict[str, dict[int, int]] = {}
-    for r in rows.where(F.col("n") >= least).toLocalIterator():
+    few = [r["lang"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") < FEW_ROWS).collect()]
+    for r in rows.where((F.col("n") >= least) | F.col("lang").isin(few)).toLocalIterator():
         trees.setdefault(r["lang"], {})[r["gram"] & 0xFFFFFFFFFFFFFFFF] = r["n"]
     names = sorted(trees)
     return Model(names, order, [trees[n] for n in names])

@@ -65,6 +65,17 @@ def test_language_of_odd_rows(docs):
     assert language.accepted(docs(*ODD, *learn), 0.4).columns == docs().columns
 
 
+def test_a_rare_language_has_a_tree(spark):
+    """One short labelled text is enough, and too many labels are refused before any is left out."""
+    rows = [(i, "the cat sat on the mat with the hat", "en") for i in range(60)] + [(i, "żółw źdźbło łąka", "pl") for i in (61, 62, 63, 64, 65, 66, 67, 68)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.lang_pred) for r in language.identify(table).collect()}
+    assert {p for i, p in got if i > 60} == {"pl"} and {p for i, p in got if i < 60} == {"en"}
+    many = spark.range(5000).select("id", F.lit("a b").alias("text"), (F.col("id") % 900).cast("string").alias("lang")).withColumnRenamed("id", "doc_id")
+    with pytest.raises(ValueError, match="languages"):
+        language.identify(many)
+
+
 def brute_spans(text):
     """The rules as they are stated: all matches, then those that are too short dropped."""
     out = []
