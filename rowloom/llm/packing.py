@@ -34,6 +34,8 @@ PIECES = "part int, local_sequence long, tier int, tier_rank long, offset long,
 BLOCK_IDS = 1_500_000
 #: Rows of bases (parts times tiers) that are broadcast: 4 MB.
 MOST_BASES = 100_000
+#: Chunks of text that a worker keeps encoded; in the pipeline it shares its memory with an executor that has run four stages.
+KEPT = 400_000
 #: Ids of one step group.
 STEP_IDS = 1 << 20
 
@@ -163,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, key:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        table = encoder(tokenizer)
+        table = encoder(tokenizer, KEPT)
         done = {"sequences": 0}
         ranks: dict[int, int] = {}
         held: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []

@@ -45,6 +45,7 @@ class Chunked(dict):
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
         self.used = self.number = 0
+        self.kept: int | None = None
         self._begin()
 
     def whole(self, text: str) -> np.ndarray:
@@ -137,7 +138,7 @@ class Chunked(dict):
         sums = np.concatenate([[0], np.cumsum(lengths)])
         first, last = sums[ends - counts], sums[ends]
         many = self.number + len(self.waiting) + len(self.joined)
-        if many > KEPT_CHUNKS:
+        if many > min(KEPT_CHUNKS, self.kept or KEPT_CHUNKS):
             for chunk in self.added:
                 del self[chunk]
         else:
@@ -149,11 +150,12 @@ class Chunked(dict):
         return np.concatenate(parts), np.asarray([len(p) for p in parts], np.int64)
 
 
-def encoder(path: str) -> Chunked:
-    """The worker's table for one tokenizer file."""
+def encoder(path: str, kept: int | None = None) -> Chunked:
+    """The worker's table for one tokenizer file; `kept`: chunks that it keeps, where KEPT_CHUNKS are too many."""
     hold("tokens", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Chunked(path)
+    _loaded[path].kept = kept
     return _loaded[path]
 
 
