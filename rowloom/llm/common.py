@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,19 +33,19 @@ def text_of(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], chars: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Arrow batches cut so that a block's texts have about `chars` characters; a longer text is a block by itself."""
+    """Arrow batches cut so that a block's texts have about `chars` characters; a longer text is a block by itself. Only its texts are Python's."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        column = batch.column(batch.schema.get_field_index(text))
         start, size = 0, 0
-        for i, one in enumerate(texts):
-            n = len(one or "")
+        for i, n in enumerate(pc.utf8_length(column).fill_null(0).to_pylist()):
             if i > start and size + n > chars:
-                yield batch.slice(start, i - start), texts[start:i]
+                yield batch.slice(start, i - start), column.slice(start, i - start).to_pylist()
                 start, size = i, 0
             size += n
-        yield batch.slice(start), texts[start:]
+        yield batch.slice(start), column.slice(start).to_pylist()
+        del batch, column  # before the next one is read
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -64,11 +65,19 @@ def hold(owner: str, clear: Callable[[], None]) -> None:
 
     Workers serve one operator after the other, and together their tables would be too large.
     """
-    for other in [o for o in _held if o != owner]:
-        _held.pop(other)()
+    let_go(owner)
     _held[owner] = clear
 
 
+def let_go(but: str = "") -> None:
+    """Say in a task that this worker process needs nothing that operators other than `but` kept."""
+    others = [o for o in _held if o != but]
+    for other in others:
+        _held.pop(other)()
+    if others:
+        pa.default_memory_pool().release_unused()
+
+
 def prefix_sums(counts: dict) -> dict:
     """The sum of all values before each key, in the order of the keys."""
     total, out = 0, {}

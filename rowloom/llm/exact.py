@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import blocks, mix64, text_of
+from .common import blocks, let_go, mix64, text_of
 
 #: Distinct digests of a shard, about, and rows looked up by one task group.
 SHARD_DIGESTS, CHUNK_ROWS = 1000, 4096
@@ -115,6 +115,7 @@ def digests_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """doc_id and digest of every row, written once: the texts are read a single time."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for block, texts in blocks(batches, 8_000_000):
             found = [hashlib.sha256(t.encode("utf-8", "surrogatepass").lower()).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(found, pa.binary())], ["doc_id", "digest"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, let_go
 
 #: Longest context in bytes; at most 7.
 ORDER = 3
@@ -147,6 +147,7 @@ def fit(labelled: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, least
     sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")  # at most fit_rows for each of MOST_LANGUAGES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
                 found: Counter[int] = Counter()
@@ -175,6 +176,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     model = fit(rows.where(~held_out()), **options)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for block, texts in blocks(batches, 1_000_000):
             found, score = model.predict(texts)
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(found), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
@@ -188,6 +190,7 @@ def accepted(docs: DataFrame, least_score: float, key: str = "doc_id", text: str
     model = fit(rows.where(~held_out()), **options)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for block, texts in blocks(batches, 1_000_000, text):
             yield block.filter(pa.array([p != UNKNOWN and s >= least_score for p, s in zip(*model.predict(texts), strict=True)], pa.bool_()))
 

@@ -172,6 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, key:
             ids, counts = table.encode(texts)
             full = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
             held.append((block.column(0).to_pylist(), full, counts + 1))
+            del block, texts, ids  # else the next batch is read beside this one
             waiting += len(full)
             if waiting >= BLOCK_IDS:
                 yield rows(part, held, done, ranks)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_of
+from .common import blocks, let_go, text_of
 
 # The kinds in their order, their patterns, and the least length of a match (of group 2 for assign).
 KINDS = ("assign", "access", "hex", "field")
@@ -275,6 +275,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Field | None:
     span = 2 * SIDE + 1
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         held, seen = Tokens(), set()
         for batch in batches:
             found = []
@@ -374,6 +375,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int
     field = fit(rows, fit_rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held = Tokens()
         for block, texts in blocks(batches, 2_000_000):
             found = spans_of(texts, field, held)
@@ -393,6 +395,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held = Tokens()
         for block, texts in blocks(batches, 2_000_000, text):
             found = spans_of([t or "" for t in texts], field, held)

@@ -1,14 +1,16 @@
 """Token ids of whole texts with a public tokenizer file.
 
 A tokenizer of the byte-level or word-end BPE kind never joins characters
-over the point where a visible character meets a blank, nor a letter with a
-comma or full stop, so a text's ids are those of its chunks in order. Each
-distinct chunk is encoded once and kept; the ids of a text are gathered from
-that table. Texts with unusual blanks are encoded in one piece.
+over the point where a visible character meets a blank, nor a letter with the
+marks that end a word, so a text's ids are those of its chunks in order. Each
+distinct chunk is encoded once and kept while it is among the most used; the
+ids of a text are gathered from that table. Texts with unusual blanks are
+encoded in one piece.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 
@@ -17,14 +19,18 @@ from tokenizers import Tokenizer
 
 from .common import hold, ragged
 
-#: Chunks that a worker keeps from block to block; later ones are forgotten after their block. It changes no result.
-KEPT_CHUNKS = 800_000
+#: Chunks that a worker keeps from block to block; beyond that, the most used half stays. It changes no result.
+KEPT_CHUNKS = 400_000
+#: Missing chunks that are encoded at once, as the tokenizer's answers are far larger than the ids, and characters whose ids are gathered at once.
+BATCH_CHUNKS, BATCH_CHARS = 4096, 1_000_000
 #: Texts of about so many characters are encoded at once.
 BLOCK_CHARS = 3_000_000
 #: Blanks that Python and a tokenizer's pattern may see differently.
 ODD_BLANK = re.compile(r"[^\S \n]")
 #: Runs of blanks, in which the cut before a chunk would not be the tokenizer's own.
 RUNS = ("  ", " \n", "\n ", "\n\n")
+#: Marks after a word's last letter that are chunks by themselves.
+ENDS = ",.;:!?)]}\"%&$#*"
 #: Marks a chunk that no blank precedes.
 BARE = "\x02"
 ODD = -1
@@ -32,11 +38,18 @@ ODD = -1
 _loaded: dict[str, Chunked] = {}
 
 
+def ends_in_letter(text: str) -> bool:
+    """Also once a tokenizer has normalised it: some letters become a letter and a mark, which goes with the marks that follow."""
+    last = text[-1:]
+    return last.isalpha() and (last.isascii() or unicodedata.normalize("NFC", last).lower()[-1].isalpha())
+
+
 class Chunked(dict):
     """Chunk -> its number in a growing flat table of ids."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread keeps memory of its own
         self.tokenizer = Tokenizer.from_file(path)
         self.lowers = self.whole("Ab Zq").tolist() == self.whole("ab zq").tolist()
         #: Blanks leave no ids, so they need no place in a chunk.
@@ -44,6 +57,7 @@ class Chunked(dict):
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int64)
         self.used = self.number = 0
         self._begin()
 
@@ -52,7 +66,6 @@ class Chunked(dict):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _begin(self) -> None:
-        self.added: list[str] = []
         self.waiting: list[str] = []
         self.waiting_at: list[int] = []
         self.joined: list[tuple[int, int, int]] = []
@@ -60,8 +73,8 @@ class Chunked(dict):
     def __missing__(self, chunk: str) -> int:
         if not self.blankless and (ODD_BLANK.search(chunk) or BARE in chunk[1:]):
             here = ODD
-        elif len(chunk) > 2 and chunk[-1] in ",." and chunk[-2].isalpha():
-            head, tail = self[chunk[:-1]], self[chunk[-1] if self.blankless else BARE + chunk[-1]]
+        elif (word := chunk.rstrip(ENDS)) != chunk and len(word) > 1 and ends_in_letter(word):
+            head, tail = self[word], self[chunk[len(word):] if self.blankless else BARE + chunk[len(word):]]
             here = self.number + len(self.waiting) + len(self.joined)
             self.joined.append((here, head, tail))
         else:
@@ -69,25 +82,25 @@ class Chunked(dict):
             self.waiting.append(chunk if self.blankless or chunk[:1] == "\n" else chunk[1:] if chunk[:1] == BARE else " " + chunk)
             self.waiting_at.append(here)
         self[chunk] = here
-        self.added.append(chunk)
         return here
 
     def _room(self, ids: int) -> None:
         while self.number + len(self.waiting) + len(self.joined) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.uses))
         while ids > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
 
     def _fill(self) -> int:
         """Encode what is missing; the table's new length in ids."""
         used = self.used
-        if self.waiting:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.waiting, add_special_tokens=False)]
+        for at in range(0, len(self.waiting), BATCH_CHUNKS):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.waiting[at:at + BATCH_CHUNKS], add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
             self._room(used + len(flat))
             self.flat[used:used + len(flat)] = flat
-            self.start[self.waiting_at], self.length[self.waiting_at] = used + np.cumsum(lengths) - lengths, lengths
+            here = self.waiting_at[at:at + BATCH_CHUNKS]
+            self.start[here], self.length[here] = used + np.cumsum(lengths) - lengths, lengths
             used += len(flat)
         if self.joined:
             self._room(used)
@@ -112,8 +125,35 @@ class Chunked(dict):
             return None
         return (BARE + text.replace("\n", " \n")).split(" ")
 
+    def _forget(self) -> None:
+        """Keep the most used half of KEPT_CHUNKS, of equally used ones the newest; earlier uses count half from here on."""
+        kept = np.sort(np.argsort(self.uses[:self.number], kind="stable")[::-1][:KEPT_CHUNKS // 2])
+        place = np.full(self.number, ODD, np.int64)
+        place[kept] = np.arange(len(kept))
+        numbers = place.tolist()
+        stay = {chunk: numbers[n] for chunk, n in self.items() if n != ODD and numbers[n] != ODD}
+        self.clear()
+        self.update(stay)
+        lengths = self.length[kept]
+        flat = self.flat[ragged(self.start[kept], lengths)]
+        uses = self.uses[kept] // 2
+        self.number, self.used = len(kept), len(flat)
+        self.uses[:] = 0
+        self.flat[:self.used], self.length[:self.number], self.uses[:self.number] = flat, lengths, uses
+        self.start[:self.number] = np.cumsum(lengths) - lengths
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each."""
+        cuts, size = [0], 0
+        for i, text in enumerate(texts):
+            if i > cuts[-1] and size + len(text) > BATCH_CHARS:
+                cuts.append(i)
+                size = 0
+            size += len(text)
+        found = [self._encode(texts[a:b]) for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True)]
+        return np.concatenate([ids for ids, _ in found]), np.concatenate([counts for _, counts in found])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         numbers: list[int] = []
         counts = np.zeros(len(texts), np.int64)
         alone: dict[int, np.ndarray] = {}
@@ -136,13 +176,11 @@ class Chunked(dict):
         ids = self.flat[ragged(self.start[at], lengths)]
         sums = np.concatenate([[0], np.cumsum(lengths)])
         first, last = sums[ends - counts], sums[ends]
-        many = self.number + len(self.waiting) + len(self.joined)
-        if many > KEPT_CHUNKS:
-            for chunk in self.added:
-                del self[chunk]
-        else:
-            self.number, self.used = many, used
+        self.number, self.used = self.number + len(self.waiting) + len(self.joined), used
         self._begin()
+        self.uses[:self.number] += np.bincount(at[at != ODD], minlength=self.number)
+        if len(self) > KEPT_CHUNKS:
+            self._forget()
         if not alone:
             return ids, last - first
         parts = [alone[i] if i in alone else ids[a:b] for i, (a, b) in enumerate(zip(first, last, strict=True))]

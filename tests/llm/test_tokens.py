@@ -7,13 +7,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rowloom.llm import idfiles, packing, pieces, tokens
+from rowloom.llm import common, idfiles, packing, pieces, tokens
 
 from odd_rows import ODD
 
@@ -43,6 +44,45 @@ def test_a_full_table_changes_nothing(monkeypatch):
         assert table.encode([text])[0].tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@pytest.mark.parametrize("text", ["Σİ.", "Σİ, a", "Σ\u0958.", "word)...\" Word?! (a) it's.\" <|endoftext|>. x<|endoftext|>.", "9. é;: 'a'. $a$ a.b."])
+def test_marks_after_a_word_are_cut_off_only_where_the_tokenizer_cuts(path, text):
+    table = tokens.Chunked(path)
+    assert table.encode([text])[0].tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_a_full_table_keeps_the_most_used_chunks(path, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_CHUNKS", 60)
+    monkeypatch.setattr(tokens, "BATCH_CHUNKS", 7)
+    monkeypatch.setattr(tokens, "BATCH_CHARS", 40)
+    table = tokens.Chunked(path)
+    table.encode([" ".join(f"early{i}" for i in range(60))])
+    for turn in range(40):
+        texts = [f"often, {turn}x often. {turn}y", "", f"{turn}z often\n{turn}é."]
+        ids, counts = table.encode(texts)
+        ends = np.cumsum(counts)
+        assert [ids[e - n:e].tolist() for e, n in zip(ends, counts)] == [table.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(table) <= 60
+        assert turn < 2 or sum("often" in chunk for chunk in table) >= 3
+    assert not any("early" in chunk for chunk in table)
+
+
+def test_a_worker_lets_go_of_the_tables_of_the_operator_before():
+    tokens.encoder(WORDS)
+    common.let_go("tokens")
+    assert tokens._loaded
+    common.let_go()
+    assert not tokens._loaded
+
+
+def test_blocks_cut_batches_by_characters():
+    texts = ["aaaa", None, "ééé", "", "x" * 20, "b", None]
+    batch = pa.record_batch({"k": pa.array(range(7)), "text": pa.array(texts, pa.string())})
+    found = [(b.column(0).to_pylist(), t) for b, t in common.blocks([batch, batch.slice(0, 0), batch.slice(2, 2)], 7)]
+    assert found == [([0, 1, 2, 3], texts[:4]), ([4], texts[4:5]), ([5, 6], texts[5:]), ([2, 3], texts[2:4])]
+
+
 def test_files_hold_every_id_in_order(docs):
     shards, _ = idfiles.write_ids(docs(*ODD), BYTES, 2, shards=4)
     rows = idfiles.read_ids(shards).orderBy("start").collect()
