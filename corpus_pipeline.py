@@ -22,6 +22,9 @@ from rowloom.session import delete_folder, scratch, written
 LEAST_SCORE = 0.4
 
 
+#: Encoded chunks that a worker keeps while it packs: few, as executors still hold memory of the stages before.
+KEPT_CHUNKS = 100_000
+
 #: Slots of the table that tells which rows a decision may concern: at least, at most, and for each such row.
 LEAST_SLOTS, MOST_SLOTS, SLOTS_PER_ROW = 1 << 16, 1 << 25, 16
 
@@ -100,7 +103,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 ids."""
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, kept_chunks=KEPT_CHUNKS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 

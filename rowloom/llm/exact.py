@@ -138,7 +138,8 @@ def extend(history: History | None, digests: DataFrame) -> History:
     groups = digests.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("size"))
     if history is None:
         groups = written(groups, "digest-groups")
-        history = History(digests.sparkSession.createDataFrame([], INDEX), max(1, -(-groups.count() // SHARD_DIGESTS)))
+        none = digests.sparkSession.range(0).selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in map(str.split, INDEX.split(", "))])
+        history = History(none, max(1, -(-groups.count() // SHARD_DIGESTS)))
 
     def merge(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         shard = int((old if len(old) else new)["shard"].iloc[0])

@@ -150,12 +150,12 @@ def by_powers(window: list[tuple[int, int, int]], total: int) -> list[list[tuple
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, key: str = "doc_id", text: str = "text",
-         step_ids: int = STEP_IDS) -> DataFrame:
+         step_ids: int = STEP_IDS, kept_chunks: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, tier, step_group, ids (32-bit, little-endian).
 
     The pieces are written once under the shared folder; sequence numbers
     start at each part's prefix sum, of which the driver gets one row per
-    part and tier.
+    part and tier. `kept_chunks` bounds a worker's table of encoded chunks and changes no result.
     """
     spark = docs.sparkSession
 
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, key:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        table = encoder(tokenizer)
+        table = encoder(tokenizer, kept_chunks)
         done = {"sequences": 0}
         ranks: dict[int, int] = {}
         held: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
@@ -223,7 +223,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, key:
     steps = {t: -(-n * t // step_ids) for t, n in before.items()}
     step_first = prefix_sums({-t: n for t, n in steps.items()})  # long tiers first
     listed = [(p, t, first[p], tier_first[p, t], step_first[-t]) for p, t in tier_first]
-    bases = spark.createDataFrame(listed, "part int, tier int, first_sequence long, first_rank long, first_step long")
+    named = zip(("part", "tier", "first_sequence", "first_rank", "first_step"), zip(*listed) if listed else [()] * 5, strict=True)
+    bases = spark.createDataFrame(pa.table({c: pa.array(v, pa.int32() if c in ("part", "tier") else pa.int64()) for c, v in named}))  # from a list, Spark starts further workers
     if len(listed) <= MOST_BASES:
         bases = F.broadcast(bases)  # else a join that adaptive execution may split
     per_step = F.greatest(F.lit(1), F.floor(F.lit(step_ids) / F.col("tier")))

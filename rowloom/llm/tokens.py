@@ -47,8 +47,9 @@ def ends_in_letter(text: str) -> bool:
 class Chunked(dict):
     """Chunk -> its number in a growing flat table of ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int | None = None) -> None:
         super().__init__()
+        self.kept = kept
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread keeps memory of its own
         self.tokenizer = Tokenizer.from_file(path)
         self.lowers = self.whole("Ab Zq").tolist() == self.whole("ab zq").tolist()
@@ -126,8 +127,8 @@ class Chunked(dict):
         return (BARE + text.replace("\n", " \n")).split(" ")
 
     def _forget(self) -> None:
-        """Keep the most used half of KEPT_CHUNKS, of equally used ones the newest; earlier uses count half from here on."""
-        kept = np.sort(np.argsort(self.uses[:self.number], kind="stable")[::-1][:KEPT_CHUNKS // 2])
+        """Keep the most used half, of equally used ones the newest; earlier uses count half from here on."""
+        kept = np.sort(np.argsort(self.uses[:self.number], kind="stable")[::-1][:(self.kept or KEPT_CHUNKS) // 2])
         place = np.full(self.number, ODD, np.int64)
         place[kept] = np.arange(len(kept))
         numbers = place.tolist()
@@ -179,7 +180,7 @@ class Chunked(dict):
         self.number, self.used = self.number + len(self.waiting) + len(self.joined), used
         self._begin()
         self.uses[:self.number] += np.bincount(at[at != ODD], minlength=self.number)
-        if len(self) > KEPT_CHUNKS:
+        if len(self) > (self.kept or KEPT_CHUNKS):
             self._forget()
         if not alone:
             return ids, last - first
@@ -187,11 +188,12 @@ class Chunked(dict):
         return np.concatenate(parts), np.asarray([len(p) for p in parts], np.int64)
 
 
-def encoder(path: str) -> Chunked:
-    """The worker's table for one tokenizer file."""
+def encoder(path: str, kept: int | None = None) -> Chunked:
+    """The worker's table for one tokenizer file; `kept`: instead of KEPT_CHUNKS."""
     hold("tokens", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Chunked(path)
+    _loaded[path].kept = kept
     return _loaded[path]
 
 
