@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -13,17 +13,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs nodes under smaller ones, first larger neighbours
     under the least neighbour, then all smaller neighbours under their
-    least; it ends when every component is a star around its smallest node. Least neighbours are
-    combined before the shuffle, the joins may be dealt anew where a node
-    has very many links, and each round reads a written table.
+    least; it ends when every component is a star around its smallest node. A round shuffles the
+    links by node twice and drops repeated ones once; the links of one node meet in one task,
+    two numbers each, which spills. Each round reads a written table.
     """
+    least = F.min("b").over(Window.partitionBy("a"))
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _is_settled(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.where("b > a").join(least.select("a", F.least("a", "m").alias("m")), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        large = both.withColumn("m", F.least("a", least)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.withColumn("m", least)
         edges = written(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
                         .where("a != b").distinct(), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b")).distinct()

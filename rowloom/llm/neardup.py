@@ -39,22 +39,22 @@ import numpy as np
 import pyarrow as pa
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import blocks, hold, mix64, parts_of, text_of
+from .common import blocks, hold, mix64, parts_of, ragged, text_of
 from .links import components
 
 WORDS, SHARE = 5, 75
-#: Minwise tokens of a set, which branchings select from and of which one byte each serves for estimates; trees.
+#: Minwise tokens of a set, which branchings select from and of which a one-byte hash each serves for estimates; trees.
 TOKENS, TREES = 256, 6
 #: Share of equal bytes from which a pair is confirmed on full sets: 3.7 standard deviations under the threshold.
 LIKELY = 0.65
 #: Members of a branch that are compared with each other; of one that is compared block by block, after the first level; levels until all
 #: larger ones are; pairs that share a group in a confirmation with a hub.
 SMALL, MEDIUM, DEEPEST, TOGETHER = 256, 4096, 10, 48
-#: Members of a block whose bytes are compared with another block's; shingles of a block whose full sets are.
+#: Members of a block whose bytes or full sets are compared with another block's; shingles of a block whose full sets are.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Words whose hashes a worker keeps; it changes no result.
 KEPT_WORDS = 150_000
@@ -84,33 +84,34 @@ def shingles(text: str) -> np.ndarray:
     many = len(words) - span + 1
     with np.errstate(over="ignore"):
         total = np.full(many, span, np.uint64)
-        for i in range(span):
-            total = mix64(total * GOLDEN + words[i:i + many])
-    return np.unique(total)
+        for i in range(span):  # a polynomial of the words' hashes, scrambled once
+            total *= GOLDEN
+            total += words[i:i + many]
+    total = mix64(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def _seeds(tokens: int) -> np.ndarray:
-    return mix64(np.arange(1, tokens + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
+    return (mix64(np.arange(1, tokens + 1, dtype=np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def minwise(sets: list[np.ndarray], tokens: int = TOKENS) -> np.ndarray:
-    """For each set and token the least value of one 32-bit hash function over the set; a 64-bit product gives two of them."""
+    """For each set and token the least value of one 32-bit hash function over the set: a multiple of an element's upper half plus its lower one."""
     out = np.empty((len(sets), tokens), np.uint32)
-    seeds, half = _seeds(tokens // 2), np.uint64(32)
-    with np.errstate(over="ignore"):
-        for i, found in enumerate(sets):
-            for first in range(0, len(found), 2048):
-                value = found[first:first + 2048][None, :] * seeds[:, None]
-                value ^= value >> np.uint64(29)
-                value *= np.uint64(0xBF58476D1CE4E5B9)
-                value ^= value >> half
-                here = np.concatenate([(value >> half).astype(np.uint32).min(1), value.astype(np.uint32).min(1)])
-                out[i] = here if not first else np.minimum(out[i], here)
+    seeds = _seeds(tokens)[:, None]
+    for i, found in enumerate(sets):
+        upper, lower = (found >> np.uint64(32)).astype(np.uint32), found.astype(np.uint32)
+        for first in range(0, len(found), 1024):
+            value = upper[first:first + 1024] * seeds
+            value += lower[first:first + 1024]
+            here = value.min(1)
+            out[i] = here if not first else np.minimum(out[i], here)
     return out
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), key (a 64-bit hash of the set), n, the minwise tokens and their lowest bytes of every row of
+    """doc_id, digest (of the text), key (a 64-bit hash of the set), n, the minwise tokens and a byte for each of them of every row of
     (doc_id, text), written once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +120,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             found = [shingles(t) for t in texts]
             full = [i for i, s in enumerate(found) if len(s)]
             tokens = minwise([found[i] for i in full]).astype("<u4")
-            low = (tokens & 0xFF).astype(np.uint8)
+            low = (tokens * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
             whole: list[bytes | None] = [None] * len(texts)
             lowest: list[bytes | None] = [None] * len(texts)
             for i, row, least in zip(full, tokens, low, strict=True):
@@ -151,6 +152,13 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), TOKENS)
 
 
+def resemblance(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The share of equal bytes of each of `rows` with the same one of `others`, or with `others` if that is one row."""
+    equal = (rows == others).view(np.uint64)
+    # eight counts to a word, a byte each: TOKENS / 8 at most
+    return np.add.reduce(equal, 1).view(np.uint8).reshape(len(rows), 8).sum(1) / TOKENS
+
+
 def branch_out(members: DataFrame, root: bool) -> DataFrame:
     """The next level (branch, key) of members (branch, key, tokens); from the root all trees start."""
 
@@ -175,7 +183,7 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = (_bytes(batch.column(2)) == _bytes(batch.column(3))).mean(1) >= LIKELY
+                keep = resemblance(_bytes(batch.column(2)), _bytes(batch.column(3))) >= LIKELY
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(tokens.withColumnsRenamed({"key": "a", "bytes": "ta"}), "a").join(tokens.withColumnsRenamed({"key": "b", "bytes": "tb"}), "b")
@@ -212,14 +220,14 @@ def hubs(members: DataFrame) -> DataFrame:
         tokens = _bytes(table.column("bytes").combine_chunks())
         cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
         two = cuts[:-1][np.diff(cuts) == 2]
-        good = (tokens[two] == tokens[two + 1]).mean(1)
+        good = resemblance(tokens[two], tokens[two + 1])
         two, good = two[good >= LIKELY], good[good >= LIKELY]
         out = [(key[two], key[two + 1], branch[two], good)]
         for first, last in zip(cuts[:-1], cuts[1:], strict=True):
             if last - first < 3:
                 continue
             rows = tokens[first:last]
-            alike = np.stack([(rows == row).mean(1) for row in rows])
+            alike = np.stack([resemblance(rows, row) for row in rows])
             mean, open_ = alike.mean(1), np.ones(len(rows), bool)
             for hub in np.lexsort((key[first:last], -mean)):
                 if open_[hub]:
@@ -266,7 +274,7 @@ def open_members(members: DataFrame) -> DataFrame:
             i = left[label[left] != label[left + step]]
             i = i[~(is_open[i] & is_open[i + step])]
             for part in np.array_split(i, len(i) // 20_000 + 1):
-                good = part[(tokens[part] == tokens[part + step]).mean(1) >= LIKELY]
+                good = part[resemblance(tokens[part], tokens[part + step]) >= LIKELY]
                 is_open[good] = is_open[good + step] = True
             step += 1
         return pa.RecordBatch.from_arrays([pa.array(c[is_open]) for c in (branch, key, label)], ["branch", "key", "label"])
@@ -301,9 +309,9 @@ def joining_links(members: DataFrame, docs: DataFrame, sets: DataFrame, share: i
     A branch with many members, or with large sets, is cut in blocks of which every two meet in one task.
     """
     sized = members.join(sets.select("key", "doc_id", "n", "bytes"), "key")
-    sizes = members.join(sets.select("key", "n"), "key").groupBy("branch").agg(
-        F.greatest(F.ceil(F.count("*") / SMALL), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = blocked(sized.join(sizes, "branch"))
+    whole = Window.partitionBy("branch")
+    parts = F.greatest(F.ceil(F.count("*").over(whole) / BLOCK), F.ceil(F.sum("n").over(whole) / BLOCK_SHINGLES)).cast("int")
+    rows = blocked(sized.withColumn("blocks", parts))
     needs = written(rows.select("group", "key", "label", "doc_id", "bytes"), "needs")
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
@@ -316,6 +324,10 @@ def joining_links(members: DataFrame, docs: DataFrame, sets: DataFrame, share: i
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         keys, (full, labels, low) = list(found), zip(*found.values(), strict=True)
         tokens = np.frombuffer(b"".join(low), np.uint8).reshape(len(keys), TOKENS)
+        lengths = np.fromiter(map(len, full), np.int64, len(full))
+        starts = np.cumsum(lengths) - lengths
+        names, shingle = np.unique(np.concatenate(full), return_inverse=True)
+        marked = np.zeros(len(names), bool)
         parent = {x: x for x in labels}
 
         def top(x: int) -> int:
@@ -323,17 +335,23 @@ def joining_links(members: DataFrame, docs: DataFrame, sets: DataFrame, share: i
                 parent[x] = x = parent[parent[x]]
             return x
 
-        pairs = []
-        for i in range(len(keys) - 1):
-            alike = (tokens[i] == tokens[i + 1:]).mean(1)
-            near = np.flatnonzero(alike >= LIKELY)
-            pairs += zip(-alike[near], [i] * len(near), near + i + 1, strict=True)
+        of = np.asarray(labels)
         out = []
-        for _, i, j in sorted(pairs):  # the likeliest first, so that many others need no test
-            a, b = top(labels[i]), top(labels[j])
-            if a != b and are_linked(full[i], full[j], share):
-                parent[a] = b
-                out.append((keys[i], keys[j]))
+        for i in range(len(keys) - 1):
+            rest = i + 1 + np.flatnonzero(of[i + 1:] != of[i])
+            near = rest[resemblance(tokens[rest], tokens[i]) >= LIKELY]
+            near = near[[top(x) != top(labels[i]) for x in of[near].tolist()]] if len(near) else near
+            if not len(near):
+                continue
+            mine = shingle[starts[i]:starts[i] + lengths[i]]
+            marked[mine] = True  # the sizes of all intersections with this set at once
+            common = np.add.reduceat(marked[shingle[ragged(starts[near], lengths[near])]], np.cumsum(lengths[near]) - lengths[near], dtype=np.int64)
+            marked[mine] = False
+            for j in near[100 * common >= share * (lengths[i] + lengths[near] - common)].tolist():
+                a, b = top(labels[i]), top(labels[j])
+                if a != b:
+                    parent[a] = b
+                    out.append((keys[i], keys[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return with_texts(needs, docs).select("group", "key", "label", "bytes", "text").groupBy("group").applyInPandas(work, "a long, b long")
@@ -377,16 +395,15 @@ def near_links(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, Data
     links: DataFrame | None = None
     groups: DataFrame | None = None
     tested: list[DataFrame] = []
+    whole = Window.partitionBy("branch")
     level = branch_out(sets.select(F.lit(0).cast("long").alias("branch"), "key", "tokens"), True)
     for depth in range(1, DEEPEST + 1):
-        sizes = level.groupBy("branch").agg(F.count("*").alias("n")).where("n > 1")
-        live = written(level.join(sizes, "branch").select("branch", "key", "n"), "branches")
+        live = written(level.withColumn("n", F.count("*").over(whole)).where("n > 1"), "branches")
         if live.isEmpty():
             break
         links, groups = _grow(links, groups, tested, apart(first_pairs(live, sets), groups), docs, sets)
-        labelled = named(live, groups, "key", "label")
-        open_ = labelled.groupBy("branch").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("branch")
-        labelled = written(labelled.join(open_, "branch"), "open")
+        labelled = named(live, groups, "key", "label").withColumns({"low": F.min("label").over(whole), "high": F.max("label").over(whole)})
+        labelled = written(labelled.where("low != high").drop("low", "high"), "open")
         most = SMALL if depth == 1 < DEEPEST else MEDIUM
         large = labelled.where(F.col("n") > most) if depth < DEEPEST else None
         compared = labelled if large is None else labelled.where(F.col("n") <= most)
