@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -23,6 +24,8 @@ from .common import hold, ragged
 KEPT_CHUNKS = 400_000
 #: Missing chunks that are encoded at once, as the tokenizer's answers are far larger than the ids, and characters whose ids are gathered at once.
 BATCH_CHUNKS, BATCH_CHARS = 4096, 1_000_000
+#: Missing chunks that are encoded as one text, where each id shows whether a chunk begins with it.
+LINE_CHUNKS = 128
 #: Texts of about so many characters are encoded at once.
 BLOCK_CHARS = 3_000_000
 #: Blanks that Python and a tokenizer's pattern may see differently.
@@ -55,6 +58,9 @@ class Chunked(dict):
         self.lowers = self.whole("Ab Zq").tolist() == self.whole("ab zq").tolist()
         #: Blanks leave no ids, so they need no place in a chunk.
         self.blankless = self.whole(" a \n b ").tolist() == [*self.whole("a"), *self.whole("b")]
+        #: The ids that begin with a blank or line break; in a text of chunks that all begin so, these are the chunks' first ids.
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token[:1] in ("Ġ", "Ċ") and i < len(self.opens)]] = True
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
@@ -72,7 +78,11 @@ class Chunked(dict):
         self.joined: list[tuple[int, int, int]] = []
 
     def __missing__(self, chunk: str) -> int:
-        if not self.blankless and (ODD_BLANK.search(chunk) or BARE in chunk[1:]):
+        if chunk.isalpha():
+            here = self.number + len(self.waiting) + len(self.joined)
+            self.waiting.append(chunk if self.blankless else " " + chunk)
+            self.waiting_at.append(here)
+        elif not self.blankless and (ODD_BLANK.search(chunk) or BARE in chunk[1:]):
             here = ODD
         elif (word := chunk.rstrip(ENDS)) != chunk and len(word) > 1 and ends_in_letter(word):
             head, tail = self[word], self[chunk[len(word):] if self.blankless else BARE + chunk[len(word):]]
@@ -91,16 +101,37 @@ class Chunked(dict):
         while ids > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
 
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, one after the other, and the number of ids of each."""
+        if not self.blankless and all(chunk[:1] in (" ", "\n") for chunk in chunks):
+            lines = [chunks[at:at + LINE_CHUNKS] for at in range(0, len(chunks), LINE_CHUNKS)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(["".join(line) for line in lines], add_special_tokens=False)]
+            if all(found):
+                flat = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+                opens = self.opens[flat]
+                starts = np.cumsum([0, *map(len, found[:-1])])
+                if opens[starts].all() and np.add.reduceat(opens, starts, dtype=np.int64).tolist() == list(map(len, lines)):
+                    return flat, np.diff(np.append(np.flatnonzero(opens), len(flat)))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
     def _fill(self) -> int:
         """Encode what is missing; the table's new length in ids."""
         used = self.used
-        for at in range(0, len(self.waiting), BATCH_CHUNKS):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.waiting[at:at + BATCH_CHUNKS], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+        waiting, places = self.waiting, self.waiting_at
+        if not self.blankless:  # those without a blank in front last
+            bare = [chunk[:1] not in (" ", "\n") for chunk in waiting]
+            order = sorted(range(len(waiting)), key=bare.__getitem__)
+            waiting, places = [waiting[i] for i in order], [places[i] for i in order]
+            cuts = [*range(0, len(order) - sum(bare), BATCH_CHUNKS), *range(len(order) - sum(bare), len(order), BATCH_CHUNKS), len(order)]
+        else:
+            cuts = [*range(0, len(waiting), BATCH_CHUNKS), len(waiting)]
+        for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+            flat, lengths = self._ids(waiting[at:end])
             self._room(used + len(flat))
             self.flat[used:used + len(flat)] = flat
-            here = self.waiting_at[at:at + BATCH_CHUNKS]
+            here = places[at:end]
             self.start[here], self.length[here] = used + np.cumsum(lengths) - lengths, lengths
             used += len(flat)
         if self.joined:

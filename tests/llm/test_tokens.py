@@ -68,6 +68,22 @@ def test_a_full_table_keeps_the_most_used_chunks(path, monkeypatch):
     assert not any("early" in chunk for chunk in table)
 
 
+def test_missing_chunks_share_calls_of_the_tokenizer():
+    class Counting:
+        def __init__(self, own):
+            self.own, self.texts = own, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.own.encode_batch_fast(texts, **options)
+
+    table = tokens.Chunked(BYTES)
+    own, table.tokenizer = table.tokenizer, Counting(table.tokenizer)
+    text = " ".join(f"word{i}'s x{i}\nCafé{i}, \u0301{i} 9.{i}<|endoftext|> <|endoftext|>{i}!" for i in range(300))
+    assert table.encode([text, "bare", text.upper()])[0].tolist() == [i for t in (text, "bare", text.upper()) for i in own.encode(t, add_special_tokens=False).ids]
+    assert table.tokenizer.texts < len(table) / 10
+
+
 def test_a_worker_lets_go_of_the_tables_of_the_operator_before():
     tokens.encoder(WORDS)
     common.let_go("tokens")
