@@ -26,9 +26,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -54,7 +53,7 @@ LETTER = r"[^\W\d_²]"
 FINE_UNIT = re.compile(rf" *{LETTER}++(?=[,. \n]|\Z)| *[^ \n]+|\n| +")
 JOINS = re.compile(rf"{LETTER}[,.]|.\n|\n.", re.DOTALL)
 MARK = "▁"
-#: Keeps units apart where they are searched together: no piece may match over it.
+#: Keeps units apart where they are searched together: no piece has it.
 GAP = "\U0010ffff"
 ENCODED = "doc_id long, ids array<int>"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -108,7 +107,7 @@ class Lattice(Bytes):
         for i in range(self.size):
             if model.is_byte(i):
                 self.byte_id[int(model.id_to_piece(i)[3:5], 16)] = i
-        self.automaton = ahocorasick.Automaton()
+        self.automaton: dict[str, int] = {}  # the pieces that `matches` finds
         self.length = np.ones(self.size, np.int64)
         inner = joins = False
         for i in plain:
@@ -116,10 +115,10 @@ class Lattice(Bytes):
             if not text:
                 continue
             self.length[i] = len(text)
-            self.automaton.add_word(text, i)
+            self.automaton[text] = i
             inner |= " " in text.lstrip(" ")
             joins |= JOINS.search(text) is not None
-        self.automaton.make_automaton()
+        self._grow(self.automaton)
         if (self.byte_id < 0).any():
             raise ValueError("the model has no byte pieces, so it cannot spell every text")
         self.numbers = Numbers()
@@ -129,6 +128,51 @@ class Lattice(Bytes):
         self.edges_used = self.nodes_used = 0
         self.unit = re.compile(r"(?s).+") if inner else UNIT if joins else FINE_UNIT
 
+    def _grow(self, pieces: dict[str, int]) -> None:
+        """The trie of the pieces: a number for each of their characters, and sorted keys (node, character) of the nodes below."""
+        letters = sorted(set().union(*pieces) - {GAP})
+        self.letter = np.zeros(0x110001, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.letters = len(letters) + 1
+        nodes: dict[str, int] = {"": 0}
+        keys: list[int] = []
+        last: dict[int, int] = {}
+        number = dict(zip(letters, range(1, len(letters) + 1), strict=True))
+        for text, i in pieces.items():
+            if GAP in text:
+                continue
+            for n in range(1, len(text) + 1):
+                if text[:n] not in nodes:
+                    keys.append(nodes[text[:n - 1]] * self.letters + number[text[n - 1]])
+                    nodes[text[:n]] = len(nodes)
+            last[nodes[text]] = i
+        order = np.argsort(np.asarray(keys, np.int64))
+        self.keys, self.below = np.asarray(keys, np.int64)[order], order + 1
+        self.piece_at = np.full(len(nodes), -1, np.int64)
+        self.piece_at[list(last)] = list(last.values())
+        self.roots = np.zeros(self.letters, np.int64)  # 0: none
+        first = self.keys < self.letters
+        self.roots[self.keys[first]] = self.below[first]
+
+    def matches(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """End and piece of every match of a piece in a text: all places go down the trie together."""
+        letter = np.append(self.letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")], 0).astype(np.int64)
+        node = self.roots[letter]
+        at = np.flatnonzero(node)
+        node = node[at]
+        ends, pieces = [], []
+        while len(at):
+            at = at + 1
+            piece = self.piece_at[node]
+            found = np.flatnonzero(piece >= 0)
+            ends.append(at[found])
+            pieces.append(piece[found])
+            key = node * self.letters + letter[at]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = np.flatnonzero(self.keys[place] == key)
+            at, node = at[on], self.below[place[on]]
+        return (np.concatenate(ends), np.concatenate(pieces)) if ends else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
     def edges(self, units: list[str]) -> tuple[np.ndarray, ...]:
         """All edges of the units' lattices, sorted by end; nodes of all units are numbered through, unit after unit.
 
@@ -137,13 +181,8 @@ class Lattice(Bytes):
         """
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         node = np.cumsum(sizes + 1) - sizes - 1
-        joined = GAP.join(units)
-        if GAP in units or joined.count(GAP) != len(units) - 1:
-            found = chain.from_iterable((int(node[k]) + at, piece) for k, u in enumerate(units) for at, piece in self.automaton.iter(u))
-        else:  # a unit of n characters and a gap take n + 1 places, as its nodes do
-            found = chain.from_iterable(self.automaton.iter(joined))
-        flat = np.fromiter(found, np.int64).reshape(-1, 2)
-        end, piece = flat[:, 0] + 1, flat[:, 1].copy()
+        # a unit of n characters and a gap take n + 1 places, as its nodes do
+        end, piece = self.matches(GAP.join(units))
         start = end - self.length[piece]
         total = int(node[-1] + sizes[-1] + 1)
         single = np.zeros(total, bool)
@@ -155,7 +194,7 @@ class Lattice(Bytes):
             owner = np.searchsorted(node, bare, "right") - 1
             points = np.asarray([ord(units[u][p]) for u, p in zip(owner, bare - node[owner], strict=True)], np.int64)
             start, end, piece = np.concatenate([start, bare]), np.concatenate([end, bare + 1]), np.concatenate([piece, self.size + points])
-        order = np.argsort(end, kind="stable")
+        order = np.argsort(end * (int(self.length.max()) + 1) + start - end)  # of edges with one end the longest first
         return start[order], end[order], piece[order], node, node + sizes
 
     def forward(self, units: list[str]) -> tuple[np.ndarray, ...]:
@@ -200,7 +239,8 @@ class Lattice(Bytes):
         """Backward sampling of occurrences of units (numbers into the tables), one 64-bit seed each: pieces in order, and their number."""
         start, piece, running, first, last = tables
         at, stop = last[units], first[units]
-        active = np.flatnonzero(at > stop)
+        active = np.argsort(units, kind="stable")  # so that neighbours look in one part of the tables
+        active = active[at[active] > stop[active]]
         who, what = [], []
         step = 0
         while len(active):

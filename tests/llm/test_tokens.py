@@ -116,6 +116,18 @@ def test_files_hold_every_id_in_order(docs):
     assert (idfiles.ids_at(shards, docs().sparkSession, 5, 40_000) == whole[5:40_005]).all()
 
 
+def test_matches_of_pieces_by_brute_force():
+    table = pieces.Lattice(MODEL)
+    texts = ["thes thing  1²é\n▁x", pieces.GAP, "", f"a{pieces.GAP}b", "\ud800日本 in the", "zzz. the,"]
+    joined = pieces.GAP.join(texts)
+    own = {table.bytes_of[i].decode(): i for i in range(table.size) if i not in table.byte_id and table.bytes_of[i]}
+    want = {(b, own[joined[a:b]]) for a in range(len(joined)) for b in range(a + 1, len(joined) + 1) if joined[a:b] in own}
+    got = list(zip(*(x.tolist() for x in table.matches(joined))))
+    assert len(got) == len(want) and set(got) == want
+    start, end, *_ = table.edges(texts)
+    assert (np.diff(end) >= 0).all() and (np.diff(start)[np.diff(end) == 0] > 0).all()
+
+
 def test_no_documents_no_files(docs):
     shards, _ = idfiles.write_ids(docs(), BYTES, 2)
     assert idfiles.read_ids(shards).count() == 0
