@@ -125,3 +125,18 @@ def test_append_fields(rows, parts):
     out = rl.append_fields(left, right, "o", "o")
     assert out.columns == ["o", "v", "right_o", "w"]
     assert rows.out(out) == [(1, "a", 10, "x"), (2, "b", 20, "y"), (3, "c", None, None)]
+
+
+def test_join_int_keys_with_customers_past_the_int_range(spark, rows, tmp_path):
+    from rowloom.plans.queries import join_int_keys
+    customers = rows("c_custkey bigint, c_name string", (1, "a"), (2, "b"), (2147, "c"), (2148, "d"), (2148, "e"), (9000, None), (9001, "g"), (None, "n"))
+    orders = rows("o_orderkey bigint, o_orderstatus string", (2, "F"), (2148, "O"), (2148, "P"), (9000, "F"), (70000, "O"), (7, None), (None, "N"))
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    out = join_int_keys(spark, str(tmp_path))
+    assert out.dtypes == [("c", "bigint"), ("c_name", "string"), ("o_orderstatus", "string")]
+    m = 1_000_000
+    assert rows.out(out) == sorted([
+        (None, "n", "N"), (m, "a", None), (2 * m, "b", "F"), (2147 * m, "c", None), (2148 * m, "d", "O"), (2148 * m, "d", "P"),
+        (2148 * m, "e", "O"), (2148 * m, "e", "P"), (9000 * m, None, "F"), (9001 * m, "g", None), (70000 * m, None, "O"), (7 * m, None, None),
+    ], key=lambda r: tuple((v is not None, str(v)) for v in r))
