@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,13 +16,14 @@ from pyspark.sql import types as T
 from ..functions.names import dtype, fresh, names, ref, require
 from ..functions.parsing import number_or_zero, parse_double
 from ..session import written
+from .envelope import Classes
 from .ordered import row_index
 
 Step = Callable[[DataFrame], DataFrame]
 VARIANCE_FLOOR = 1e-9
 CLASSES_PER_EXPRESSION = 64
-#: Classes that a task scores at once; numbers of a model that all tasks have.
-CLASS_BLOCK, MODEL_NUMBERS = 256, 8_000_000
+#: Numbers of a model that all tasks have.
+MODEL_NUMBERS = 8_000_000
 
 
 def regression(feature: str, target: str, output: str = "predicted", as_text: bool = False) -> Step:
@@ -54,8 +57,8 @@ def naive_bayes(features, target: str, output: str = "predicted_class") -> Step:
     """Gaussian naive Bayes trained and applied on the same rows.
 
     The model is one row per class. A few classes become an expression; more
-    become arrays that every task has, against which rows are scored block by block with a
-    running maximum, all in one job. Beyond MODEL_NUMBERS numbers the model
+    become arrays that every task has, with an index of the classes that can be best near a row, so
+    that most are never scored (`envelope.py`), all in one job. Beyond MODEL_NUMBERS numbers the model
     is taken in parts, each of which goes over the rows once. Scoring needs no shuffle. Equal scores go to the greatest class.
     """
     columns = names(features)
@@ -69,6 +72,7 @@ def naive_bayes(features, target: str, output: str = "predicted_class") -> Step:
             F.count(F.lit(1)).alias("n"),
             *[F.avg(v).alias(f"mean{i}") for i, v in enumerate(values)],
             *[F.greatest(F.var_pop(v), F.lit(VARIANCE_FLOOR)).alias(f"var{i}") for i, v in enumerate(values)],
+            *[f(F.when(F.abs(v) < F.lit(math.inf), v)).alias(f"{c}{i}") for c, f in (("low", F.min), ("high", F.max)) for i, v in enumerate(values)],
         )
         few = model.limit(CLASSES_PER_EXPRESSION + 1).collect()
         kind = dtype(df, target)
@@ -85,38 +89,33 @@ def naive_bayes(features, target: str, output: str = "predicted_class") -> Step:
 def _by_arrays(df: DataFrame, model: DataFrame, values: list[Column], kind, output: str) -> DataFrame:
     """Score against arrays of classes in ascending order, in parts of MODEL_NUMBERS numbers."""
     indexed = written(row_index("class", "__i", unique_order=True)(model), "classes")
-    size = indexed.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).first()
+    ends = [f(f"{c}{i}").alias(f"{c}{i}") for c, f in (("low", F.min), ("high", F.max)) for i in range(len(values))]
+    size = indexed.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), *ends).first()
+    low, high = (np.array([size[f"{c}{i}"] for i in range(len(values))], np.float64) for c in ("low", "high"))
     part = max(1, MODEL_NUMBERS // (2 * len(values) + 1))
     best, scored = fresh(df.columns, "__best"), df
     for start in range(0, size["k"], part):
-        rows = indexed.filter(F.col("__i").between(start, start + part - 1)).orderBy("__i").toArrow()
-        top = _best_class(rows, size["n"], len(values), kind)(*values)
+        numbers = [f"{c}{i}" for c in ("mean", "var") for i in range(len(values))]
+        rows = indexed.filter(F.col("__i").between(start, start + part - 1)).orderBy("__i").select("class", "n", *numbers).toArrow()
+        top = _best_class(rows, size["n"], low, high, kind)(*values)
         scored = scored.withColumn(best, F.greatest(ref(best), top) if start else top)
         if start:
             scored = written(scored, "scored")
     return scored.withColumn(output, ref(best).getField("class")).drop(best)
 
 
-def _best_class(model: pa.Table, total: int, features: int, kind):
+def _best_class(model: pa.Table, total: int, low: np.ndarray, high: np.ndarray, kind):
     """A function of the feature columns that gives struct(score, class) of the best class, the greatest of equal ones."""
+    cloudpickle.register_pickle_by_value(sys.modules[Classes.__module__])  # executors need no copy of this package
     classes = model.column("class").combine_chunks()
-    mean, var = (np.stack([model.column(f"{c}{i}").to_numpy() for i in range(features)]) for c in ("mean", "var"))
+    mean, var = (np.stack([model.column(f"{c}{i}").to_numpy() for i in range(len(low))]) for c in ("mean", "var"))
     constant = np.array([math.log(n / total) for n in model.column("n").to_pylist()])
     for v in var:
         constant = constant - 0.5 * np.array([math.log(2 * math.pi * x) for x in v])
+    index = Classes(mean, var, constant, low, high)
 
     def best(*columns: pa.Array) -> pa.Array:
-        x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns])
-        score, at = np.full(x.shape[1], -np.inf), np.zeros(x.shape[1], np.int64)
-        for first in range(0, len(constant), CLASS_BLOCK):
-            block = slice(first, first + CLASS_BLOCK)
-            rest = sum((x[i][:, None] - mean[i][None, block]) ** 2 / (2 * var[i][None, block]) for i in range(features))
-            here = constant[None, block] - rest
-            here = np.where(np.isnan(here), np.inf, here)  # as the greatest number
-            top = here.shape[1] - 1 - here[:, ::-1].argmax(1)
-            value = here[np.arange(len(top)), top]
-            new = value >= score
-            score, at = np.where(new, value, score), np.where(new, top + first, at)
+        score, at = index.best(np.stack([c.to_numpy(zero_copy_only=False) for c in columns]))
         return pa.StructArray.from_arrays([pa.array(score), classes.take(pa.array(at))], ["score", "class"])
 
     return F.arrow_udf(best, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("class", kind)]))

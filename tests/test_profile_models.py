@@ -83,3 +83,50 @@ def test_naive_bayes(rows, monkeypatch, block):
     assert empty.count() == 0 and "predicted_class" in empty.columns
     with pytest.raises(ValueError):
         rl.naive_bayes("", "label")
+
+
+@pytest.mark.parametrize("classes, features, rows_of_class, digits, odd", [
+    (2000, 1, 20, 1, False), (2000, 1, 2, 0, True), (300, 2, 5, 1, True), (400, 4, 3, 0, False), (3000, 1, 1, 0, False)])
+def test_an_index_gives_what_scoring_all_classes_gives(classes, features, rows_of_class, digits, odd):
+    import numpy as np
+    from rowloom.operators.envelope import Classes
+    draw = np.random.default_rng(classes + features)
+    values = draw.exponential(50, (features, classes, rows_of_class)).round(digits)
+    mean, var = values.mean(2), np.maximum(values.var(2), 1e-9)
+    mean[:, 1::5], var[:, 1::5] = mean[:, :-1:5], var[:, :-1:5]  # equal classes: the greatest counts
+    constant = np.log(draw.integers(1, 4, classes) / classes) - 0.5 * np.log(2 * np.pi * var).sum(0)
+    x = values.reshape(features, -1)[:, :1500].copy()
+    low, high = x.min(1), x.max(1)
+    if odd:
+        x[0, :6] = np.nan, np.inf, -np.inf, 1e200, high[0] + 1, -1e300
+        var[0, 7], constant[7] = np.inf, -np.inf
+    index = Classes(mean, var, constant, low, high)
+    for _ in range(2):
+        score, at = index.best(x)
+        with np.errstate(all="ignore"):
+            all_scores, last = index._scan(x, np.arange(classes))
+        assert score.tolist() == all_scores.tolist() and at.tolist() == last.tolist()
+        mean[0, 9] = var[0, 9] = constant[9] = np.nan  # then that class is the best one everywhere
+        index = Classes(mean, var, constant, low, high)
+
+
+def test_few_of_many_classes_are_scored(spark, monkeypatch):
+    """30,000 classes of 4 rows: without an index 3.6 thousand million scores."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from rowloom.operators import models
+    made = []
+    kept = models._best_class
+    monkeypatch.setattr(models, "_best_class", lambda *a: made.append(a) or kept(*a))
+    df = spark.range(0, 120_000, 1, 8).select((F.col("id") % 30_000).alias("c"), F.round(-50 * F.log1p(-F.rand(3)), 2).alias("x")).localCheckpoint()
+    out = df.transform(rl.naive_bayes("x", "c", "likely"))
+    model, total, low, high = made[0][:4]
+    assert out.count() == 120_000
+    mean, var, n = (model.column(c).to_numpy() for c in ("mean0", "var0", "n"))
+    constant = np.log(n / total) - 0.5 * np.log(2 * np.pi * var)
+    for r in out.orderBy("c", "x").limit(300).collect():
+        score = constant - (r.x - mean) ** 2 / (2 * var)
+        assert score[r.likely] == pytest.approx(score.max(), rel=1e-12)
+    from rowloom.operators.envelope import Classes
+    index = Classes(mean[None], var[None], constant, low, high)
+    assert index.size.max() < 200 and index.size.sum() < 60_000
