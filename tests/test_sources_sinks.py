@@ -181,3 +181,47 @@ def test_previews(rows):
     out, seen = rl.counted(df, "step")
     out.filter("a < 3").collect()
     assert seen.get["rows"] == 30
+
+
+def test_csv_scan_reads_no_large_file_whole(spark, tmp_path):
+    from rowloom.sources.dialect import scan_bytes
+    line = "12;é;34.5;x y"
+    contents = {
+        "lf": "\n".join(["id;nom;v;t", *[line] * 100_000]).encode(),
+        "crlf": "\r\n".join(["id;nom;v;t", *[line] * 100_000, ""]).encode("utf-8-sig"),
+        "cr": "\r".join(["\n\nid;nom;v;t", *[line] * 100_000]).encode(),
+        "late": "\n".join(["id;nom;v;t", *[line] * 100_000, ""]).encode() + b"1;\xe9;2;3\r",
+        "late mark +%41": "\n".join(["id;nom;v;t", *[line] * 100_000]).encode("utf-8-sig") + b";\xe9\r\n",
+        "utf16": "\r\n".join(["id;nom;v;t", *[line] * 100_000]).encode("utf-16"),
+        "small": b"a,b\n1,2\n",
+    }
+    for name, raw in contents.items():
+        put(tmp_path / f"{name}.csv", raw)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1_000_000)
+    try:
+        got = {r.path.split("/")[-1][:-4]: tuple(r) for r in rl.csv_scan(spark, str(tmp_path), "*.csv").collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {name: scan_bytes(f"file:{tmp_path}/{name}.csv", raw) for name, raw in contents.items()}
+    assert {n: (g[1], g[3]) for n, g in got.items()} == {
+        "lf": ("utf-8", "auto"), "crlf": ("utf-8", "auto"), "cr": ("utf-8", "cr"), "late": ("windows-1252", "cr"), "late mark +%41": ("windows-1252", "auto"),
+        "utf16": ("utf-16le", "cr"), "small": ("utf-8", "auto")}
+
+
+def test_csv_scan_of_files_that_lines_do_not_settle(spark, tmp_path, monkeypatch):
+    from rowloom.sources import dialect
+    for name, value in (("WHOLE_FILE", 300), ("LONGEST_LINE", 120), ("HEAD", 200)):
+        monkeypatch.setattr(dialect, name, value)
+    contents = {
+        "long line": b"a,b,c\n1,2,3\n" * 20 + b"x" * 200 + b"\r\n" + b"1,2,3\n" * 20,
+        "open quote": b'a,b,c\n"1,2,3\n' + b"1,2,3\n" * 100,
+        "blank": b"\n" * 250 + b"a,b,c\n" * 20,
+        "both": b"a|b|c\n" * 60 + b"1|2|3\r" * 60,
+        "plain": b"name|b c|c\n" + b"1|2|3\n" * 60,
+        "packed.gz": b"a,b,c\n1,2,3\n" * 50,
+    }
+    for name, raw in contents.items():
+        put(tmp_path / name, raw)
+    got = {r.path.split("/")[-1]: tuple(r) for r in rl.csv_scan(spark, str(tmp_path)).collect()}
+    assert got == {name: dialect.scan_bytes(f"file:{tmp_path}/{name}", raw) for name, raw in contents.items()}
+    assert got["open quote"][6] == 3 and got["plain"][5] == ["name", "b c", "c"] and got["both"][3] == "cr"
