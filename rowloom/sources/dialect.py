@@ -13,6 +13,8 @@ import csv
 import io
 import sys
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 import pyarrow as pa
@@ -33,7 +35,7 @@ EMPTY = "The file has no usable line."
 #: Bytes: files up to this are read whole; lines from this on are not held; the beginning from which a sample is taken.
 WHOLE_FILE, LONGEST_LINE, HEAD = 1_000_000, 8_000_000, 1_000_000
 #: Names of files that Spark's text reader decompresses.
-COMPRESSED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst|passthrough)$"
+COMPRESSED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".passthrough")
 MARK = b"\xef\xbb\xbf"
 SAMPLE = "file string, kind string, delimiter string, has_header boolean, headers array<string>, detected_columns int, confidence string, warnings array<string>"
 
@@ -174,7 +176,8 @@ def _heads(lines: DataFrame, line_sep: str) -> DataFrame:
 
 def _by_lines(text: DataFrame, files: DataFrame, line_sep: str) -> DataFrame:
     """RESULT and file of those of the files (path, file, length) of which the lines tell all."""
-    lines = text.where((F.col("_metadata.file_size") > WHOLE_FILE) & ~F.col("_metadata.file_path").rlike(COMPRESSED)).select(
+    plain = ~reduce(or_, [F.endswith(F.col("_metadata.file_path"), F.lit(c)) for c in COMPRESSED])
+    lines = text.where((F.col("_metadata.file_size") > WHOLE_FILE) & plain).select(
         "value", F.col("value").cast("binary").alias("bytes"), F.octet_length("value").alias("n"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
     at_edge = F.endswith("value", F.lit("\r")) if line_sep == "\n" else F.startswith("value", F.lit("\n"))
